@@ -25,6 +25,26 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailweave.llm.packing import packed_documents
+
+    return packed_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailweave.llm.decontaminate import contamination, n_hit
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailweave.llm.simhash import hex16, near_duplicates
 
@@ -35,6 +55,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op5_best_fit_packing": op5_best_fit_packing,
+        "op7_decontamination": op7_decontamination,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 
