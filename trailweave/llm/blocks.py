@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def as_bytes(array: pa.Array) -> list[bytes]:
@@ -17,7 +18,7 @@ def byte_slices(array: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """(start, stop) of runs of rows with about ``most`` bytes; one row at least."""
     if not len(array):
         return
-    sizes = np.nan_to_num(pa.compute.binary_length(array).to_numpy(zero_copy_only=False).astype(float))
+    sizes = np.nan_to_num(pc.binary_length(array).to_numpy(zero_copy_only=False).astype(float))
     runs = (np.cumsum(sizes) - sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(array)]
     yield from zip(cuts, cuts[1:])
@@ -25,8 +26,6 @@ def byte_slices(array: pa.Array, most: int) -> Iterator[tuple[int, int]]:
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in record batches of about ``most`` bytes of ``column``."""
-    import pyarrow.compute  # noqa: F401  makes pa.compute available
-
     for batch in batches:
         for start, stop in byte_slices(batch.column(column), most):
             yield batch.slice(start, stop - start)
