@@ -31,6 +31,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailweave.llm.quality import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailweave.llm.decontaminate import contamination, n_hit
 
@@ -45,6 +51,19 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailweave.llm.main_text import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailweave.llm.warc import archived
+
+    found = archived(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "index_order", "intact")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailweave.llm.simhash import hex16, near_duplicates
 
@@ -56,7 +75,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_quality_rules": op6_quality_rules,
         "op7_decontamination": op7_decontamination,
+        "op8_html_main_text": op8_html_main_text,
+        "op9_warc": op9_warc,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 
