@@ -34,3 +34,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def join_checked(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "left", most_rows: int = 200_000) -> DataFrame:
+    """``big`` joined with ``small``, which is sent to all executors only if it has few rows.
+
+    ``small`` is written to the shared checkpoint folder and counted.  Beyond ``most_rows`` rows
+    Spark shuffles both sides.  Its rows must be of bounded width.
+    """
+    from pyspark.sql import functions as F
+
+    small = checkpoint(small)
+    return big.join(F.broadcast(small) if small.count() <= most_rows else small, on, how)
