@@ -73,6 +73,10 @@ class Measures:
         np.add.at(edges, repeated + WINDOW, -1)
         return int((np.cumsum(edges) > 0).sum())
 
+    def _n_stutters(self) -> int:
+        """Words equal to the word before them."""
+        return sum(map(bytes.__eq__, self["words"], self["words"][1:]))
+
     def _n_upper(self) -> int:
         return sum(map(str.isupper, self.text))
 
@@ -97,11 +101,12 @@ def base_rules() -> list[Rule]:
 
 
 def default_rules() -> list[Rule]:
-    """The base rules and those on symbols, repeated lines, word length, capitals and letters."""
+    """The base rules and those on symbols, repeated lines and words, word length, capitals and letters."""
     return [
         *base_rules(),
         Rule("symbols", lambda m: 10 * m["n_symbols"] > m["n_words"]),
-        Rule("repeated_lines", lambda m: 10 * m["n_dup_lines"] > 3 * len(m["lines"])),
+        Rule("repeated_lines", lambda m: m["n_dup_lines"] >= 3 and 10 * m["n_dup_lines"] > 3 * len(m["lines"])),
+        Rule("stutter", lambda m: 10 * m["n_stutters"] > 3 * m["n_words"]),
         Rule("word_length", lambda m: not 2 * m["n_words"] <= m["word_chars"] <= 20 * m["n_words"]),
         Rule("capitals", lambda m: 2 * m["n_upper"] > m["n_letters"]),
         Rule("no_letters", lambda m: 2 * m["n_wordlike"] < m["n_words"]),
