@@ -25,6 +25,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailweave.llm.toxicity import fit, fold, toxicity_scores
+
+    documents = table(spark, sf_dir, "documents")
+    model = fit(documents, table(spark, sf_dir, "labels"), fold(F.col("doc_id")) != 2, threshold=0.3)
+    held = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
+    return toxicity_scores(documents, model).select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailweave.llm.packing import packed_documents
 
@@ -74,6 +83,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op3_toxicity": op3_toxicity,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_quality_rules": op6_quality_rules,
         "op7_decontamination": op7_decontamination,
