@@ -25,6 +25,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailweave.llm.pii import pii_report
+
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailweave.llm.toxicity import fit, fold, toxicity_scores
 
@@ -83,6 +89,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_pii": op2_pii,
         "op3_toxicity": op3_toxicity,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_quality_rules": op6_quality_rules,
