@@ -40,6 +40,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(documents, model).select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailweave.llm.suffix_dedup import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailweave.llm.packing import packed_documents
 
@@ -91,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_pii": op2_pii,
         "op3_toxicity": op3_toxicity,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_quality_rules": op6_quality_rules,
         "op7_decontamination": op7_decontamination,
