@@ -1,11 +1,12 @@
 """SimHash near-duplicates by anchor-point covering.
 
-A 64-bit fingerprint has two halves.  If two fingerprints differ in at most 3 bits, one of the
-halves differs in at most 1.  The anchors of a half are the words of the Hamming [31, 26] code on
-its low 31 bits, which cover every half within radius 1.  A fingerprint is at home at its nearest
-anchor and is replicated to every anchor within covering radius plus the half's threshold,
-1 + 1 = 2: these are 1 or 16.  So whatever lies within the threshold of a fingerprint has a copy
-at that one's home, and comparing each home row with the rows of its anchor finds every link.
+A fingerprint has one or more lanes of 64 bits, and each lane two halves.  If two fingerprints of
+n lanes differ in at most 4n - 1 bits (3 for one lane), one of the 2n halves differs in at most 1.
+The anchors of a half are the words of the Hamming [31, 26] code on its low 31 bits, which cover
+every half within radius 1.  A fingerprint is at home at its nearest anchor and is replicated to
+every anchor within covering radius plus the half's threshold, 1 + 1 = 2: these are 1 or 16.  So
+whatever lies within the threshold of a fingerprint has a copy at that one's home, and comparing
+each home row with the rows of its anchor finds every link.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.blocks import as_bytes, byte_slices
+from trailweave.llm.blocks import as_bytes, sliced
 from trailweave.llm.components import connected_components
-from trailweave.session import checkpoint
+from trailweave.session import checkpoint, join_checked
 
 SEED = 42
 #: Home rows of an anchor from which on its rows are dealt over several tasks.
@@ -29,42 +30,63 @@ HOT_ANCHOR = 4096
 _CHUNK = 1 << 15
 
 
-def shingle_hashes(text: bytes, width: int) -> np.ndarray:
-    """XXH64 of each word shingle, repeats included; a text of fewer words is one shingle."""
+def features(text: bytes, width: int) -> list[bytes]:
+    """The word shingles, repeats included; a text of fewer words is one shingle."""
     words = text.lower().split()  # on bytes: A-Z only, and the six ASCII white spaces
+    if width == 1:
+        return words
     joined = b" ".join(words)
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)] if words else []
-    else:
-        ends = list(itertools.accumulate(map(len, words), lambda a, n: a + 1 + n))
-        starts = [0, *(e + 1 for e in ends)]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :])]
-    return np.array(hashes, np.uint64)
+        return [joined] if words else []
+    ends = list(itertools.accumulate(map(len, words), lambda a, n: a + 1 + n))
+    starts = [0, *(e + 1 for e in ends)]
+    return [joined[s:e] for s, e in zip(starts, ends[width - 1 :])]
+
 
+def fingerprint(text: bytes, width: int = 3, lanes: int = 1, once: bool = False) -> list[int]:
+    """The lanes: bit i is 1 if over half the features' hashes have it; no words: 0.
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """Bit i is 1 if it is set in over half the shingle hashes; no words: 0."""
-    hashes = shingle_hashes(text, width)
-    if not len(hashes):
-        return 0
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), _CHUNK):
-        octets = hashes[at : at + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(octets, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+    A feature's hash in lane k is its XXH64 with seed SEED + k.  ``once``: repeated features count once.
+    """
+    found = features(text, width)
+    found = list(set(found)) if once else found
+    digest, out = xxhash.xxh64_intdigest, []
+    for lane in range(lanes):
+        counts, seed = np.zeros(64, np.int64), SEED + lane
+        for at in range(0, len(found), _CHUNK):
+            part = found[at : at + _CHUNK]
+            octets = np.fromiter((digest(x, seed) for x in part), np.uint64, len(part)).astype(">u8").view(np.uint8)
+            counts += np.unpackbits(octets.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * counts > len(found)).tobytes(), "big"))
+    return out
+
+
+def node_of(prints: np.ndarray) -> np.ndarray:
+    """One number for each row of lanes: the lane itself if there is one, else a hash of all."""
+    node = prints[:, 0].copy()
+    for k in range(1, prints.shape[1]):
+        node = (node ^ node >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + prints[:, k]
+    return node.view(np.int64)
+
+
+def _printed(width: int, lanes: int, once: bool):
+    names = [f"f{k}" for k in range(lanes)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text", 1 << 23):
+            prints = np.array([fingerprint(x, width, lanes, once) for x in as_bytes(batch.column("text"))], np.uint64)
+            yield pa.record_batch(
+                [batch.column("doc_id"), pa.array(node_of(prints)), *(pa.array(prints[:, k].view(np.int64)) for k in range(lanes))], ["doc_id", "node", *names]
+            )
 
-def simhash(text: Column, width: int = 3) -> Column:
-    """Column with the fingerprint as a signed long."""
+    return run
 
-    @F.arrow_udf("long")
-    def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for array in batches:
-            out = [fingerprint(x, width) for s, e in byte_slices(array, 1 << 23) for x in as_bytes(array.slice(s, e - s))]
-            yield pa.array(np.array(out, np.uint64).view(np.int64))
 
-    return prints(F.coalesce(text, F.lit("")))
+def fingerprints(documents: DataFrame, width: int, lanes: int, once: bool, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, node, f0, ...) of each document."""
+    kind = documents.schema[id_col].dataType.simpleString()
+    texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.mapInArrow(_printed(width, lanes, once), f"doc_id {kind}, node long" + "".join(f", f{k} long" for k in range(lanes)))
 
 
 def _masks() -> np.ndarray:
@@ -84,10 +106,10 @@ _POSITIONS = np.arange(1, 32, dtype=np.int64)
 
 
 def anchors(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the print, anchor key, whether it is the print's home) for both halves."""
+    """(row of the print, anchor key, whether it is the print's home) for all halves."""
     masks, found = _masks(), []
-    for half in (0, 1):
-        word = (prints >> np.uint64(32 * half)).astype(np.int64) & 0x7FFFFFFF
+    for half in range(2 * prints.shape[1]):
+        word = (prints[:, half // 2] >> np.uint64(32 * (half % 2))).astype(np.int64) & 0x7FFFFFFF
         syndrome = np.zeros(len(word), np.int64)
         for p in _POSITIONS:
             syndrome ^= np.where(word >> (p - 1) & 1, p, 0)
@@ -99,11 +121,18 @@ def anchors(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _lanes(batch: pa.RecordBatch) -> np.ndarray:
+    names = [x for x in batch.schema.names if x[0] == "f"]
+    return np.stack([batch.column(x).to_numpy().view(np.uint64) for x in names], axis=1)
+
+
 def _replicated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = batch.column("fp").to_numpy().view(np.uint64)
-        who, keys, home = anchors(prints)
-        yield pa.record_batch([pa.array(keys), pa.array(prints[who].view(np.int64)), pa.array(home)], ["anchor", "fp", "home"])
+        for at in range(0, len(batch), 4096):
+            prints = _lanes(batch.slice(at, 4096))
+            who, keys, home = anchors(prints)
+            columns = [pa.array(prints[who, k].view(np.int64)) for k in range(prints.shape[1])]
+            yield pa.record_batch([pa.array(keys), pa.array(home), *columns], ["anchor", "home", *(f"f{k}" for k in range(len(columns)))])
 
 
 def _forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> list[tuple[int, int]]:
@@ -123,28 +152,29 @@ def _forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> list[tuple[
     return kept
 
 
-def _links(keys: np.ndarray, prints: np.ndarray, home: np.ndarray, most: int) -> list[tuple[int, int]]:
+def _links(keys: np.ndarray, home: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, int]]:
     """A spanning forest of the links at each anchor; rows sorted by anchor."""
+    nodes = node_of(prints)
     cuts = np.flatnonzero(np.diff(keys)) + 1
     starts, stops = np.r_[0, cuts], np.r_[cuts, len(keys)]
     sizes, kept = stops - starts, []
     small = (sizes > 1) & (sizes <= 64)
     rows = np.repeat(small, sizes)
-    k, p, h = keys[rows], prints[rows], home[rows]
+    k, p, h, v = keys[rows], prints[rows], home[rows], nodes[rows]
     a, b = [], []
     for shift in range(1, int(sizes[small].max(initial=0))):
         near = np.flatnonzero((k[shift:] == k[:-shift]) & (h[shift:] | h[:-shift]))
-        near = near[np.bitwise_count(p[near] ^ p[near + shift]) <= most]
-        a.append(p[near])
-        b.append(p[near + shift])
+        near = near[np.bitwise_count(p[near] ^ p[near + shift]).sum(axis=1, dtype=np.int64) <= most]
+        a.append(v[near])
+        b.append(v[near + shift])
     if a:
-        kept += _forest(np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64), {})
+        kept += _forest(np.concatenate(a), np.concatenate(b), {})
     for s, e in zip(starts[sizes > 64], stops[sizes > 64]):
-        group, parent = prints[s:e], {}
-        for x in group[home[s:e]]:
-            near = group[np.bitwise_count(group ^ x) <= most]
-            near = near[near != x].view(np.int64)
-            kept += _forest(np.full(len(near), x).view(np.int64), near, parent)
+        group, own, parent = prints[s:e], nodes[s:e], {}
+        for i in np.flatnonzero(home[s:e]):
+            near = own[np.bitwise_count(group ^ group[i]).sum(axis=1, dtype=np.int64) <= most]
+            near = near[near != own[i]]
+            kept += _forest(np.full(len(near), own[i]), near, parent)
     return kept
 
 
@@ -154,8 +184,8 @@ def _compared(most: int):
         for batch in itertools.chain(batches, [None]):
             now = rest
             if batch is not None:
-                own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "salt", "fp", "home")]
-                own = [own[0] << 20 | own[1], own[2].view(np.uint64), own[3].astype(bool)]
+                keys = batch.column("anchor").to_numpy() << 20 | batch.column("salt").to_numpy()
+                own = [keys, batch.column("home").to_numpy(zero_copy_only=False).astype(bool), _lanes(batch)]
                 now = own if rest is None else [np.concatenate(x) for x in zip(rest, own)]
             if now is None or not len(now[0]):
                 continue
@@ -169,50 +199,70 @@ def _compared(most: int):
 
 
 def print_links(prints: DataFrame, most: int = 3) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints ``fp`` that connect all within ``most`` bits.
+    """Links (a, b) between nodes of the distinct fingerprints ``prints`` (f0, ...).
 
-    Every two fingerprints at ``most`` (3 at most) or fewer differing bits are joined by links;
-    an anchor's links are thinned to a spanning forest, so that a dense group adds no more links
-    than it has rows.  An anchor with many home rows is dealt over several tasks: its home rows
-    are copied to each of them and its other rows are split.
+    With n lanes, all pairs within ``most`` bits are connected if ``most`` is 4n - 1 or less;
+    beyond that, those of them that have a half within 1 bit.  An anchor's links are thinned to a
+    spanning forest, so that a dense group adds no more links than it has rows.  An anchor with
+    many home rows is dealt over several tasks: its home rows are copied to each of them and its
+    other rows are split.
     """
-    if most > 3:
-        raise ValueError("the code's two halves cover 3 differing bits at most")
-    rows = prints.mapInArrow(_replicated, "anchor long, fp long, home boolean")
-    hot = (
-        prints.mapInArrow(_replicated, "anchor long, fp long, home boolean")
-        .where("home").groupBy("anchor").count().where(F.col("count") >= HOT_ANCHOR)
-        .select("anchor", F.ceil(F.col("count") / HOT_ANCHOR).cast("int").alias("parts"))
-    )
-    dealt = rows.join(hot, "anchor", "left").select(
-        "anchor", "fp", "home", F.coalesce("parts", F.lit(1)).alias("parts"), F.expr("int(pmod(xxhash64(fp), coalesce(parts, 1)))").alias("own")
-    )
-    # a home row goes to all parts, as home; where it isn't, each row goes to its own part
-    salted = dealt.select(
-        "anchor", "fp", "home", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))).alias("salt")
-    )
+    names = [x for x in prints.columns if x[0] == "f"]
+    lanes = prints.select(*names)
+    rows = lanes.mapInArrow(_replicated, "anchor long, home boolean" + "".join(f", {x} long" for x in names))
+    crowded = rows.where("home").groupBy("anchor").count().where(F.col("count") >= HOT_ANCHOR)
+    crowded = checkpoint(crowded.select("anchor", F.ceil(F.col("count") / HOT_ANCHOR).cast("int").alias("parts")))
+    if crowded.isEmpty():
+        salted = rows.withColumn("salt", F.lit(0))
+    else:
+        dealt = join_checked(rows, crowded, "anchor")
+        # a home row goes to all parts, as home; any other row goes to its own part
+        own = F.pmod(F.xxhash64(*names), F.coalesce("parts", F.lit(1))).cast("int")
+        to = F.when(F.col("home"), F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).otherwise(F.array(own))
+        salted = dealt.withColumn("salt", F.explode(to)).drop("parts")
     placed = salted.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
     return placed.mapInArrow(_compared(most), "a long, b long")
 
 
 def near_duplicates(
-    documents: DataFrame, width: int = 3, most: int = 3, id_col: str = "doc_id", text_col: str = "text"
+    documents: DataFrame, width: int = 3, most: int = 3, lanes: int = 1, once: bool = False, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(id, fp, component_id): fingerprint and smallest id reachable over links of ``most`` bits.
+    """(doc_id, fp, component_id): first lane of the fingerprint and smallest id reachable over links.
 
-    Texts without words, null ones too, have fingerprint zero and are linked like any other.
-    Rows with a null id are compared as the others; the component of a group without any id is
-    null.  Repeated rows fall in one component and each keeps its row.
+    ``width``: words of a shingle; ``once``: whether repeated shingles count once; ``most``:
+    differing bits of a link, over all ``lanes``.  Texts without words, null ones too, have
+    fingerprint zero and are linked like any other.  Rows with a null id are compared as the
+    others; the component of a group without any id is null.  Repeated rows fall in one component
+    and each keeps its row.
     """
-    printed = checkpoint(documents.select(F.col(id_col), simhash(F.col(text_col), width).alias("fp")))
-    prints = checkpoint(printed.groupBy("fp").agg(F.min(id_col).alias("rep")))
-    nodes = connected_components(print_links(prints.select("fp"), most))
+    printed = checkpoint(fingerprints(documents, width, lanes, once, id_col, text_col))
+    prints = printed.groupBy("node").agg(F.min("doc_id").alias("rep"), *(F.first(f"f{k}").alias(f"f{k}") for k in range(lanes)))
+    prints = checkpoint(prints)
+    nodes = connected_components(print_links(prints, most))
     # smallest id of each component, then of each fingerprint
-    member = nodes.join(prints, nodes["node"] == prints["fp"]).select("node", "component", "rep")
+    member = nodes.join(prints, "node").select("node", "component", "rep")
     least = member.groupBy("component").agg(F.min("rep").alias("least"))
-    linked = member.join(least, "component").select(F.col("node").alias("fp"), "least")
-    known = prints.join(linked, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return printed.join(known, "fp").select(id_col, "fp", "component_id")
+    linked = member.join(least, "component").select("node", "least")
+    known = prints.join(linked, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
+    # written out, so that Spark can split a frequent fingerprint in the join
+    return printed.join(checkpoint(known), "node").select(F.col("doc_id").alias(id_col), F.col("f0").alias("fp"), "component_id")
+
+
+def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``documents`` with all columns, and of each near-duplicate group only the row with the smallest id.
+
+    Rows without an id stay, as there is nothing to choose by.  Of repeated rows one stays.
+    """
+    found = checkpoint(near_duplicates(documents, id_col=id_col, text_col=text_col, **options).where(F.col(id_col).isNotNull()))
+    others = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id")).distinct()
+    repeated = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_id")).count().where("count > 1").select("_id")
+    rows = documents.withColumn("_id", F.col(id_col))
+    rows = join_checked(rows, others, "_id", "left_anti")
+    repeated = checkpoint(repeated)
+    if repeated.isEmpty():
+        return rows.select(*documents.columns)
+    once = join_checked(rows, repeated, "_id", "left_semi").dropDuplicates(["_id"])
+    return join_checked(rows, repeated, "_id", "left_anti").unionByName(once).select(*documents.columns)
 
 
 def hex16(fp: Column) -> Column:
