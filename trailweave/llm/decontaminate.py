@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.blocks import as_bytes, sliced
+from trailweave.llm.blocks import as_bytes, byte_slices, sliced
 
 #: Lower-cases A-Z and turns every other ASCII character that isn't a letter or digit into a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -138,7 +138,7 @@ def _merged(start: np.ndarray, stop: np.ndarray) -> tuple[list[int], list[int]]:
     return start[new].tolist(), stop[np.r_[np.flatnonzero(new)[1:] - 1, len(stop) - 1]].tolist()
 
 
-def _searched(shared, id_type: pa.DataType):
+def _searched(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries: Queries = shared.value
         for batch in sliced(batches, "text", _BLOCK_BYTES):
@@ -185,7 +185,7 @@ def contamination(
     texts = texts.withColumn("key", F.xxhash64("text"))
     schema = f"doc_id {kind}, key long, n_words long, starts array<long>, stops array<long>, items array<string>"
     found: list[DataFrame] = [
-        texts.mapInArrow(_searched(spark.sparkContext.broadcast(part), None), schema)
+        texts.mapInArrow(_searched(spark.sparkContext.broadcast(part)), schema)
         for part in query_parts(queries, window, query_bytes, item_col, item_text_col)
     ]
     hits = lambda a, b: F.transform(F.arrays_zip(F.col(a), F.col(b)), lambda x: F.struct(x[a].alias("start"), x[b].alias("stop")))
@@ -211,6 +211,32 @@ def contamination(
     return first.join(both, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("doc_id", "n_words", "hits", "items")
 
 
+def is_contaminated(
+    text: Column, queries: DataFrame, window: int = 10, item_col: str = "item_id", item_text_col: str = "text", query_bytes: int = QUERY_BYTES
+) -> Column:
+    """Whether any ``window`` consecutive words of an item occur in the text; false for a null text."""
+    sc, found = queries.sparkSession.sparkContext, F.lit(False)
+    for part in query_parts(queries, window, query_bytes, item_col, item_text_col):
+        found = found | _any_hit(sc.broadcast(part))(F.coalesce(text, F.lit("")))
+    return found
+
+
+def _any_hit(shared):
+    @F.arrow_udf("boolean")
+    def hit(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        queries: Queries = shared.value
+        for array in batches:
+            flags = np.zeros(len(array), bool)
+            for low, high in byte_slices(array, _BLOCK_BYTES):
+                index = Index(as_bytes(array.slice(low, high - low)), queries.vocabulary)
+                for phrases, _ in queries.phrases.values():
+                    for _, start in index.phrases(phrases):
+                        flags[low + np.searchsorted(index.starts, start, "right") - 1] = True
+            yield pa.array(flags)
+
+    return hit
+
+
 def n_hit(hits: str = "hits"):
     """Words inside any hit."""
     return F.aggregate(F.transform(hits, lambda x: x["stop"] - x["start"]), F.lit(0).cast("long"), lambda a, x: a + x)

@@ -32,12 +32,13 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from trailweave.llm.toxicity import fit, fold, toxicity_scores
+    from trailweave.llm.toxicity import fit, fold, toxicity_score
 
     documents = table(spark, sf_dir, "documents")
     model = fit(documents, table(spark, sf_dir, "labels"), fold(F.col("doc_id")) != 2, threshold=0.3)
     held = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
-    return toxicity_scores(documents, model).select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    scored = documents.select("doc_id", held, toxicity_score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
