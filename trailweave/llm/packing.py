@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -25,41 +26,72 @@ from trailweave.llm.blocks import sliced
 from trailweave.llm.token_counts import load_tokenizer
 from trailweave.session import checkpoint
 
-#: Every place where the pre-tokenizer of the word BPE surely breaks.
+#: Where the pre-tokenizer surely breaks.
 _SPACES = re.compile(r"[ \t\n\r\x0b\x0c]+")
-_CONTROLS = re.compile(r"[\x1c-\x1f]")
-_WORD_CHARS, _WORDS_KEPT = 32, 300_000
+#: Control characters at which str.split() also breaks, though the library takes them as symbols.
+_CONTROLS = "\x1c\x1d\x1e\x1f"
+#: Words that normalization only lower-cases and that pre-tokenization cuts at changes between letters, digits and
+#: symbols: ASCII but for apostrophes (contractions) and "<" (special tokens), and the letters of Latin-1.
+_PLAIN = re.compile(r"[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PARTS_OF_PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+_WORD_CHARS, _WORDS_KEPT = 32, 400_000
 #: Parts over which the pieces of one length are numbered.
 _PARTS = 64
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level BPE writes for each byte: itself if printable, else one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in printable else next(others)) for b in range(256)]
+
+
 class WordIds:
     """Token ids of texts as little-endian uint32 bytes, each distinct word encoded by the library once.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are its words' ids.
-    The store of words is emptied when it holds ``_WORDS_KEPT``; longer words aren't kept.
+    A plain word is cut here as the pre-tokenizer cuts it, and its parts go to the library's
+    model; any other word takes the library's whole way.  The stores of words and parts are
+    emptied when they hold ``_WORDS_KEPT``; longer ones aren't kept.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = load_tokenizer(path), {}
+        self.tokenizer, self.model = load_tokenizer(path), load_tokenizer(path).model
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.letters = dict(enumerate(_byte_letters()))
+
+    def _part(self, part: str) -> bytes:
+        written = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+        if len(part) <= _WORD_CHARS:
+            self.parts[part] = ids
+        return ids
+
+    def _plain(self, word: str) -> bytes:
+        get = self.parts.get
+        return b"".join([get(x) or self._part(x) for x in _PARTS_OF_PLAIN.findall(word.lower())])
 
     def of(self, texts: list[str]) -> list[bytes]:
-        # str.split() also breaks at four control characters that the library takes as symbols
-        split = [_SPACES.split(x) if _CONTROLS.search(x) else x.split() for x in texts]
-        if len(self.known) > _WORDS_KEPT:
-            self.known.clear()
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        long = []
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        split = [_SPACES.split(x) if any(map(x.__contains__, _CONTROLS)) else x.split() for x in texts]
+        for store in (self.known, self.parts):
+            if len(store) > _WORDS_KEPT:
+                store.clear()
+        known, others = self.known, []
+        new = {w for words in split for w in words if w not in known}
+        for word in new:
+            if _PLAIN.fullmatch(word):
+                known[word] = self._plain(word)
+            else:
+                others.append(word)
+        for at in range(0, len(others), 4096):
+            part = others[at : at + 4096]
             for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = np.array(e.ids, "<u4").tobytes()
-                if len(word) > _WORD_CHARS:
-                    long.append(word)
+                known[word] = array("I", e.ids).tobytes()
         out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for word in long:
-            del known[word]
+        for word in new:
+            if len(word) > _WORD_CHARS:
+                del known[word]
         return out
 
 
@@ -68,14 +100,14 @@ def _pieces(path: str, size: int):
         words = WordIds(path)
         for batch in sliced(batches, "text", 1 << 21):
             rows = []
-            for doc, ids in zip(batch.column("doc_id"), words.of(batch.column("text").to_pylist())):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), words.of(batch.column("text").to_pylist())):
                 ids += bytes(4)  # the end of the document: id 0
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             doc, piece, start, length, crc = zip(*rows)
             yield pa.record_batch(
-                [pa.array([x.as_py() for x in doc], batch.schema.field("doc_id").type), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
+                [pa.array(doc, batch.schema.field("doc_id").type), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
