@@ -31,9 +31,9 @@ _PLACE = np.uint64((1 << 24) - 1)
 #: Different stretches of an anchor from which on they are dealt in slices by what surrounds the anchor.
 HOT_STRETCHES = 4000
 SLICES = 8
-_CHUNK_BYTES = 1 << 20
+_CHUNK_BYTES, _CHUNK_PARTS = 1 << 20, 1 << 15
 #: Bytes of texts that are hashed at once, and of a part of a longer text: both below the 2^24 places that fit beside a hash.
-_BLOCK, _PART = 1 << 21, 1 << 22
+_BLOCK, _PART = 1 << 18, 1 << 22
 MOST_BROADCAST = 500_000
 
 
@@ -107,58 +107,79 @@ def _anchored(least: int):
     return run
 
 
-def suffix_order(text: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and ranks by prefix doubling; separators are unique, so ``longest`` bytes decide."""
-    rank, size = text.astype(np.int64), 1
-    n = len(text)
-    order = np.argsort(rank, kind="stable")
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order of their first ``depth`` symbols (below 2^16), by prefix doubling, and their places in it."""
+    n, size = len(text), 4
+    padded = np.r_[text, np.zeros(size, np.int64)]
+    key = padded[:n] << 48 | padded[1 : n + 1] << 32 | padded[2 : n + 2] << 16 | padded[3 : n + 3]
+    key ^= -(1 << 63)  # so that signed comparison sorts the first symbol as unsigned
     while True:
-        key = np.empty(n, np.int64)
-        key[: n - size] = rank[: n - size] << 32 | (rank[size:] + 1) if size < n else 0
-        key[max(0, n - size) :] = rank[max(0, n - size) :] << 32
         order = np.argsort(key)
         ordered = key[order]
-        new = np.r_[0, np.cumsum(ordered[1:] != ordered[:-1])]
-        rank = np.empty(n, np.int64)
-        rank[order] = new
+        group = np.r_[0, np.cumsum(ordered[1:] != ordered[:-1])]
+        if size >= depth or group[-1] == n - 1:
+            place = np.empty(n, np.int64)
+            place[order] = np.arange(n)
+            return order, place
+        rank = np.empty(n + size, np.int64)
+        rank[order] = group + 1
+        rank[n:] = 0
+        key = rank[:n] << 32 | rank[size:]
         size *= 2
-        if new[-1] == n - 1 or size > 2 * longest:
-            return order, rank
+
+
+#: Letters that an interval is extended by at once, as long as so many are wanted.
+_STRIDE = 8
+
+
+def _codes(data: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` letters from each place on, as one number."""
+    code = np.zeros(len(data), np.uint64)
+    for k in range(width):
+        code[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(8 * (width - 1 - k))
+    return code
 
 
 def repeated_prefixes(parts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(part, offset) of every string of ``least`` bytes that occurs twice or more in all parts."""
+    """(part, offset) of every string of ``least`` bytes that occurs twice or more in all parts.
+
+    An interval holds the suffixes with a common prefix, which are neighbours in the order.  It is
+    extended backward by the letters before its suffixes, a few at a time: suffixes with the same
+    letters go on together.  One that no other follows drops out.
+    """
     sizes = np.array([len(x) for x in parts])
     k = len(parts)
-    text = np.empty(int(sizes.sum()) + k, np.int64)
     ends = np.cumsum(sizes + 1) - 1
+    text = np.empty(int(sizes.sum()) + k, np.int64)
     keep = np.ones(len(text), bool)
     keep[ends] = False
     text[keep] = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64) + k
     text[ends] = np.arange(k)  # separators: all different and below every byte
-    order, rank = suffix_order(text, int(sizes.max()))
-    before = text[order - 1]  # the transform; the first suffix has the last separator before it
-    step = rank[order - 1]  # the row of the suffix that is longer by that letter
-    letter = np.where(before < k, 0, before - k + 1).astype(np.uint16)
-    part_of = np.repeat(np.arange(k), sizes + 1)
+    order, place = suffix_order(text, least)
+    letters = np.where(keep, text - k, 0).astype(np.uint8)
+    behind = np.arange(len(text)) - np.repeat(ends - sizes, sizes + 1)  # letters before a place in its part
     row, interval = np.arange(len(text)), np.zeros(len(text), np.int64)
-    for _ in range(least):
-        c = letter[row]
-        inside = c > 0
-        row, interval, c = row[inside], interval[inside], c[inside]
-        # rows with one letter before them keep their order, so a stable sort by letter sorts the new rows
-        by = np.argsort(c, kind="stable")
-        c, interval, row = c[by], interval[by], step[row[by]]
-        new = np.r_[True, (c[1:] != c[:-1]) | (interval[1:] != interval[:-1])]
-        first = np.flatnonzero(new)
+    depth = 0
+    while depth < least and len(row):
+        stride = _STRIDE if least - depth >= _STRIDE else least - depth
+        if depth == 0 or stride != _STRIDE:
+            code = _codes(letters, stride)
+        at = order[row]
+        inside = behind[at] >= stride
+        key = place[at[inside] - stride] << 32 | interval[inside]
+        key.sort()
+        row, interval = key >> 32, key & 0xFFFFFFFF
+        if not len(row):
+            break
+        before = code[order[row]]
+        first = np.flatnonzero(np.r_[True, (interval[1:] != interval[:-1]) | (before[1:] != before[:-1])])
         size = np.diff(np.r_[first, len(row)])
         stay = np.repeat(size > 1, size)
         interval = np.repeat(np.arange(len(first)), size)[stay]
         row = row[stay]
-        if not len(row):
-            break
+        depth += stride
     at = order[row]
-    own = part_of[at]
+    own = np.searchsorted(ends, at)
     return own, at - (ends[own] - sizes[own])
 
 
@@ -190,7 +211,7 @@ def _expanded(least: int):
             if len(group) > 1:
                 chunk += group
                 size += sum(len(x[1]) for x in group)
-            if size >= _CHUNK_BYTES:
+            if size >= _CHUNK_BYTES or len(chunk) >= _CHUNK_PARTS:
                 yield record(marks(chunk))
                 chunk, size = [], 0
         if chunk:
@@ -229,10 +250,11 @@ def _slices(stretch: DataFrame, least: int) -> DataFrame:
 
 def repeated_spans(texts: DataFrame, least: int = 200) -> DataFrame:
     """(rid, start, stop), overlapping: all bytes of ``texts`` (rid, text) in a repeated string of ``least`` bytes."""
-    found = texts.where(F.octet_length("text") >= least).mapInArrow(_anchored(least), "anchor long, content long, rid long, at long")
+    found = _staged(texts.where(F.octet_length("text") >= least).mapInArrow(_anchored(least), "anchor long, content long, rid long, at long"))
     # counts are combined before the shuffle, so an anchor that a third of the documents share is a few rows
     again = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("a"), F.max("content").alias("b")).where("n > 1")
-    again = again.select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
+    # written out, so that Spark can split a frequent anchor in the join
+    again = _staged(again.select("anchor", (F.col("a") != F.col("b")).alias("mixed")))
     hits = _staged(found.join(again, "anchor"))
     place = [F.shiftright("at", 24).alias("start"), F.expr("cast(shiftright(at, 12) & 4095 as int)").alias("length"), F.expr("cast(at & 4095 as int)").alias("place")]
     # the different stretches of each anchor, with how often each occurs and one place where it does
