@@ -108,7 +108,9 @@ def disclosing_terms(texts: DataFrame, base: DataFrame, support: int, generalise
     joint = (
         words.join(classes, "h").groupBy("class", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("joint")).where(F.col("texts") >= support)
     )
-    joint = checkpoint(joint)
+    # the texts at hand bound a term's count from below: most terms, common words first, leave too much unknown in these
+    near = words.groupBy("term").agg(F.sum("copies").alias("near"))
+    joint = checkpoint(joint.join(near, "term").where(F.col("near") <= F.col("joint") * 2.0**generalise_bits).drop("near"))
     wanted = checkpoint(joint.select("term").distinct())
     n = wanted.count()
     if not n:

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple = ()
+from trailweave.plans import page_queries
+
+_MODULES = (page_queries,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
