@@ -19,9 +19,12 @@ from trailweave.llm.blocks import sliced
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</\s*([a-zA-Z][^\s/>]*)[^>]*(?:>|$)"
-    r"|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)",
+    # attributes up to the ">" outside quotes; where a quote is never closed, up to the next ">"
+    r"|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+(?:>|\Z)|[^>]*+(?:>|\Z))",
     re.S,
 )
+#: Elements nested deeper than this become siblings, as in browsers.
+_DEEPEST = 500
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
 _RAW_END = {x: re.compile(rf"</{x}[\s/>]", re.I) for x in _RAW}
@@ -56,10 +59,11 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "words", "children", "parent", "score", "chars", "linked")
+    __slots__ = ("tag", "words", "children", "parent", "depth", "score", "chars", "linked")
 
     def __init__(self, tag: str, words: frozenset, parent: Node | None):
         self.tag, self.words, self.parent = tag, words, parent
+        self.depth = parent.depth + 1 if parent else 0
         self.children: list = []
         self.score = self.chars = self.linked = 0.0
 
@@ -116,12 +120,13 @@ def parse(page: str) -> Node:
                     found = up if up.tag in closes else found
                     up = up.parent
                 node = found.parent if found else node
-            words, hidden = _marks(m[3]) if m[3] else (frozenset(), False)
+            attributes = m[3].removesuffix(">")
+            words, hidden = _marks(attributes) if attributes else (frozenset(), False)
             if hidden:
                 words |= {"ad"}
             child = Node(tag, words, node)
             node.children.append(child)
-            if tag not in _VOID and not m[3].endswith("/"):
+            if tag not in _VOID and not attributes.endswith("/") and child.depth < _DEEPEST:
                 node = child
     return root
 
@@ -223,7 +228,7 @@ def main_text(page: str) -> str:
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import sys
 
-    sys.setrecursionlimit(20_000)
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10 * _DEEPEST))
     for batch in sliced(batches, "html", 1 << 22):
         texts = [main_text(x) for x in batch.column("html").to_pylist()]
         yield pa.record_batch(
