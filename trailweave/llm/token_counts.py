@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 #: A position where no pre-token of a byte-level BPE can cross: between a non-space and an ASCII
 #: white space (a white space only begins a pre-token), between ASCII letters and digits, and
-#: between CJK punctuation and a CJK letter.
+#: between CJK punctuation and a CJK letter (marks and punctuation of these blocks left out).
 SAFE_CUT = re.compile(
     r"(?<=\S)(?=[ \t\n\r\x0b\x0c])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
-    r"|(?<=[、。，！？])(?=[぀-ヿ一-鿿가-힯])"
+    r"|(?<=[、。，！？])(?=[ぁ-ゖァ-ヺ一-龥가-힣])"
 )
 _LOADED: dict[tuple[str, int], object] = {}
 
@@ -56,8 +56,12 @@ def encoded_lengths(tokenizer, texts: list[str]) -> list[int]:
     return [len(x) for x in tokenizer.encode(texts, num_threads=1)]
 
 
-def count_tokens(tokenizer, texts: list[str], batch_chars: int, piece_chars: int) -> list[int]:
-    """Token counts, encoded in batches of about ``batch_chars`` code points."""
+def utf8_size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
+def count_tokens(tokenizer, texts: list[str], batch_bytes: int, piece_chars: int) -> list[int]:
+    """Token counts, encoded in batches of about ``batch_bytes`` bytes of UTF-8."""
     splits = hasattr(tokenizer, "encode_batch_fast")  # pieces of other kinds of models are not proven safe
     counts, batch, owners, size = [0] * len(texts), [], [], 0
 
@@ -73,19 +77,19 @@ def count_tokens(tokenizer, texts: list[str], batch_chars: int, piece_chars: int
         for piece in safe_pieces(text, piece_chars) if splits else [text]:
             batch.append(piece)
             owners.append(row)
-            size += len(piece)
-            if size >= batch_chars:
+            size += utf8_size(piece)
+            if size >= batch_bytes:
                 flush()
     if batch:
         flush()
     return counts
 
 
-def n_tokens(text: Column, tokenizer_path: str, batch_chars: int = 1 << 18, piece_chars: int = 1 << 15) -> Column:
+def n_tokens(text: Column, tokenizer_path: str, batch_bytes: int = 1 << 18, piece_chars: int = 1 << 15) -> Column:
     """Column of token counts (long).  Only the text goes to Python and only the counts return.
 
     ``tokenizer_path``: a ``tokenizers`` JSON or a sentencepiece model, on every executor.
-    Encoding runs in batches of about ``batch_chars`` code points whatever the number of rows,
+    Encoding runs in batches of about ``batch_bytes`` bytes of UTF-8 whatever the number of rows,
     and a text longer than ``piece_chars`` is cut at the next safe boundary; a text that has
     none is encoded whole.  Null and empty texts have 0 tokens.
     """
@@ -95,7 +99,7 @@ def n_tokens(text: Column, tokenizer_path: str, batch_chars: int = 1 << 18, piec
         tokenizer = load_tokenizer(tokenizer_path)
         for array in batches:
             texts = [x or "" for x in array.to_pylist()]
-            yield pa.array(count_tokens(tokenizer, texts, batch_chars, piece_chars), pa.int64())
+            yield pa.array(count_tokens(tokenizer, texts, batch_bytes, piece_chars), pa.int64())
 
     return counted(text)
 
