@@ -111,15 +111,10 @@ def disclosing_terms(texts: DataFrame, base: DataFrame, support: int, generalise
     # the texts at hand bound a term's count from below: most terms, common words first, leave too much unknown in these
     near = words.groupBy("term").agg(F.sum("copies").alias("near"))
     joint = checkpoint(joint.join(near, "term").where(F.col("near") <= F.col("joint") * 2.0**generalise_bits).drop("near"))
-    wanted = checkpoint(joint.select("term").distinct())
-    n = wanted.count()
-    if not n:
+    if joint.isEmpty():
         return None
-    every = texts.select(F.explode(_words(F.col("text"))).alias("term"))
-    if n <= MOST_BROADCAST:  # few enough to send to all executors: other words are dropped before they are counted
-        counts = every.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").count()
-    else:
-        counts = every.groupBy("term").count().join(wanted, "term", "left_semi")
+    # counted where the words are, so what is shuffled grows with the vocabulary and not with the words
+    counts = texts.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").count()
     # IC(class) - PMI(class; term) = -log2 p(class | term)
     bits = joint.join(counts, "term").withColumn("bits", F.greatest(F.lit(0.0), F.log2(F.col("count") / F.col("joint"))))
     return classes, bits.where(F.col("bits") <= generalise_bits).select("class", "term", "bits")
