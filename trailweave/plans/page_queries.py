@@ -204,7 +204,7 @@ _SKELETONS = f"""
 hl AS (SELECT h.page_id, h.pos, CASE WHEN r.data_driven AND h.tag = 'h1' THEN 'h:h1' ELSE 'h:' || h.tag || ':' || {_squeeze(_fold('h.text'))} END AS line FROM heads h JOIN r USING (page_id) WHERE h.tag <> 'title'),
 hg AS (SELECT page_id, list(line ORDER BY pos) AS lines FROM (SELECT page_id, line, min(pos) AS pos FROM hl GROUP BY ALL) GROUP BY page_id),
 lt AS (SELECT l.page_id, '/' || array_to_string(list_transform(list_filter(string_split(l.href, '/'), lambda a: a <> ''), lambda a: CASE WHEN {_id_like('a')} THEN '*' ELSE {_fold('a')} END), '/') AS route FROM links l),
-ag AS (SELECT at.page_id, list_sort(list_distinct(list('a:link|' || lt.route))) AS lines FROM lt JOIN r ON r.page_id = lt.page_id AND r.route <> lt.route GROUP BY lt.page_id),
+ag AS (SELECT lt.page_id, list_sort(list_distinct(list('a:link|' || lt.route))) AS lines FROM lt JOIN r ON r.page_id = lt.page_id AND r.route <> lt.route GROUP BY lt.page_id),
 sk AS (SELECT r.page_id, r.origin, r.route, coalesce(hg.lines, []) || coalesce(ag.lines, []) AS lines FROM r LEFT JOIN hg USING (page_id) LEFT JOIN ag USING (page_id)),
 sg AS (SELECT *, array_to_string(lines, chr(10)) AS structure, substr(sha1(route || '||' || array_to_string(lines, chr(10))), 1, 12) AS signature FROM sk)
 """
