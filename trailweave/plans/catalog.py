@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailweave.plans import page_queries
+from trailweave.plans import event_queries, page_queries, record_queries
 
-_MODULES = (page_queries,)
+_MODULES = (page_queries, event_queries, record_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -198,7 +198,7 @@ l0 AS (SELECT page_id, origin, path, regexp_extract_all(html, '(?is)<nav\\b[^>]*
 l1 AS (SELECT page_id, origin, path, unnest(found) AS t, unnest(range(len(found))) AS k FROM l0),
 l2 AS (SELECT *, sum(CASE WHEN lower(t) LIKE '<nav%' THEN 1 WHEN lower(t) LIKE '</nav%' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY k) AS depth FROM l1),
 l3 AS (SELECT page_id, origin, k, depth > 0 AS in_nav, regexp_extract(t, '(?is)\\shref\\s*=\\s*"([^"]*)"', 1) AS href, substr({_plain('t')}, 1, 60) AS label FROM l2 WHERE lower(t) LIKE '<a%'),
-links AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos, href, origin || href AS target, label, in_nav, row_number() OVER (PARTITION BY page_id, label ORDER BY k) - 1 AS nth FROM l3)
+links AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INT) AS pos, href, origin || href AS target, label, in_nav, CAST(row_number() OVER (PARTITION BY page_id, label ORDER BY k) - 1 AS INT) AS nth FROM l3)
 """
 _SKELETONS = f"""
 hl AS (SELECT h.page_id, h.pos, CASE WHEN r.data_driven AND h.tag = 'h1' THEN 'h:h1' ELSE 'h:' || h.tag || ':' || {_squeeze(_fold('h.text'))} END AS line FROM heads h JOIN r USING (page_id) WHERE h.tag <> 'title'),

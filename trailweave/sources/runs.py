@@ -91,13 +91,14 @@ def event_screens(events: DataFrame) -> DataFrame:
     return rows.withColumn("screen", F.concat_ws("/", "kind", F.floor(F.coalesce("k", F.lit(0)) / 10).cast("string")))
 
 
-def event_edges(events: DataFrame) -> DataFrame:
+def event_edges(events: DataFrame, start: str | None = None) -> DataFrame:
     """Steps of the same user from one event to the next: (edge_pos, user_id, src, dst, label, error).
 
     ``edge_pos`` is the id of the arriving event; an arrival of kind error is a failed step.
+    ``start``: name of the place before a user's first event; without it that event is no step.
     """
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = event_screens(events).withColumn("src", F.lag("screen").over(w))
+    rows = event_screens(events).withColumn("src", F.coalesce(F.lag("screen").over(w), F.lit(start)))
     return rows.where("src is not null").select(
         F.col("event_id").alias("edge_pos"), "user_id", "src", F.col("screen").alias("dst"), F.col("kind").alias("label"), (F.col("kind") == "error").alias("error")
     )
