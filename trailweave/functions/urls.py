@@ -191,22 +191,31 @@ def normalized_query(q: Column, options: RouteOptions) -> Column:
     return F.struct(F.array_join(parts, "&").alias("query"), values.alias("values"), F.exists(pairs, is_data).alias("data"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is written once in the plan, however often the body refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def route(url: Column, own_origin: Column | None = None, options: RouteOptions = RouteOptions(), learned: Column | None = None) -> Column:
     """{route, data_values, data_driven} of a URL; null if it isn't http(s) or of another origin."""
     if learned is None and options.learned:
         learned = F.array(*map(F.lit, options.learned))
     original = segments(url)
     ruled = ruled_segments(original, options.path_rules)
-    done = normalized(ruled, learned)
-    q = normalized_query(search(url), options)
     changed = F.filter(F.zip_with(original, ruled, lambda a, b: F.when(a != b, a)), lambda x: x.isNotNull())
     by_rule = F.when(F.size(ruled) == F.size(original), changed).otherwise(F.array().cast("array<string>")) if options.path_rules else F.array().cast("array<string>")
-    text = F.concat(F.lit("/"), F.array_join(done["norm"], "/"), F.when(q["query"] != "", F.concat(F.lit("?"), q["query"])).otherwise(""))
-    whole = F.struct(
-        text.alias("route"), F.concat(by_rule, done["values"], q["values"]).alias("data_values"), (F.array_contains(done["norm"], "*") | q["data"]).alias("data_driven")
-    )
+
+    def found(done: Column, q: Column) -> Column:
+        text = F.concat(F.lit("/"), F.array_join(done["norm"], "/"), F.when(q["query"] != "", F.concat(F.lit("?"), q["query"])).otherwise(""))
+        return F.struct(
+            text.alias("route"), F.concat(by_rule, done["values"], q["values"]).alias("data_values"), (F.array_contains(done["norm"], "*") | q["data"]).alias("data_driven")
+        )
+
+    both = F.struct(normalized(ruled, learned).alias("done"), normalized_query(search(url), options).alias("q"))
+    whole = _let(both, lambda x: found(x["done"], x["q"]))
     same = is_http(url) & origin(url).isNotNull()
-    return F.when(same & origin(url).eqNullSafe(own_origin) if own_origin is not None else same, whole)
+    same = same & origin(url).eqNullSafe(own_origin) if own_origin is not None else same
+    return F.when(same, whole)
 
 
 def external_route(url: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailweave.functions.text import fingerprint12, fold_digits, is_data_text, scrub
 from trailweave.functions.urls import RouteOptions, external_route, host, origin, route
 from trailweave.operators.learning import names
+from trailweave.session import checkpoint
 
 
 def skeletons(pages: DataFrame, headings: DataFrame, links: DataFrame, options: RouteOptions = RouteOptions(), variants: DataFrame | None = None, fields: DataFrame | None = None) -> DataFrame:
@@ -16,10 +17,11 @@ def skeletons(pages: DataFrame, headings: DataFrame, links: DataFrame, options:
     Lines: dialogs and tabs (none in static pages), headings in page order, actions and fields
     sorted, each once.  Data values, those of the URL, of the first h1 of a data page and the
     names that links give, become *.  Links to the page's own route aren't part of it.
-    ``variants``: (origin, route) whose h1 is data too.
+    ``variants``: (origin, route) whose h1 is data too.  Routes and links are written to the
+    checkpoint folder, as several branches use them: pages are parsed once and plans stay small.
     """
-    r = route(F.col("url"), options=options)
-    own = pages.select("page_id", "url", origin(F.col("url")).alias("origin"), r["route"].alias("route"), r["data_values"].alias("data_values"), r["data_driven"].alias("data_driven"))
+    routed = pages.select("page_id", "url", origin(F.col("url")).alias("origin"), route(F.col("url"), options=options).alias("r"))
+    own = checkpoint(routed.select("page_id", "url", "origin", "r.route", "r.data_values", "r.data_driven"))
     if variants is not None:
         known = variants.select("origin", "route", F.lit(True).alias("variant"))
         own = own.join(known, ["origin", "route"], "left").withColumn("data_like", F.col("data_driven") | F.coalesce("variant", F.lit(False)))
@@ -27,8 +29,8 @@ def skeletons(pages: DataFrame, headings: DataFrame, links: DataFrame, options:
         own = own.withColumn("data_like", F.col("data_driven"))
     heads = headings.where(F.col("tag") != "title")
     first = heads.where(F.col("tag") == "h1").groupBy("page_id").agg(F.min_by("text", "pos").alias("h1"))
-    target = route(F.col("target"), options=options)
-    acts = links.select("page_id", "url", "pos", "label", "target", target["route"].alias("to"), target["data_driven"].alias("data_driven"), origin(F.col("target")).alias("to_origin"))
+    led = links.select("page_id", "pos", "label", "target", route(F.col("target"), options=options).alias("r"), origin(F.col("target")).alias("to_origin"))
+    acts = checkpoint(led.select("page_id", "pos", "label", "target", F.col("r.route").alias("to"), "r.data_driven", "to_origin"))
     named = names(acts.select("page_id", "label", "target", F.col("to").alias("route"), "data_driven")).groupBy("page_id").agg(F.collect_set("label").alias("names"))
     base = own.join(first, "page_id", "left").join(named, "page_id", "left")
     none = F.array().cast("array<string>")
