@@ -163,7 +163,7 @@ def measure(node: Node, linked: bool, containers: list[Node]) -> None:
             node.linked += x.linked
     node.chars += own
     node.linked += own * linked
-    paragraph = node.tag in ("p", "pre", "td", "blockquote", "h1") or own and node.tag in ("div", "section", "article", "main", "li", "dd", "body")
+    paragraph = node.tag in ("p", "pre", "td", "blockquote", "h1") or own and node.tag in ("div", "section", "article", "main", "li", "dd", "body", "#root")
     if paragraph and node.chars:
         text = html.unescape(_text(node)) if node.tag in ("p", "pre", "td", "blockquote") else "".join(x for x in node.children if isinstance(x, str))
         points = min(1.0, node.chars / 25) + text.count(",") + text.count("،") + text.count("，") + min(3.0, len(text) / 100)
@@ -212,8 +212,8 @@ def main_text(page: str) -> str:
     kept = [best]
     if best.parent is not None and best.tag not in ("article", "main", "body"):
         near = max(10.0, 0.2 * best_score)
-        same = lambda x: 0.2 * best_score if best.words and x.words == best.words else 0.0
-        wanted = lambda x: x is best or x.chars and (_final(x) + same(x) >= near or x.tag == "p" and x.chars > 80 and x.linked < 0.25 * x.chars)
+        alike = lambda x: best.words and (x.tag, x.words) == (best.tag, best.words)
+        wanted = lambda x: x is best or x.chars and (_final(x) >= (0.2 * best_score if alike(x) else near) or x.tag == "p" and x.chars > 80 and x.linked < 0.25 * x.chars)
         kept = [x for x in best.parent.children if not isinstance(x, str) and wanted(x)]
     elif best.tag == "article" and best.parent is not None:
         kept = [x for x in best.parent.children if x is best or not isinstance(x, str) and x.tag == "article" and _final(x) >= 0.2 * best_score]
