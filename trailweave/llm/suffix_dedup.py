@@ -135,7 +135,7 @@ _STRIDE = 8
 def _codes(data: np.ndarray, width: int) -> np.ndarray:
     """The ``width`` letters from each place on, as one number."""
     code = np.zeros(len(data), np.uint64)
-    for k in range(width):
+    for k in range(min(width, len(data))):
         code[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(8 * (width - 1 - k))
     return code
 
