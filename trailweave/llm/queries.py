@@ -83,7 +83,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailweave.llm.warc import archived
 
     found = archived(table(spark, sf_dir, "pages"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "index_order", "intact")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,4 +109,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from trailweave.llm.oracle import SQL
+
+    return dict(SQL)
