@@ -104,6 +104,17 @@ def test_terms_that_disclose_an_entity(documents):
     assert all(clean[k] == t for k, t in common)
 
 
+def test_terms_of_entities_of_one_or_few_texts(documents):
+    common = [(k, f"plain words about gardens number {k} flowers") for k in range(200)]
+    alone = "plain words about Kim Zebulonia, 4111 1111 1111 1111, gardens"
+    few = [f"plain words about Acmeware gardens {n}@acme.example.org flowers" for n in ("anna", "bert", "cleo")]
+    net = [f"plain words about Hostilia gardens 10.7.3.{n} flowers" for n in (1, 2, 3)]
+    texts = dict(common) | dict(enumerate([alone, *few, *net], 1000))
+    rows = {r.doc_id: r.spans for r in pii_report(documents(list(texts.items()))).collect()}
+    terms = {k: [texts[k][int(s) : int(e)] for kind, s, e in (x.split(":") for x in v.split(",") if x) if kind == "term"] for k, v in rows.items()}
+    assert terms == {k: [] for k, _ in common} | {1000: ["Kim", "Zebulonia"]} | dict.fromkeys((1001, 1002, 1003), ["Acmeware"]) | dict.fromkeys((1004, 1005, 1006), ["Hostilia"])
+
+
 def test_pii_of_odd_and_no_rows(documents):
     assert pii_report(documents(ODD)).count() == len(ODD) and pii_report(documents([])).count() == 0
     same = [r for r in pii_report(documents([(3, "a@b.c"), (3, "a@b.c"), (None, "a@b.c"), (None, None)])).collect()]

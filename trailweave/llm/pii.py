@@ -5,7 +5,9 @@ IP addresses, card numbers and phone numbers.  Then information theory: an entit
 content is -log2 p(entity), and a term tells of it the pointwise mutual information that their
 co-occurrence in the corpus has.  What remains unknown, the difference of the two, is
 -log2 p(entity | term).  In texts that have the entity, terms that leave under ``remove_bits``
-unknown are removed and those that leave under ``generalise_bits`` are generalised.
+unknown are removed and those that leave under ``generalise_bits`` are generalised.  Protected
+too is what an entity is part of: the domain and the local part of an address, and the network
+of an IP address.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ PATTERNS = {
 }
 #: A text without this has no match of the kind.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-_WORD = r"\p{L}{4,}+"
+#: Words of four letters and more, and shorter ones if they begin with a capital or have no case, as names do.
+_WORD = r"(?<!\p{L})(?:\p{L}{4,}+|[\p{Lu}\p{Lt}\p{Lo}]\p{L}*+)"
 _OCTET = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 MOST_BROADCAST = 200_000
 
@@ -86,28 +89,39 @@ def base_spans(texts: DataFrame) -> DataFrame:
 def _words(text: Column) -> Column:
     """Distinct lower-case words, without those of e-mail addresses."""
     bare = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
-    return F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(_WORD), F.lit(0)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(_WORD), F.lit(0)), F.lower))
+
+
+def _entities(base: DataFrame) -> DataFrame:
+    """(h, entity) of what is protected: each entity itself, and the coarser ones that it belongs to."""
+    value, kind = F.lower("value"), F.col("kind")
+    norm = F.when(kind <= 1, value).otherwise(F.regexp_replace("value", "[^0-9]", ""))
+    coarser = (
+        F.when(kind == 0, F.array(F.concat(F.lit("@"), F.substring_index(value, "@", -1)), F.concat(F.substring_index(value, "@", 1), F.lit("@"))))
+        .when(kind == 1, F.array(F.concat(F.substring_index(value, ".", 3), F.lit("."))))
+        .otherwise(F.array().cast("array<string>"))
+    )
+    return base.select("h", "kind", F.explode(F.concat(F.array(norm), coarser)).alias("v")).select("h", F.xxhash64("kind", "v").alias("entity")).distinct()
 
 
 def disclosing_terms(texts: DataFrame, base: DataFrame, support: int, generalise_bits: float) -> tuple[DataFrame, DataFrame] | None:
     """(h, class) and (class, term, bits): which texts have which entities, and what terms leave unknown.
 
     Entities that occur in exactly the same texts are one class, as every term tells the same of
-    them.  A term and a class count if ``support`` different texts have both.  Counts are over
-    all documents; copies of a text count as often as they occur.  None: no term has support.
+    them.  A term counts for a class if half of the class's different texts have it, one at least,
+    or if ``support`` of them have it.  Counts are over all documents; copies of a text count as
+    often as they occur.  None: there is no such term.
     """
-    norm = F.when(F.col("kind") == 0, F.lower("value")).when(F.col("kind") == 1, F.col("value")).otherwise(F.regexp_replace("value", "[^0-9]", ""))
-    entities = base.select("h", F.xxhash64("kind", norm).alias("entity")).distinct()
-    sets = entities.groupBy("entity").agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y")).where(F.col("n") >= support)
-    classes = checkpoint(entities.join(sets, "entity").select("h", F.xxhash64("n", "x", "y").alias("class")).distinct())
+    entities = checkpoint(_entities(base))
+    sets = entities.groupBy("entity").agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y"))
+    sets = sets.select("entity", F.xxhash64("n", "x", "y").alias("class"), F.least(F.lit(support), F.ceil(F.col("n") / 2)).alias("needed"))
+    classes = checkpoint(join_checked(entities, sets, "entity", "inner", MOST_BROADCAST).select("h", "class", "needed").distinct())
     copies = base.select("doc_id", "h").distinct().groupBy("h").agg(F.count("*").alias("copies"))
-    weighed = classes.select("h").distinct().join(copies, "h")
     # words of the texts that have a class, once for each different text
-    own = join_checked(texts.select("h", "text"), weighed, "h", "inner", MOST_BROADCAST)
+    own = join_checked(texts.select("h", "text"), copies, "h", "inner", MOST_BROADCAST)
     words = own.select("h", "copies", F.explode(_words(F.col("text"))).alias("term")).distinct()
-    joint = (
-        words.join(classes, "h").groupBy("class", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("joint")).where(F.col("texts") >= support)
-    )
+    joint = words.join(classes, "h").groupBy("class", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("joint"), F.first("needed").alias("needed"))
+    joint = joint.where(F.col("texts") >= F.col("needed"))
     # the texts at hand bound a term's count from below: most terms, common words first, leave too much unknown in these
     near = words.groupBy("term").agg(F.sum("copies").alias("near"))
     joint = checkpoint(joint.join(near, "term").where(F.col("near") <= F.col("joint") * 2.0**generalise_bits).drop("near"))
@@ -117,7 +131,7 @@ def disclosing_terms(texts: DataFrame, base: DataFrame, support: int, generalise
     counts = texts.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").count()
     # IC(class) - PMI(class; term) = -log2 p(class | term)
     bits = joint.join(counts, "term").withColumn("bits", F.greatest(F.lit(0.0), F.log2(F.col("count") / F.col("joint"))))
-    return classes, bits.where(F.col("bits") <= generalise_bits).select("class", "term", "bits")
+    return classes.select("h", "class"), bits.where(F.col("bits") <= generalise_bits).select("class", "term", "bits")
 
 
 def term_spans(texts: DataFrame, base: DataFrame, support: int, generalise_bits: float) -> DataFrame | None:
