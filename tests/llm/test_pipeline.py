@@ -57,6 +57,29 @@ def test_near_copies_meet_in_one_document(kept):
     assert len(alone) <= 0.02 * len(gone)
 
 
+def test_groups_are_those_of_all_pairs_of_similarity(spark):
+    from trailweave.llm.shingle_join import similar_groups
+    from trailweave.llm.simhash import features
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    sets = {r.doc_id: frozenset(features((r.text or "").encode(), 5)) for r in docs.collect()}
+    ids, up = sorted(sets), {}
+
+    def root(x):
+        while x in up:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            s, t = sets[a], sets[b]
+            if 5 * min(len(s), len(t)) >= 4 * max(len(s), len(t)) and 5 * len(s & t) >= 4 * len(s | t) and root(a) != root(b):
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    assert len(up) > 20
+    assert {r.doc_id: r.component_id for r in similar_groups(docs).collect()} == {x: root(x) for x in ids}
+    assert sorted(r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()) == [x for x in ids if root(x) == x]
+
+
 def test_no_benchmark_passage_is_left(spark, kept):
     from trailweave.llm.decontaminate import contamination
 

@@ -1,0 +1,111 @@
+"""Near-duplicates by the exact Jaccard similarity of word shingles.
+
+Candidates come by prefix filtering, which misses none: in whatever order all shingles are put, two
+sets with similarity of at least s have one of the first n - ceil(s n) + 1 shingles of each in
+common.  The order is that of their hashes, and shingles that are frequent in a sample come last,
+so that few sets share a prefix.  Each candidate is then compared by its whole sets.  Only links
+between different components matter: sets are first compared with one set of each shingle, and
+then all pairs that are in different components still.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from trailweave.llm.blocks import as_bytes, sliced
+from trailweave.llm.components import connected_components
+from trailweave.llm.simhash import SEED, features
+from trailweave.session import checkpoint
+
+#: A sample of one text in so many tells which shingles are frequent: those of so many of its texts. They only order the shingles.
+SAMPLE, FREQUENT, MOST_FREQUENT = 16, 4, 20_000
+#: Rounds of comparing with one set of each shingle before all remaining pairs are compared.
+HUB_ROUNDS = 2
+
+
+def _hashed(width: int, percent: int, frequent: np.ndarray):
+    digest = xxhash.xxh64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text", 1 << 21):
+            nodes, sizes, firsts, sets = [], [], [], []
+            for text in as_bytes(batch.column("text")):
+                found = features(text, width)
+                own = np.unique(np.fromiter((digest(x, SEED) for x in found), np.uint64, len(found)).view(np.int64))
+                late = np.isin(own, frequent)
+                nodes.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+                sizes.append(len(own))
+                firsts.append(len(own) - -(-percent * len(own) // 100) + 1 if len(own) else 0)
+                sets.append(np.r_[own[~late], own[late]])
+            offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
+            columns = [batch.column("doc_id"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.int32()), lists]
+            yield pa.record_batch(columns, ["doc_id", "node", "n", "first", "shingles"])
+
+    return run
+
+
+def shingle_sets(texts: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """(doc_id, node, n, first, shingles) of each text: the set's hash, size, prefix length and hashes in order."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(_hashed(width, percent, frequent), f"doc_id {kind}, node long, n int, first int, shingles array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of sets whose similarity is at least ``percent`` hundredths."""
+    pairs = checkpoint(pairs.distinct())
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    own = checkpoint(sets.join(ends, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("s")))
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("s").alias("s")), "a").join(own.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
+    common = F.size(F.array_intersect("s", "t"))
+    return checkpoint(both.where((100 + percent) * common >= percent * (F.size("s") + F.size("t"))).select("a", "b"))
+
+
+def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id): smallest id reachable over pairs of at least ``percent`` hundredths similarity.
+
+    The similarity is that of the sets of ``width``-word shingles, a text of fewer words being one
+    shingle.  Texts with equal sets, those without words among them, are one node.
+    """
+    texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    some = shingle_sets(texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0), width, percent, np.zeros(0, np.int64))
+    counts = some.select(F.explode("shingles").alias("x")).groupBy("x").count().where(F.col("count") >= FREQUENT)
+    frequent = np.array([r.x for r in counts.orderBy(F.desc("count"), "x").limit(MOST_FREQUENT).collect()], np.int64)
+    sets = checkpoint(shingle_sets(texts, width, percent, frequent))
+    prefix = F.posexplode(F.slice("shingles", 1, F.col("first"))).alias("at", "shingle")
+    rows = checkpoint(sets.select("node", "n", prefix).distinct())
+    shared = rows.groupBy("shingle").count().where(F.col("count") > 1).select("shingle")
+    rows = checkpoint(rows.join(shared, "shingle"))
+    close = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    nodes = rows.select("node").distinct()
+    links, component = None, nodes.withColumn("component", F.col("node"))
+    for k in range(HUB_ROUNDS + 1):
+        known = rows.join(component, "node")
+        groups = known.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("r"), "node", "n", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
+        open_groups = groups.where("low <> high").select("shingle", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "n", "component")))
+        left = known.join(open_groups, "shingle")
+        if k < HUB_ROUNDS:
+            pairs = left.where((F.col("component") != F.col("hub_component")) & close(F.col("n"), F.col("hub_n"))).select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b"))
+        else:
+            left = checkpoint(left.select("shingle", "node", "n", "at", "component"))
+            x, y = left.toDF(*(f"x_{c}" for c in left.columns)), left.toDF(*(f"y_{c}" for c in left.columns))
+            # what both can have in common besides what comes before the shingle
+            most = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) + F.least("x_at", "y_at")
+            able = close(F.col("x_n"), F.col("y_n")) & ((100 + percent) * most >= percent * (F.col("x_n") + F.col("y_n")))
+            both = x.join(y, (F.col("x_shingle") == F.col("y_shingle")) & (F.col("x_node") < F.col("y_node")) & (F.col("x_component") != F.col("y_component")) & able)
+            pairs = both.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+        new = _similar(pairs, sets, percent)
+        links = new if links is None else checkpoint(links.union(new))
+        joined = connected_components(links)
+        component = checkpoint(nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    reps = checkpoint(sets.groupBy("node").agg(F.min("doc_id").alias("rep")))
+    member = reps.join(component, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    least = member.groupBy("component").agg(F.min("rep").alias("component_id"))
+    known = checkpoint(member.join(least, "component").select("node", "component_id"))
+    return sets.select("doc_id", "node").join(known, "node").select(F.col("doc_id").alias(id_col), "component_id")

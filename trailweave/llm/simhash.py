@@ -253,7 +253,12 @@ def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows without an id stay, as there is nothing to choose by.  Of repeated rows one stays.
     """
-    found = checkpoint(near_duplicates(documents, id_col=id_col, text_col=text_col, **options).where(F.col(id_col).isNotNull()))
+    return first_of_each(documents, near_duplicates(documents, id_col=id_col, text_col=text_col, **options), id_col)
+
+
+def first_of_each(documents: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``documents`` without those that ``groups`` (id, component_id) has with another's id, as ``one_of_each``."""
+    found = checkpoint(groups.where(F.col(id_col).isNotNull()))
     others = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id")).distinct()
     repeated = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_id")).count().where("count > 1").select("_id")
     rows = documents.withColumn("_id", F.col(id_col))
