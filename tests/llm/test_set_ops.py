@@ -9,6 +9,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -100,6 +101,24 @@ def test_repeats_on_the_documents(spark, sf):
     assert {r.doc_id: r.n_removed for r in found} == {k: int(g.sum()) for k, g in gone.items()} and sum(r.n_removed for r in found) > 0
 
 
+def test_a_long_text_after_a_short_one():
+    rng = np.random.default_rng(4)
+    passage = rng.integers(97, 123, 300, np.uint8).tobytes()
+    long = rng.integers(97, 123, 17 << 20, np.uint8).tobytes()
+    at = len(long) - 5000
+    long = long[:at] + passage + long[at + len(passage) :]
+    rows = [(1, b"small " + passage), (2, long)]
+    batch = pa.record_batch([pa.array([r for r, _ in rows]), pa.array([t.decode() for _, t in rows])], ["rid", "text"])
+    found = {}
+    for b in suffix_dedup._anchored(200)(iter([batch])):
+        for anchor, rid, packed in zip(b.column("anchor").to_pylist(), b.column("rid").to_pylist(), b.column("at").to_pylist()):
+            start, length, place = packed >> 24, packed >> 12 & 4095, packed & 4095
+            assert 0 <= start and start + length <= len(rows[rid - 1][1]) and place + suffix_dedup.GRAM <= length
+            found.setdefault(anchor, set()).add((rid, start + place))
+    # the anchor of the passage is found in both
+    assert any({(1, 6 + k), (2, at + k)} <= places for places in found.values() for k in range(300))
+
+
 @pytest.mark.parametrize("least", [1, 3, 8, 20])
 def test_interval_expansion(least):
     rng = random.Random(least)

@@ -97,9 +97,12 @@ def _anchored(least: int):
                     parts.append(text[at : at + _PART + least - 1])
                     shifts.append(at)
             row, shift = np.array(rows, np.int64), np.array(shifts, np.int64)
-            together = len(parts) if len(batch) > 1 else 1
-            for low in range(0, len(parts), together):
-                own, anchor, start, length, place, content = stretches(parts[low : low + together], least)
+            # parts are hashed together as long as they begin within one block, whatever rows they are of
+            sizes = np.array([len(x) for x in parts])
+            block = (np.cumsum(sizes) - sizes) // _BLOCK
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(parts)]
+            for low, high in zip(cuts, cuts[1:]):
+                own, anchor, start, length, place, content = stretches(parts[low:high], least)
                 at = start + shift[low + own] << 24 | length << 12 | place
                 rid = batch.column("rid").to_numpy()[row[low + own]]
                 yield pa.record_batch([pa.array(anchor), pa.array(content), pa.array(rid), pa.array(at)], ["anchor", "content", "rid", "at"])
