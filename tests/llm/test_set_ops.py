@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,27 @@ def test_repeats_on_the_documents(spark, sf):
     assert {r.doc_id: r.n_removed for r in found} == {k: int(g.sum()) for k, g in gone.items()} and sum(r.n_removed for r in found) > 0
 
 
+def test_repeats_of_crowded_slices(documents, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_STRETCHES", 1)
+    monkeypatch.setattr(suffix_dedup, "CROWDED_PARTS", 1)
+    compared = []
+    single = suffix_dedup._single_strings
+    monkeypatch.setattr(suffix_dedup, "_single_strings", lambda parts, least: compared.append(parts.count()) or single(parts, least))
+    texts = repeat_texts()
+    gone = brute_repeats([t.encode() for t in texts], 200)
+    found = {r.doc_id: bytes(r.kept) for r in suffix_dedup.without_repeats(documents(list(enumerate(texts)))).collect()}
+    assert found == {k: bytes(np.frombuffer(t.encode(), np.uint8)[~gone[k]]) for k, t in enumerate(texts)} and compared[0] > 0
+
+
+def test_interval_expansion_of_many_parts():
+    rng = np.random.default_rng(6)
+    parts = [rng.choice(np.frombuffer(b"abcdefgh", np.uint8), 12).tobytes() for _ in range(70_000)]
+    own, at = suffix_dedup.repeated_prefixes(parts, 8)
+    strings = [p[i : i + 8] for p in parts for i in range(5)]
+    seen = Counter(strings)
+    assert sorted(zip(own.tolist(), at.tolist())) == [(k // 5, k % 5) for k, s in enumerate(strings) if seen[s] > 1]
+
+
 def test_a_long_text_after_a_short_one():
     rng = np.random.default_rng(4)
     passage = rng.integers(97, 123, 300, np.uint8).tobytes()

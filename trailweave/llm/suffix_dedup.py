@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.llm.blocks import as_bytes, sliced
-from trailweave.session import ensure_checkpoint_dir, join_checked
+from trailweave.session import checkpoint, ensure_checkpoint_dir, join_checked
 
 GRAM = 32
 _PLACE = np.uint64((1 << 24) - 1)
 #: Different stretches of an anchor from which on they are dealt in slices by what surrounds the anchor.
 HOT_STRETCHES = 4000
 SLICES = 8
+#: Different parts of a slice from which on its strings are counted one by one, so that no task holds a larger group.
+CROWDED_PARTS = 1 << 14
 _CHUNK_BYTES, _CHUNK_PARTS = 1 << 20, 1 << 15
 #: Bytes of texts that are hashed at once, and of a part of a longer text: both below the 2^24 places that fit beside a hash.
 _BLOCK, _PART = 1 << 18, 1 << 22
@@ -111,11 +113,15 @@ def _anchored(least: int):
 
 
 def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order of their first ``depth`` symbols (below 2^16), by prefix doubling, and their places in it."""
-    n, size = len(text), 4
+    """Suffixes in order of their first ``depth`` symbols (below 2^31), by prefix doubling, and their places in it."""
+    n, most = len(text), int(text.max(initial=0))
+    size, bits = (4, 16) if most < 1 << 16 else (3, 21) if most < 1 << 21 else (2, 32)
     padded = np.r_[text, np.zeros(size, np.int64)]
-    key = padded[:n] << 48 | padded[1 : n + 1] << 32 | padded[2 : n + 2] << 16 | padded[3 : n + 3]
-    key ^= -(1 << 63)  # so that signed comparison sorts the first symbol as unsigned
+    key = padded[:n].copy()
+    for k in range(1, size):
+        key = key << bits | padded[k : n + k]
+    if size * bits == 64:
+        key ^= -(1 << 63)  # so that signed comparison sorts the first symbol as unsigned
     while True:
         order = np.argsort(key)
         ordered = key[order]
@@ -251,6 +257,18 @@ def _slices(stretch: DataFrame, least: int) -> DataFrame:
     )
 
 
+def _single_strings(parts: DataFrame, least: int) -> DataFrame:
+    """(rid, start, stop) of the repeated strings of ``parts`` (group, bytes, n, rid, start) that occur once each as parts.
+
+    Each string of ``least`` bytes is a row, and equal ones are counted without being gathered.
+    """
+    at = F.explode(F.sequence(F.lit(0), F.length("bytes") - least)).alias("i")
+    rows = _staged(parts.select("group", "bytes", "n", "rid", "start", at).select("group", F.expr(f"substring(bytes, i + 1, {least})").alias("string"), "n", "rid", (F.col("start") + F.col("i")).alias("start")))
+    again = _staged(rows.groupBy("group", "string").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("group", "string"))
+    found = rows.where("n = 1").join(again, ["group", "string"], "left_semi")
+    return found.select("rid", "start", (F.col("start") + least).alias("stop"))
+
+
 def repeated_spans(texts: DataFrame, least: int = 200) -> DataFrame:
     """(rid, start, stop), overlapping: all bytes of ``texts`` (rid, text) in a repeated string of ``least`` bytes."""
     found = _staged(texts.where(F.octet_length("text") >= least).mapInArrow(_anchored(least), "anchor long, content long, rid long, at long"))
@@ -271,9 +289,17 @@ def repeated_spans(texts: DataFrame, least: int = 200) -> DataFrame:
     plain = stretch.where("hot is null").select(F.col("anchor").alias("group"), "bytes", "n", "rid", "start")
     slices = _slices(stretch.where("hot"), least)
     slices = slices.groupBy("group", "bytes").agg(F.sum("n").alias("n"), F.min(F.struct("rid", "start")).alias("one"), F.count("*").alias("k"), F.collect_list(F.struct("rid", "start")).alias("all"))
+    slices = _staged(slices)
     # equal parts of different stretches repeat as a whole
     doubled = slices.where("k > 1").select(F.explode("all").alias("x"), F.length("bytes").alias("length")).select("x.rid", "x.start", (F.col("x.start") + F.col("length")).alias("stop"))
-    parts = plain.unionByName(slices.select("group", "bytes", "n", "one.rid", "one.start"))
+    cut = slices.select("group", "bytes", "n", "one.rid", "one.start")
+    crowded = slices.groupBy("group").agg(F.count("*").alias("parts")).where(F.col("parts") > CROWDED_PARTS).select("group")
+    crowded = checkpoint(crowded)
+    if not crowded.isEmpty():
+        single = _single_strings(join_checked(cut, crowded, "group", "left_semi", MOST_BROADCAST), least)
+        doubled = doubled.unionByName(single)
+        cut = join_checked(cut, crowded, "group", "left_anti", MOST_BROADCAST)
+    parts = plain.unionByName(cut)
     sorted_parts = parts.repartition("group").sortWithinPartitions("group")
     compared = sorted_parts.mapInArrow(_expanded(least), "rid long, start long, stop long")
     whole = hits.where("not mixed").select("rid", *place[:2])
