@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 from trailweave.llm.blocks import as_bytes, sliced
 from trailweave.llm.components import connected_components
 from trailweave.llm.simhash import SEED, features
-from trailweave.session import checkpoint
+from trailweave.session import checkpoint, join_checked
 
 #: A sample of one text in so many tells which shingles are frequent: those of so many of its texts. They only order the shingles.
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 4, 20_000
 #: Rounds of comparing with one set of each shingle before all remaining pairs are compared.
 HUB_ROUNDS = 2
+#: Rows of one number each that are sent to all executors.
+MOST_BROADCAST = 1_000_000
 
 
 def _hashed(width: int, percent: int, frequent: np.ndarray):
@@ -61,7 +63,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of sets whose similarity is at least ``percent`` hundredths."""
     pairs = checkpoint(pairs.distinct())
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    own = checkpoint(sets.join(ends, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("s")))
+    own = join_checked(sets, ends, "node", "left_semi", MOST_BROADCAST).groupBy("node").agg(F.first("shingles").alias("s"))
     both = pairs.join(own.select(F.col("node").alias("a"), F.col("s").alias("s")), "a").join(own.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
     common = F.size(F.array_intersect("s", "t"))
     return checkpoint(both.where((100 + percent) * common >= percent * (F.size("s") + F.size("t"))).select("a", "b"))
@@ -79,9 +81,9 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, id_c
     frequent = np.array([r.x for r in counts.orderBy(F.desc("count"), "x").limit(MOST_FREQUENT).collect()], np.int64)
     sets = checkpoint(shingle_sets(texts, width, percent, frequent))
     prefix = F.posexplode(F.slice("shingles", 1, F.col("first"))).alias("at", "shingle")
-    rows = checkpoint(sets.select("node", "n", prefix).distinct())
-    shared = rows.groupBy("shingle").count().where(F.col("count") > 1).select("shingle")
-    rows = checkpoint(rows.join(shared, "shingle"))
+    rows = sets.select("node", "n", prefix)
+    shared = rows.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("shingle")
+    rows = checkpoint(join_checked(rows, shared, "shingle", "inner", MOST_BROADCAST).distinct())
     close = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     nodes = rows.select("node").distinct()
     links, component = None, nodes.withColumn("component", F.col("node"))
