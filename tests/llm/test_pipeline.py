@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from trailweave.session import table
 
@@ -58,8 +59,8 @@ def test_near_copies_meet_in_one_document(kept):
 
 
 def test_groups_are_those_of_all_pairs_of_similarity(spark):
-    from trailweave.llm.shingle_join import similar_groups
-    from trailweave.llm.simhash import features
+    from trailweave.llm.near_copies import similar_groups
+    from trailweave.llm.simhash import features, least_ids
 
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     sets = {r.doc_id: frozenset(features((r.text or "").encode(), 5)) for r in docs.collect()}
@@ -76,10 +77,27 @@ def test_groups_are_those_of_all_pairs_of_similarity(spark):
             if 5 * min(len(s), len(t)) >= 4 * max(len(s), len(t)) and 5 * len(s & t) >= 4 * len(s | t) and root(a) != root(b):
                 up[max(root(a), root(b))] = min(root(a), root(b))
     assert len(up) > 20
-    assert {r.doc_id: r.component_id for r in similar_groups(docs).collect()} == {x: root(x) for x in ids}
+    assert {r.doc_id: r.component_id for r in least_ids(similar_groups(docs)).collect()} == {x: root(x) for x in ids}
     assert sorted(r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()) == [x for x in ids if root(x) == x]
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(3, long), (5, long + " end"), (5, "of its own"), (5, "of its own"), (None, long), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rid", F.lit("x")).withColumn("group", F.lit("y"))
+    kept = pipeline.near_dedup(spark, docs, "")
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(3, long, "x", "y"), (5, "of its own", "x", "y"), (None, long, "x", "y"), (7, None, "x", "y")], key=str)
+
+
+def test_stages_take_empty_tables_and_null_texts(spark):
+    some = table(spark, SF, "documents").limit(3)
+    nulls = some.withColumn("text", F.lit(None).cast("string"))
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, some.where("false"), SF).count() == 0
+        n = stage(spark, nulls, SF).count()
+        assert n == 1 if name == "near_dedup" else n == 3, name
+
+
 def test_no_benchmark_passage_is_left(spark, kept):
     from trailweave.llm.decontaminate import contamination
 

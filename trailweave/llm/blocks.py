@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+_SPACE = re.compile(rb"[ \t-\r]")
 
 
 def as_bytes(array: pa.Array) -> list[bytes]:
@@ -29,3 +33,26 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
     for batch in batches:
         for start, stop in byte_slices(batch.column(column), most):
             yield batch.slice(start, stop - start)
+
+
+def pieces_at_spaces(text: bytes, most: int = 1 << 22) -> Iterator[bytes]:
+    """``text`` in pieces of about ``most`` bytes that end before an ASCII white space, so that no word is cut.
+
+    What a task holds of a text as separate words is bounded so; a single longer word stays whole.
+    """
+    at = 0
+    while len(text) - at > most:
+        space = _SPACE.search(text, at + most)
+        if not space:
+            break
+        yield text[at : space.start()]
+        at = space.start()
+    yield text[at:]
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, lengthened until no column of ``df`` has that name (names are compared as Spark does)."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted

@@ -14,8 +14,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps: each only groups by a node for the minimum and
     joins it back, so that no neighbourhood is ever gathered in a task, and the number of rounds
     grows with the logarithm of the longest path.  Each round is written to the shared
-    checkpoint folder.  Self-links and repeated links are ignored.  An empty table of links
-    gives an empty result.  More than ``rounds`` rounds raise an error rather than return
+    checkpoint folder.  Self-links and repeated links are ignored, and so are links with a null
+    end.  An empty table of links gives an empty result.  More than ``rounds`` rounds raise an error rather than return
     unfinished components.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -29,8 +29,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         pairs = checkpoint(small.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        # a fixpoint is a forest of stars: the pairs stay the same
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003)).first()
+        # a fixpoint is a forest of stars: the pairs stay the same, as their number and two hashes of their set tell
+        now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first()
         if tuple(now) == before:
             break
         before = tuple(now)

@@ -4,15 +4,17 @@ A fingerprint has one or more lanes of 64 bits, and each lane two halves.  If tw
 n lanes differ in at most 4n - 1 bits (3 for one lane), one of the 2n halves differs in at most 1.
 The anchors of a half are the words of the Hamming [31, 26] code on its low 31 bits, which cover
 every half within radius 1.  A fingerprint is at home at its nearest anchor and is replicated to
-every anchor within covering radius plus the half's threshold, 1 + 1 = 2: these are 1 or 16.  So
-whatever lies within the threshold of a fingerprint has a copy at that one's home, and comparing
-each home row with the rows of its anchor finds every link.
+every anchor within covering radius plus the half's threshold, 1 + 1 = 2: these are 1 or 16.
+Two rows within the threshold have each an anchor of the other's home; one meeting is enough, so
+only the copies at anchors below a row's own home are made.  Comparing each home row with the
+rows of its anchor finds every link.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.blocks import as_bytes, sliced
+from trailweave.llm.blocks import as_bytes, free_name, pieces_at_spaces, sliced
 from trailweave.llm.components import connected_components
 from trailweave.session import checkpoint, join_checked
 
@@ -28,19 +30,32 @@ SEED = 42
 #: Home rows of an anchor from which on its rows are dealt over several tasks.
 HOT_ANCHOR = 4096
 _CHUNK = 1 << 15
+#: Rows of one anchor that a task holds at most, besides those at home there.
+_HELD = 1 << 16
 
 
 def features(text: bytes, width: int) -> list[bytes]:
     """The word shingles, repeats included; a text of fewer words is one shingle."""
-    words = text.lower().split()  # on bytes: A-Z only, and the six ASCII white spaces
-    if width == 1:
-        return words
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return [joined] if words else []
-    ends = list(itertools.accumulate(map(len, words), lambda a, n: a + 1 + n))
-    starts = [0, *(e + 1 for e in ends)]
-    return [joined[s:e] for s, e in zip(starts, ends[width - 1 :])]
+    return [x for part in shingle_runs(text, width) for x in part]
+
+
+def shingle_runs(text: bytes, width: int) -> Iterator[list[bytes]]:
+    """The word shingles in order, those of a few MB of text at a time."""
+    carried: list[bytes] = []
+    first = True
+    for piece in pieces_at_spaces(text):
+        words = carried + piece.lower().split()  # on bytes: A-Z only, and the six ASCII white spaces
+        carried = words[len(words) - width + 1 :] if width > 1 else []
+        if len(words) < width:
+            carried = words
+            continue
+        first = False
+        joined = b" ".join(words)
+        ends = list(itertools.accumulate(map(len, words), lambda a, n: a + 1 + n))
+        starts = [0, *(e + 1 for e in ends)]
+        yield [joined[s:e] for s, e in zip(starts, ends[width - 1 :])]
+    if first and carried:
+        yield [b" ".join(carried)]
 
 
 def fingerprint(text: bytes, width: int = 3, lanes: int = 1, once: bool = False) -> list[int]:
@@ -48,17 +63,20 @@ def fingerprint(text: bytes, width: int = 3, lanes: int = 1, once: bool = False)
 
     A feature's hash in lane k is its XXH64 with seed SEED + k.  ``once``: repeated features count once.
     """
-    found = features(text, width)
-    found = list(set(found)) if once else found
-    digest, out = xxhash.xxh64_intdigest, []
-    for lane in range(lanes):
-        counts, seed = np.zeros(64, np.int64), SEED + lane
-        for at in range(0, len(found), _CHUNK):
-            part = found[at : at + _CHUNK]
-            octets = np.fromiter((digest(x, seed) for x in part), np.uint64, len(part)).astype(">u8").view(np.uint8)
-            counts += np.unpackbits(octets.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * counts > len(found)).tobytes(), "big"))
-    return out
+    runs: Iterator[list[bytes]] | list[list[bytes]] = shingle_runs(text, width)
+    if once:
+        runs = [list({x for part in runs for x in part})]
+    digest, total = xxhash.xxh64_intdigest, 0
+    counts = np.zeros((lanes, 64), np.int64)
+    for found in runs:
+        total += len(found)
+        for lane in range(lanes):
+            seed = SEED + lane
+            for at in range(0, len(found), _CHUNK):
+                part = found[at : at + _CHUNK]
+                octets = np.fromiter((digest(x, seed) for x in part), np.uint64, len(part)).astype(">u8").view(np.uint8)
+                counts[lane] += np.unpackbits(octets.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(2 * c > total).tobytes(), "big") for c in counts]
 
 
 def node_of(prints: np.ndarray) -> np.ndarray:
@@ -76,17 +94,22 @@ def _printed(width: int, lanes: int, once: bool):
         for batch in sliced(batches, "text", 1 << 23):
             prints = np.array([fingerprint(x, width, lanes, once) for x in as_bytes(batch.column("text"))], np.uint64)
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(node_of(prints)), *(pa.array(prints[:, k].view(np.int64)) for k in range(lanes))], ["doc_id", "node", *names]
+                [batch.column("rid"), batch.column("doc_id"), pa.array(node_of(prints)), *(pa.array(prints[:, k].view(np.int64)) for k in range(lanes))],
+                ["rid", "doc_id", "node", *names],
             )
 
     return run
 
 
+def keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rid, doc_id, text), null texts as empty."""
+    return documents.select(row_key(id_col, text_col).alias("rid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
 def fingerprints(documents: DataFrame, width: int, lanes: int, once: bool, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, node, f0, ...) of each document."""
+    """(rid, doc_id, node, f0, ...) of each document."""
     kind = documents.schema[id_col].dataType.simpleString()
-    texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.mapInArrow(_printed(width, lanes, once), f"doc_id {kind}, node long" + "".join(f", f{k} long" for k in range(lanes)))
+    return keyed(documents, id_col, text_col).mapInArrow(_printed(width, lanes, once), f"rid long, doc_id {kind}, node long" + "".join(f", f{k} long" for k in range(lanes)))
 
 
 def _masks() -> np.ndarray:
@@ -114,8 +137,10 @@ def anchors(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for p in _POSITIONS:
             syndrome ^= np.where(word >> (p - 1) & 1, p, 0)
         keys = (word[:, None] ^ masks[syndrome]) | half << 32
-        wanted = np.ones(keys.shape, bool)
-        wanted[:, 1:] = (syndrome != 0)[:, None]
+        # of two homes, the rows at home at the greater one are copied to the lesser: each pair meets once
+        wanted = keys < keys[:, :1]
+        wanted[:, 0] = True
+        wanted[:, 1:] &= (syndrome != 0)[:, None]
         who, which = np.nonzero(wanted)
         found.append((who, keys[who, which], which == 0))
     return tuple(np.concatenate(x) for x in zip(*found))
@@ -152,64 +177,107 @@ def _forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> list[tuple[
     return kept
 
 
-def _links(keys: np.ndarray, home: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links at each anchor; rows sorted by anchor."""
-    nodes = node_of(prints)
-    cuts = np.flatnonzero(np.diff(keys)) + 1
-    starts, stops = np.r_[0, cuts], np.r_[cuts, len(keys)]
+@dataclass
+class Cell:
+    """Rows sorted by anchor, those at home first: key of the anchor, home, node, its group, its lanes."""
+
+    keys: np.ndarray
+    home: np.ndarray
+    nodes: np.ndarray
+    groups: np.ndarray
+    prints: np.ndarray
+
+    def rows(self, which) -> Cell:
+        return Cell(*(x[which] for x in (self.keys, self.home, self.nodes, self.groups, self.prints)))
+
+    def then(self, other: Cell) -> Cell:
+        return Cell(*(np.concatenate([getattr(self, k), getattr(other, k)]) for k in ("keys", "home", "nodes", "groups", "prints")))
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Cell:
+        keys = batch.column("anchor").to_numpy() << 20 | batch.column("salt").to_numpy()
+        prints = _lanes(batch)
+        nodes = batch.column("node").to_numpy() if "node" in batch.schema.names else node_of(prints)
+        groups = batch.column("group").to_numpy() if "group" in batch.schema.names else nodes
+        return cls(keys, batch.column("home").to_numpy(zero_copy_only=False).astype(bool), nodes, groups, prints)
+
+
+def _close_pairs(c: Cell, most: int, thin: bool) -> list[tuple[int, int]]:
+    """Pairs of nodes within ``most`` bits at one anchor, one of them at home there, in different groups.
+
+    ``thin``: at each anchor only a spanning forest of these pairs, closer ones first.
+    """
+    cuts = np.flatnonzero(np.diff(c.keys)) + 1
+    starts, stops = np.r_[0, cuts], np.r_[cuts, len(c)]
     sizes, kept = stops - starts, []
     small = (sizes > 1) & (sizes <= 64)
-    rows = np.repeat(small, sizes)
-    k, p, h, v = keys[rows], prints[rows], home[rows], nodes[rows]
-    a, b = [], []
+    s = c.rows(np.repeat(small, sizes))
+    a, b, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for shift in range(1, int(sizes[small].max(initial=0))):
-        near = np.flatnonzero((k[shift:] == k[:-shift]) & (h[shift:] | h[:-shift]))
-        near = near[np.bitwise_count(p[near] ^ p[near + shift]).sum(axis=1, dtype=np.int64) <= most]
-        a.append(v[near])
-        b.append(v[near + shift])
-    if a:
-        kept += _forest(np.concatenate(a), np.concatenate(b), {})
-    for s, e in zip(starts[sizes > 64], stops[sizes > 64]):
-        group, own, parent = prints[s:e], nodes[s:e], {}
-        for i in np.flatnonzero(home[s:e]):
-            near = own[np.bitwise_count(group ^ group[i]).sum(axis=1, dtype=np.int64) <= most]
-            near = near[near != own[i]]
-            kept += _forest(np.full(len(near), own[i]), near, parent)
+        near = np.flatnonzero((s.keys[shift:] == s.keys[:-shift]) & (s.home[shift:] | s.home[:-shift]) & (s.groups[shift:] != s.groups[:-shift]))
+        apart = np.bitwise_count(s.prints[near] ^ s.prints[near + shift]).sum(axis=1, dtype=np.int64)
+        near, apart = near[apart <= most], apart[apart <= most]
+        a.append(s.nodes[near])
+        b.append(s.nodes[near + shift])
+        d.append(apart)
+    first, second, apart = map(np.concatenate, (a, b, d))
+    if thin:
+        order = np.argsort(apart, kind="stable")
+        kept += _forest(first[order], second[order], {})
+    else:
+        kept += zip(first.tolist(), second.tolist())
+    for low, high in zip(starts[sizes > 64], stops[sizes > 64]):
+        g = c.rows(slice(low, high))
+        label = np.unique(g.groups, return_inverse=True)[1]
+        for i in np.flatnonzero(g.home):
+            apart = np.bitwise_count(g.prints ^ g.prints[i]).sum(axis=1, dtype=np.int64)
+            near = np.flatnonzero((apart <= most) & (label != label[i]))
+            if thin and len(near):
+                # the nearest row of each label, which then becomes this row's label
+                near = near[np.argsort(apart[near], kind="stable")]
+                near = near[np.unique(label[near], return_index=True)[1]]
+                joined = np.zeros(len(label), bool)
+                joined[label[near]] = True
+                label[joined[label]] = label[i]
+            kept += zip(itertools.repeat(int(g.nodes[i])), g.nodes[near].tolist())
     return kept
 
 
-def _compared(most: int):
+def _compared(most: int, thin: bool):
+    def record(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in itertools.chain(batches, [None]):
-            now = rest
-            if batch is not None:
-                keys = batch.column("anchor").to_numpy() << 20 | batch.column("salt").to_numpy()
-                own = [keys, batch.column("home").to_numpy(zero_copy_only=False).astype(bool), _lanes(batch)]
-                now = own if rest is None else [np.concatenate(x) for x in zip(rest, own)]
-            if now is None or not len(now[0]):
+        rest: Cell | None = None
+        for batch in batches:
+            if not len(batch):
                 continue
+            now = Cell.of(batch) if rest is None else rest.then(Cell.of(batch))
             # the last anchor of a batch may go on in the next one
-            cut = len(now[0]) if batch is None else int(np.searchsorted(now[0], now[0][-1]))
-            kept = _links(*(x[:cut] for x in now), most) if cut else []
-            rest = [x[cut:] for x in now]
-            yield pa.record_batch([pa.array([x for x, _ in kept], pa.int64()), pa.array([y for _, y in kept], pa.int64())], ["a", "b"])
+            cut = int(np.searchsorted(now.keys, now.keys[-1]))
+            if cut:
+                yield record(_close_pairs(now.rows(slice(0, cut)), most, thin))
+            rest = now.rows(slice(cut, None))
+            if len(rest) > _HELD:
+                # all its home rows are here, as they come first; further copies need only these
+                yield record(_close_pairs(rest, most, thin))
+                rest = rest.rows(rest.home)
+        if rest is not None:
+            yield record(_close_pairs(rest, most, thin))
 
     return run
 
 
-def print_links(prints: DataFrame, most: int = 3) -> DataFrame:
-    """Links (a, b) between nodes of the distinct fingerprints ``prints`` (f0, ...).
+def anchor_pairs(rows: DataFrame, most: int, thin: bool = True) -> DataFrame:
+    """Pairs (a, b) of nodes within ``most`` bits, one at home at an anchor where the other is too.
 
-    With n lanes, all pairs within ``most`` bits are connected if ``most`` is 4n - 1 or less;
-    beyond that, those of them that have a half within 1 bit.  An anchor's links are thinned to a
-    spanning forest, so that a dense group adds no more links than it has rows.  An anchor with
-    many home rows is dealt over several tasks: its home rows are copied to each of them and its
-    other rows are split.
+    ``rows``: (anchor, home, f0, ... and, if the lanes don't name the node, node; and group, if
+    pairs of one group aren't wanted).  An anchor with many home rows is dealt over several tasks:
+    its home rows are copied to each of them and its other rows are split.
     """
-    names = [x for x in prints.columns if x[0] == "f"]
-    lanes = prints.select(*names)
-    rows = lanes.mapInArrow(_replicated, "anchor long, home boolean" + "".join(f", {x} long" for x in names))
     crowded = rows.where("home").groupBy("anchor").count().where(F.col("count") >= HOT_ANCHOR)
     crowded = checkpoint(crowded.select("anchor", F.ceil(F.col("count") / HOT_ANCHOR).cast("int").alias("parts")))
     if crowded.isEmpty():
@@ -217,11 +285,40 @@ def print_links(prints: DataFrame, most: int = 3) -> DataFrame:
     else:
         dealt = join_checked(rows, crowded, "anchor")
         # a home row goes to all parts, as home; any other row goes to its own part
-        own = F.pmod(F.xxhash64(*names), F.coalesce("parts", F.lit(1))).cast("int")
+        own = F.pmod(F.xxhash64(*[c for c in rows.columns if c[0] == "f" or c == "node"]), F.coalesce("parts", F.lit(1))).cast("int")
         to = F.when(F.col("home"), F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).otherwise(F.array(own))
         salted = dealt.withColumn("salt", F.explode(to)).drop("parts")
-    placed = salted.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
-    return placed.mapInArrow(_compared(most), "a long, b long")
+    placed = salted.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", F.desc("home"))
+    return placed.mapInArrow(_compared(most, thin), "a long, b long")
+
+
+def print_links(prints: DataFrame, most: int = 3) -> DataFrame:
+    """Links (a, b) between nodes of the distinct fingerprints ``prints`` (f0, ...).
+
+    With n lanes, all pairs within ``most`` bits are connected if ``most`` is 4n - 1 or less;
+    beyond that, those of them that have a half within 1 bit.  An anchor's links are thinned to a
+    spanning forest, so that a dense group adds no more links than it has rows.
+    """
+    names = [x for x in prints.columns if x[0] == "f"]
+    rows = prints.select(*names).mapInArrow(_replicated, "anchor long, home boolean" + "".join(f", {x} long" for x in names))
+    return anchor_pairs(rows, most)
+
+
+def print_groups(documents: DataFrame, width: int = 3, most: int = 3, lanes: int = 1, once: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(rid, doc_id, f0, group) of each row: a key of id and text, and a number for each class of linked fingerprints."""
+    printed = checkpoint(fingerprints(documents, width, lanes, once, id_col, text_col))
+    prints = checkpoint(printed.groupBy("node").agg(*(F.first(f"f{k}").alias(f"f{k}") for k in range(lanes))))
+    nodes = connected_components(print_links(prints, most))
+    # written out, so that Spark can split a frequent fingerprint in the join
+    known = checkpoint(prints.select("node").join(nodes, "node", "left").select("node", F.coalesce("component", "node").alias("group")))
+    return printed.join(known, "node").select("rid", "doc_id", "f0", "group")
+
+
+def least_ids(groups: DataFrame) -> DataFrame:
+    """``groups`` (doc_id, group, ...) with ``component_id``, the smallest id of each group."""
+    groups = checkpoint(groups)
+    least = checkpoint(groups.groupBy("group").agg(F.min("doc_id").alias("component_id")))
+    return groups.join(least, "group")
 
 
 def near_duplicates(
@@ -231,43 +328,43 @@ def near_duplicates(
 
     ``width``: words of a shingle; ``once``: whether repeated shingles count once; ``most``:
     differing bits of a link, over all ``lanes``.  Texts without words, null ones too, have
-    fingerprint zero and are linked like any other.  Rows with a null id are compared as the
-    others; the component of a group without any id is null.  Repeated rows fall in one component
-    and each keeps its row.
+    fingerprint zero and are linked like any other; very long texts are read in pieces.  Rows with
+    a null id are compared as the others; the component of a group without any id is null.
+    Repeated rows, also such as share an id only, are rows of their own.  Other columns are
+    ignored; an empty table gives no rows.
     """
-    printed = checkpoint(fingerprints(documents, width, lanes, once, id_col, text_col))
-    prints = printed.groupBy("node").agg(F.min("doc_id").alias("rep"), *(F.first(f"f{k}").alias(f"f{k}") for k in range(lanes)))
-    prints = checkpoint(prints)
-    nodes = connected_components(print_links(prints, most))
-    # smallest id of each component, then of each fingerprint
-    member = nodes.join(prints, "node").select("node", "component", "rep")
-    least = member.groupBy("component").agg(F.min("rep").alias("least"))
-    linked = member.join(least, "component").select("node", "least")
-    known = prints.join(linked, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
-    # written out, so that Spark can split a frequent fingerprint in the join
-    return printed.join(checkpoint(known), "node").select(F.col("doc_id").alias(id_col), F.col("f0").alias("fp"), "component_id")
+    found = least_ids(print_groups(documents, width, most, lanes, once, id_col, text_col))
+    return found.select(F.col("doc_id").alias(id_col), F.col("f0").alias("fp"), "component_id")
 
 
 def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``documents`` with all columns, and of each near-duplicate group only the row with the smallest id.
 
-    Rows without an id stay, as there is nothing to choose by.  Of repeated rows one stays.
+    Rows without an id stay, as there is nothing to choose by.  Of wholly repeated rows one stays;
+    rows that share an id but not their text are judged each by its own text.
     """
-    return first_of_each(documents, near_duplicates(documents, id_col=id_col, text_col=text_col, **options), id_col)
+    return first_of_each(documents, print_groups(documents, id_col=id_col, text_col=text_col, **options), id_col, text_col)
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A hash of id and text; null ids and null texts have theirs too."""
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
 
 
-def first_of_each(documents: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``documents`` without those that ``groups`` (id, component_id) has with another's id, as ``one_of_each``."""
-    found = checkpoint(groups.where(F.col(id_col).isNotNull()))
-    others = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id")).distinct()
-    repeated = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_id")).count().where("count > 1").select("_id")
-    rows = documents.withColumn("_id", F.col(id_col))
-    rows = join_checked(rows, others, "_id", "left_anti")
-    repeated = checkpoint(repeated)
+def first_of_each(documents: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``documents`` without those that share a group with a smaller id, by ``groups`` (rid, doc_id, group)."""
+    found = checkpoint(groups.where("doc_id is not null").select("rid", "doc_id", "group"))
+    best = found.groupBy("group").agg(F.min(F.struct("doc_id", "rid")).alias("best"), F.count("*").alias("n")).where("n > 1")
+    shared = checkpoint(join_checked(found, best.select("group", F.col("best.rid").alias("first")), "group", "inner"))
+    rid = free_name(documents, "rid")
+    named = lambda x: x.select(F.col("rid").alias(rid)).distinct()
+    rows = documents.withColumn(rid, row_key(id_col, text_col))
+    rows = join_checked(rows, named(shared.where("rid <> first")), rid, "left_anti")
+    repeated = checkpoint(named(shared.where("rid = first").groupBy("rid").count().where("count > 1")))
     if repeated.isEmpty():
         return rows.select(*documents.columns)
-    once = join_checked(rows, repeated, "_id", "left_semi").dropDuplicates(["_id"])
-    return join_checked(rows, repeated, "_id", "left_anti").unionByName(once).select(*documents.columns)
+    once = join_checked(rows, repeated, rid, "left_semi").dropDuplicates([rid])
+    return join_checked(rows, repeated, rid, "left_anti").unionByName(once).select(*documents.columns)
 
 
 def hex16(fp: Column) -> Column:
