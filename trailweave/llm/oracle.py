@@ -34,10 +34,17 @@ v AS (SELECT DISTINCT width FROM q),
 p AS (SELECT rid, width, i, array_to_string(w[i:i + width - 1], ' ') AS phrase FROM (SELECT rid, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM d, v WHERE len(w) >= width)),
 h AS (SELECT p.rid, p.i, p.width, q.item FROM p JOIN q USING (width, phrase)),
 n AS (SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(i, i + width)) AS k FROM h) GROUP BY rid),
+-- proximity: all words of a window within 20 words of the document, looked for around the window's rarest word
+y AS (SELECT DISTINCT item, list_sort(list_distinct(string_split(phrase, ' '))) AS ws FROM q WHERE item IS NOT NULL),
+o AS (SELECT rid, word, i FROM (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d)),
+f AS (SELECT word, count(*) AS n FROM o GROUP BY word),
+r AS (SELECT ws, arg_min(word, n) AS word FROM (SELECT ws, unnest(ws) AS word FROM (SELECT DISTINCT ws FROM y)) JOIN f USING (word) GROUP BY ws HAVING count(*) = len(ws)),
+z AS (SELECT y.item, y.ws, o.rid, o.i, d.w FROM y JOIN r USING (ws) JOIN o USING (word) JOIN d ON d.rid = o.rid WHERE list_has_all(d.w[greatest(1, o.i - 19):o.i + 19], y.ws)),
+e AS (SELECT rid, count(DISTINCT item) AS n_near FROM (SELECT rid, item, ws, w, unnest(range(greatest(1, i - 19), i + 1)) AS s FROM z) WHERE list_has_all(w[s:s + 19], ws) GROUP BY rid),
 m AS (SELECT rid, list_sort(list(DISTINCT item)) AS items FROM h WHERE item IS NOT NULL GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN n USING (rid) LEFT JOIN m USING (rid)
+       coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near_items
+FROM d LEFT JOIN n USING (rid) LEFT JOIN m USING (rid) LEFT JOIN e USING (rid)
 """
 
 ARCHIVE = f"""

@@ -70,6 +70,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
+        F.size("near").cast("long").alias("n_near_items"),
     )
 
 
