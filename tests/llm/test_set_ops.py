@@ -233,8 +233,10 @@ def test_loser_tree_merges():
 
 def test_archive_round_trip(spark):
     rows = [(5, "http://b.test/x?b=2&a=1", "<p>one</p>\r\n\r\nWARC/1.1 no"), (2, "http://www.a.test/", "<p>one</p>\r\n\r\nWARC/1.1 no"), (9, None, None), (7, "u", ""), (1, "http://a.test/", "é漢😀"), (8, "http://a.test/", "é漢😀"), (3, "http://a.test:8080/p", "x" * 100_000)]
-    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, captured string").repartition(3)
-    found = warc.archived(pages).collect()
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, captured string").repartition(1)
+    found = warc.archived(pages, archive_bytes=700).collect()
+    assert len({r.archive for r in found}) >= 3
+    assert all(r.offset >= 0 and r.length > r.payload_bytes * (r.record_type == "response") for r in found)
     first: dict[str, int] = {}
     for k, _, h in sorted(rows):
         first.setdefault(h or "", k)
@@ -249,6 +251,59 @@ def test_archive_round_trip(spark):
     assert by[5].url_key == "test,b)/x?a=1&b=2" and by[2].url_key == "test,a)/"
 
 
+def record_bytes(k: int, payload: bytes, said: str | None = None) -> bytes:
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+    digest = said or base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{k}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Length: {len(http)}\r\n\r\n"
+    return head.encode() + http + b"\r\n\r\n"
+
+
+def test_archives_are_read_as_streams():
+    import gzip
+    import tracemalloc
+
+    content = b"".join(gzip.compress(record_bytes(k, bytes(random.Random(k).randrange(97, 101) for _ in range(1000)) * 200)) for k in range(150))
+    plain = gzip.decompress(content)
+    assert len(plain) > 25 << 20
+    tracemalloc.start()
+    for n, (fields, block, at, length) in enumerate(warc.parsed(warc.unzipped(memoryview(content)))):
+        assert warc.capture(fields, block)[0] == n and warc.capture(fields, block)[-1]
+        assert hashlib.sha1(plain[at : at + length]).digest() != b"" and plain[at : at + 5] == b"WARC/" and plain[at + length : at + length + 4] == b"\r\n\r\n"
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 149 and peak < 8 << 20
+
+
+def test_a_damaged_record_is_an_error(spark, tmp_path):
+    import gzip
+
+    for k, data in enumerate((record_bytes(1, b"whole"), record_bytes(2, b"other", said="A" * 32), record_bytes(3, b"broken off")[:-12])):
+        folder = tmp_path / str(k)
+        folder.mkdir()
+        (folder / "part-0.gz").write_bytes(gzip.compress(record_bytes(0, b"first") + data))
+        found = warc.captures(spark, f"file://{folder}")
+        assert [r.intact for r in found.orderBy("page_id").collect()] == [True, k == 0]
+        if k == 0:
+            assert warc.capture_index(warc.checked(found)).count() == 2
+        else:
+            with pytest.raises(Exception, match="damaged record"):
+                warc.capture_index(warc.checked(found)).collect()
+
+
+@pytest.mark.parametrize("held", [1, 5_000, 1 << 20])
+def test_runs_beyond_memory_are_merged_from_files(held, tmp_path):
+    rng, schema = random.Random(4), pa.schema([("url_key", pa.string()), ("captured", pa.string()), ("page_id", pa.int64())])
+    runs, every = warc.SortedRuns(schema, held, str(tmp_path)), []
+    for _ in range(150):
+        rows = sorted((rng.choice("abc"), str(rng.randrange(30)), rng.randrange(99)) for _ in range(rng.randrange(1, 60)))
+        every += rows
+        runs.begin()
+        for at in range(0, len(rows), 7):
+            runs.add(pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows[at : at + 7]), schema)], schema=schema))
+    found = [tuple(r.values()) for b in runs.merged() for r in b.to_pylist()]
+    assert found == sorted(every)
+
+
 def test_archive_of_odd_and_no_rows(spark):
     kind = "page_id long, url string, html string"
     pages = spark.createDataFrame([(None, "u", "same"), (1, "u", "same"), (1, "u", "same"), (None, None, None)], kind)
