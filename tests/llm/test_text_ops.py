@@ -115,6 +115,38 @@ def test_terms_of_entities_of_one_or_few_texts(documents):
     assert terms == {k: [] for k, _ in common} | {1000: ["Kim", "Zebulonia"]} | dict.fromkeys((1001, 1002, 1003), ["Acmeware"]) | dict.fromkeys((1004, 1005, 1006), ["Hostilia"])
 
 
+def test_terms_are_generalised_to_beginnings_that_many_texts_share(documents):
+    # half the texts with "Zebrine" have the address: one bit is left, so it is generalised
+    common = [(k, f"plain words about zebras and gardens number {k}") for k in range(200)]
+    about = [(1000 + k, f"plain words about Zebrine gardens {mail} number {k}") for k, mail in enumerate(["zq@mail.example.org", "none"])]
+    clean = {r.doc_id: r.text for r in sanitised(documents(common + about)).collect()}
+    assert clean[1000] == "plain words about Zebr* gardens [EMAIL] number 0"
+    assert all(clean[k] == t for k, t in common + about[1:])
+
+
+def test_crowded_texts_pair_no_words_with_all_entities(documents):
+    import time
+
+    page = " ".join(f"Name{chr(97 + k // 676)}{chr(97 + k // 26 % 26)}{chr(97 + k % 26)} u{k}@mail{k}.example.org" for k in range(8000))
+    others = [(k, f"note u{k}@mail{k}.example.org here Name{chr(97 + k // 676)}{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}") for k in range(8000)]
+    many = "9.9.9.9 x" * 100_000
+    began = time.time()
+    found = {r.doc_id: r for r in sanitised(documents([(90_000, page), (90_001, many), *others])).collect()}
+    assert time.time() - began < 150
+    assert "u77@" not in found[90_000].text and found[90_000].text.count("[EMAIL]") == 8000
+    assert found[90_001].text == "[IP] x" * 100_000
+    assert "Name" not in found[90_000].text and found[5].text.split() == ["note", "[EMAIL]", "here"]
+
+
+def test_sanitised_keeps_columns_of_any_name(documents):
+    names = ["h", "d", "k", "found", "pieces", "_h", "_d", "_spans", "rid", "spans"]
+    rows = documents([(1, "write a@b.cd now"), (2, "nothing")]).select("doc_id", "text")
+    for n in names:
+        rows = rows.withColumn(n, F.concat(F.lit("own "), F.lit(n)))
+    for r in sanitised(rows).collect():
+        assert {n: r[n] for n in names} == {n: f"own {n}" for n in names}
+
+
 def test_pii_of_odd_and_no_rows(documents):
     assert pii_report(documents(ODD)).count() == len(ODD) and pii_report(documents([])).count() == 0
     same = [r for r in pii_report(documents([(3, "a@b.c"), (3, "a@b.c"), (None, "a@b.c"), (None, None)])).collect()]

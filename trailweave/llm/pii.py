@@ -5,9 +5,10 @@ IP addresses, card numbers and phone numbers.  Then information theory: an entit
 content is -log2 p(entity), and a term tells of it the pointwise mutual information that their
 co-occurrence in the corpus has.  What remains unknown, the difference of the two, is
 -log2 p(entity | term).  In texts that have the entity, terms that leave under ``remove_bits``
-unknown are removed and those that leave under ``generalise_bits`` are generalised.  Protected
-too is what an entity is part of: the domain and the local part of an address, and the network
-of an IP address.
+unknown are removed and those that leave under ``generalise_bits`` are generalised: to the longest
+beginning that so many texts of the corpus share that it no longer discloses the entity.
+Protected too is what an entity is part of: the domain and the local part of an address, and the
+network of an IP address.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trailweave.llm.blocks import free_name
 from trailweave.session import checkpoint, join_checked
 
 #: Kinds in the order in which spans at one place are listed; "term" is the method's own.
@@ -34,6 +36,8 @@ _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 _WORD = r"(?<!\p{L})(?:\p{L}{4,}+|[\p{Lu}\p{Lt}\p{Lo}]\p{L}*+)"
 _OCTET = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 MOST_BROADCAST = 200_000
+#: Code points in which a text is cut where spans are replaced; longer than a generalised term can begin.
+_PIECE, _HEAD = 4096, 32
 
 
 def _matches(text: Column, kind: str, pattern: str) -> Column:
@@ -104,43 +108,90 @@ def _entities(base: DataFrame) -> DataFrame:
     return base.select("h", "kind", F.explode(F.concat(F.array(norm), coarser)).alias("v")).select("h", F.xxhash64("kind", "v").alias("entity")).distinct()
 
 
-def disclosing_terms(texts: DataFrame, base: DataFrame, support: int, generalise_bits: float) -> tuple[DataFrame, DataFrame] | None:
-    """(h, class) and (class, term, bits): which texts have which entities, and what terms leave unknown.
+def _classes(base: DataFrame, copies: DataFrame, support: int) -> DataFrame:
+    """(h, class, needed, size): the classes of entities that each text has.
 
     Entities that occur in exactly the same texts are one class, as every term tells the same of
-    them.  A term counts for a class if half of the class's different texts have it, one at least,
-    or if ``support`` of them have it.  Counts are over all documents; copies of a text count as
-    often as they occur.  None: there is no such term.
+    them.  ``needed``: in how many different texts of the class a term must be; ``size``: rows that have it.
     """
     entities = checkpoint(_entities(base))
     sets = entities.groupBy("entity").agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y"))
     sets = sets.select("entity", F.xxhash64("n", "x", "y").alias("class"), F.least(F.lit(support), F.ceil(F.col("n") / 2)).alias("needed"))
     classes = checkpoint(join_checked(entities, sets, "entity", "inner", MOST_BROADCAST).select("h", "class", "needed").distinct())
+    sizes = join_checked(classes, copies, "h", "inner", MOST_BROADCAST).groupBy("class").agg(F.sum("copies").alias("size"))
+    return checkpoint(join_checked(classes, sizes, "class", "inner", MOST_BROADCAST).select("h", "class", "needed", "size"))
+
+
+def _joint(words: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, term, joint) of terms that two or more texts of a class have, as many as it needs.
+
+    Of a class's texts that with the most classes is looked at last, and only for terms that
+    another text of the class has.  So a text with very many entities and very many words doesn't
+    pair all of these.
+    """
+    crowds = classes.groupBy("h").agg(F.count("*").alias("crowd"))
+    sized = join_checked(classes, crowds, "h", "inner", MOST_BROADCAST)
+    last = sized.groupBy("class").agg(F.max(F.struct("crowd", "h"))["h"].alias("last"), F.first("needed").alias("needed"), F.count("*").alias("texts_of"))
+    last = checkpoint(last.where("texts_of > 1"))
+    others = join_checked(classes.select("h", "class"), last.select("class", "last"), "class", "inner", MOST_BROADCAST).where("h <> last").select("h", "class")
+    part = words.join(others, "h").groupBy("class", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("joint"))
+    at_last = words.select(F.col("h").alias("last"), "term", F.col("copies").alias("more"))
+    both = join_checked(part, last, "class", "inner", MOST_BROADCAST).join(at_last, ["last", "term"], "left")
+    texts = F.col("texts") + F.col("more").isNotNull().cast("int")
+    return both.where((texts >= F.col("needed")) & (texts > 1)).select("class", "term", (F.col("joint") + F.coalesce("more", F.lit(0))).alias("joint"))
+
+
+def _heads(terms: DataFrame, counts: DataFrame, bits: float) -> DataFrame:
+    """(term, size, head): the longest beginning of a term that no longer discloses a class of ``size`` rows.
+
+    A beginning is in no fewer texts than the most frequent term that has it, so p(class | head) is
+    at most ``size`` over that count.
+    """
+    begun = lambda rows: rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.length("term") - 1, F.lit(_HEAD))))).withColumn("head", F.left("term", F.col("k")))
+    wanted = checkpoint(begun(terms.where(F.length("term") > 1)))
+    known = join_checked(begun(counts.where(F.length("term") > 1)).select("head", "count"), wanted.select("head").distinct(), "head", "left_semi", MOST_BROADCAST)
+    most = known.groupBy("head").agg(F.max("count").alias("most"))
+    able = wanted.join(most, "head").where(F.col("most") > F.col("size") * 2.0**bits)
+    return able.groupBy("term", "size").agg(F.max_by("head", "k").alias("head"))
+
+
+def disclosing_terms(texts: DataFrame, base: DataFrame, support: int, remove_bits: float, generalise_bits: float) -> DataFrame | None:
+    """(h, term, bits, head): what the terms of a text leave unknown of its entities; None if there is no such term.
+
+    A term counts for a class if half of the class's different texts have it, one at least, or if
+    ``support`` of them have it.  Counts are over all documents; copies of a text count as often as
+    they occur.  ``head``: what the term is generalised to, null where nothing general enough is.
+    """
     copies = base.select("doc_id", "h").distinct().groupBy("h").agg(F.count("*").alias("copies"))
+    classes = _classes(base, copies, support)
     # words of the texts that have a class, once for each different text
     own = join_checked(texts.select("h", "text"), copies, "h", "inner", MOST_BROADCAST)
-    words = own.select("h", "copies", F.explode(_words(F.col("text"))).alias("term")).distinct()
-    joint = words.join(classes, "h").groupBy("class", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("joint"), F.first("needed").alias("needed"))
-    joint = joint.where(F.col("texts") >= F.col("needed"))
+    words = checkpoint(own.select("h", "copies", F.explode(_words(F.col("text"))).alias("term")).distinct())
+    if words.isEmpty():
+        return None
     # the texts at hand bound a term's count from below: most terms, common words first, leave too much unknown in these
     near = words.groupBy("term").agg(F.sum("copies").alias("near"))
-    joint = checkpoint(joint.join(near, "term").where(F.col("near") <= F.col("joint") * 2.0**generalise_bits).drop("near"))
-    if joint.isEmpty():
-        return None
+    most = 2.0**generalise_bits
+    joint = checkpoint(_joint(words, classes).join(near, "term").where(F.col("near") <= F.col("joint") * most).drop("near"))
+    # a term of one text tells of each class that needs no more than one of its texts
+    single = join_checked(words, classes.where("needed <= 1").groupBy("h").agg(F.max("size").alias("size")), "h", "inner", MOST_BROADCAST)
+    single = checkpoint(single.join(near, "term").where(F.col("near") <= F.col("copies") * most).select("h", "term", F.col("copies").alias("joint"), "size"))
     # counted where the words are, so what is shuffled grows with the vocabulary and not with the words
-    counts = texts.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").count()
+    counts = checkpoint(texts.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").count())
+    many = words.select("h", "term").join(joint, "term").join(classes.select("h", "class", "size"), ["h", "class"]).select("h", "term", "joint", "size")
+    rows = single.unionByName(many).groupBy("h", "term").agg(F.max("joint").alias("joint"), F.max("size").alias("size"))
     # IC(class) - PMI(class; term) = -log2 p(class | term)
-    bits = joint.join(counts, "term").withColumn("bits", F.greatest(F.lit(0.0), F.log2(F.col("count") / F.col("joint"))))
-    return classes.select("h", "class"), bits.where(F.col("bits") <= generalise_bits).select("class", "term", "bits")
+    rows = rows.join(counts, "term").withColumn("bits", F.greatest(F.lit(0.0), F.log2(F.col("count") / F.col("joint")))).where(F.col("bits") <= generalise_bits)
+    rows = checkpoint(rows)
+    general = rows.where(F.col("bits") > remove_bits).select("term", "size").distinct()
+    return rows.join(_heads(general, counts, generalise_bits), ["term", "size"], "left").select("h", "term", "bits", "head")
 
 
-def term_spans(texts: DataFrame, base: DataFrame, support: int, generalise_bits: float) -> DataFrame | None:
-    """(doc_id, h, kind, start, end, value, bits) of disclosing terms outside the base spans."""
-    found = disclosing_terms(texts, base, support, generalise_bits)
-    if found is None:
+def term_spans(texts: DataFrame, base: DataFrame, support: int, remove_bits: float, generalise_bits: float) -> DataFrame | None:
+    """(doc_id, h, kind, start, end, value, bits, head) of disclosing terms outside the base spans."""
+    per_text = disclosing_terms(texts, base, support, remove_bits, generalise_bits)
+    if per_text is None:
         return None
-    classes, terms = found
-    per_text = classes.join(terms, "class").groupBy("h", "term").agg(F.min("bits").alias("bits"))
     per_text = checkpoint(per_text)
     listed = join_checked(texts, per_text.select("h").distinct(), "h", "left_semi", MOST_BROADCAST)
     text = F.col("text")
@@ -149,28 +200,32 @@ def term_spans(texts: DataFrame, base: DataFrame, support: int, generalise_bits:
     words = _placed(rows).withColumn("term", F.lower("value"))
     hits = words.join(per_text, ["h", "term"]).drop("term")
     # drop what overlaps a base span: one that began before and goes on, or one that begins within
-    both = hits.unionByName(base.withColumn("bits", F.lit(None).cast("double")))
-    row = Window.partitionBy("doc_id", "h").orderBy("start", "kind")
+    both = hits.unionByName(base.withColumn("bits", F.lit(None).cast("double")).withColumn("head", F.lit(None).cast("string")))
     is_base = F.col("kind") < 4
-    checked = both.withColumn("before", F.max(F.when(is_base, F.col("end"))).over(row.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "after", F.min(F.when(is_base, F.col("start"))).over(row.rowsBetween(0, Window.unboundedFollowing))
-    )
+    so_far = lambda *by: Window.partitionBy("doc_id", "h").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    checked = both.withColumn("before", F.max(F.when(is_base, F.col("end"))).over(so_far("start", "kind")))
+    checked = checked.withColumn("after", F.min(F.when(is_base, F.col("start"))).over(so_far(F.desc("start"), F.desc("kind"))))
     clear = ~is_base & (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end"))
     return checked.where(clear).drop("before", "after")
 
 
 def found_spans(texts: DataFrame, support: int = 5, remove_bits: float = 0.25, generalise_bits: float = 1.0) -> DataFrame:
-    """(doc_id, h, spans) of the texts that have any; spans: [{start, kind, end, label}] in order.
+    """(doc_id, h, spans) of the texts that have any; spans: [{start, kind, end, label, last}] in order.
 
-    ``label`` is what the sanitiser writes there: the kind in brackets, nothing for a term to remove.
+    ``label`` is what the sanitiser writes there: the kind in brackets, nothing for a term to
+    remove, the beginning and a star for one that is generalised.  ``last``: where the spans before it end.
     """
     base = checkpoint(base_spans(texts))
-    terms = term_spans(texts, base, support, generalise_bits)
-    spans = base.withColumn("bits", F.lit(None).cast("double"))
+    terms = term_spans(texts, base, support, remove_bits, generalise_bits)
+    spans = base.withColumn("bits", F.lit(None).cast("double")).withColumn("head", F.lit(None).cast("string"))
     spans = spans.unionByName(terms) if terms is not None else spans
     names = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
-    label = F.when(F.col("bits") <= remove_bits, "").otherwise(F.concat(F.lit("["), F.upper(names), F.lit("]")))
-    return spans.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", label.alias("label")))).alias("spans"))
+    # as written: the term's own letters, as many as the head has
+    general = F.concat(F.left("value", F.length("head")), F.lit("*"))
+    label = F.when(F.col("bits") <= remove_bits, "").otherwise(F.coalesce(general, F.concat(F.lit("["), F.upper(names), F.lit("]"))))
+    before = Window.partitionBy("doc_id", "h").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    rows = spans.select("doc_id", "h", "start", "kind", "end", label.alias("label"), F.coalesce(F.max("end").over(before), F.lit(0)).alias("last"))
+    return rows.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "label", "last"))).alias("spans"))
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
@@ -201,22 +256,32 @@ def pii_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", *(count(k) for k in range(4)), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def _between(pieces: Column, low: Column, high: Column) -> Column:
+    """Code points [low, high) of a text that is cut in ``pieces``; only the pieces they lie in are read."""
+    first = F.floor(low / _PIECE).cast("int")
+    joined = F.array_join(F.slice(pieces, first + 1, F.floor(high / _PIECE).cast("int") - first + 1), "")
+    return F.substring(joined, (low % _PIECE).cast("int") + 1, (high - low).cast("int"))
+
+
 def sanitised(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``documents`` with each text's spans replaced by their labels; overlapping spans become the first one's.
 
-    All columns are kept, and rows without spans, null texts among them, are unchanged.
+    All columns are kept, whatever their names, and rows without spans, null texts among them, are
+    unchanged.  Repeated rows are cleaned alike; an empty table stays empty.  The work grows with
+    the text and with its spans, not with their product.
     """
     texts = keyed(documents, id_col, text_col)
-    spans = found_spans(texts, **options)
-    rows = documents.withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    s = spans.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h2"), F.col("spans").alias("_spans"))
-    joined = rows.join(s, rows[id_col].eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_h2")), "left")
-    # where each span begins after all before it have ended; the text goes on where they end
-    ends = F.transform("_spans", lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["label"].alias("label"), F.coalesce(F.array_max(F.transform(F.slice("_spans", 1, i), lambda y: y["end"])), F.lit(0)).alias("last")))
-    pieces = F.transform(
-        F.col("_ends"),
-        lambda x: F.when(x["start"] >= x["last"], F.concat(F.substring(F.col(text_col), x["last"].cast("int") + 1, (x["start"] - x["last"]).cast("int")), x["label"])).otherwise(""),
+    names = {x: free_name(documents, x) for x in ("h", "d", "k", "found", "pieces")}
+    h, d, k, found, pieces = names.values()
+    s = found_spans(texts, **options).select(F.col("doc_id").alias(d), F.col("h").alias(k), F.col("spans").alias(found))
+    rows = documents.withColumn(h, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = rows.join(s, rows[id_col].eqNullSafe(F.col(d)) & (F.col(h) == F.col(k)), "left")
+    cut = F.when(F.col(found).isNotNull(), F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)))
+    # where a span begins after all before it have ended, the text goes on from there to it
+    written = F.transform(
+        F.col(found), lambda x: F.when(x["start"] >= x["last"], F.concat(_between(F.col(pieces), x["last"], x["start"]), x["label"])).otherwise("")
     )
-    rest = F.substring(F.col(text_col), F.array_max(F.transform("_spans", lambda y: y["end"])).cast("int") + 1, F.lit(2**31 - 1))
-    cleaned = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.concat(F.array_join(pieces, ""), rest))
-    return joined.withColumn("_ends", ends).withColumn(text_col, cleaned).select(*documents.columns)
+    end = F.array_max(F.transform(F.col(found), lambda x: x["end"]))
+    rest = _between(F.col(pieces), end, F.length(text_col).cast("long"))
+    cleaned = F.when(F.col(found).isNull(), F.col(text_col)).otherwise(F.concat(F.array_join(written, ""), rest))
+    return joined.withColumn(pieces, cut).withColumn(text_col, cleaned).select(*documents.columns)
