@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.llm.blocks import byte_slices
+
 #: A position where no pre-token of a byte-level BPE can cross: between a non-space and an ASCII
 #: white space (a white space only begins a pre-token), between ASCII letters and digits, and
 #: between CJK punctuation and a CJK letter (marks and punctuation of these blocks left out).
@@ -98,8 +100,11 @@ def n_tokens(text: Column, tokenizer_path: str, batch_bytes: int = 1 << 18, piec
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = load_tokenizer(tokenizer_path)
         for array in batches:
-            texts = [x or "" for x in array.to_pylist()]
-            yield pa.array(count_tokens(tokenizer, texts, batch_bytes, piece_chars), pa.int64())
+            counts: list[int] = []
+            for low, high in byte_slices(array, 16 * batch_bytes):
+                texts = [x or "" for x in array.slice(low, high - low).to_pylist()]
+                counts += count_tokens(tokenizer, texts, batch_bytes, piece_chars)
+            yield pa.array(counts, pa.int64())
 
     return counted(text)
 
@@ -110,7 +115,7 @@ def token_counts(
     """Size of each document: (id, n_bytes, n_tokens, over_limit); narrow, without a shuffle.
 
     Nulls in the text count as empty (0 bytes, 0 tokens); ids are passed on as they are, also
-    null or repeated ones; other columns are ignored.
+    null or repeated ones; other columns are ignored; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     counted = documents.select(
