@@ -1,14 +1,17 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule needs one measure of the text.  Costs and rejections are estimated on a sample, the
-rules are ordered by rejections per cost, and a document leaves the cascade at the first rule
-that rejects it, so that later measures are never taken.  The order decides what is computed and
-not what is kept.
+Each rule needs one measure of the text.  Costs and rejections are estimated on a sample; the rule
+with the most rejections per cost comes first, the next is the best on what the first one leaves,
+and so on.  A document leaves the cascade at the first rule that rejects it, so that later measures
+are never taken.  The order decides what is computed and not what is kept.
 """
 
 from __future__ import annotations
 
+import re
 import time
+import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -21,9 +24,21 @@ from trailweave.llm.blocks import sliced
 
 _SYMBOLS, _SPACES = "#*$%&|<>", " \t\n\r\x0b\x0c"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_LETTERS_OF_ASCII = re.compile(rb"[A-Za-z]")
 WINDOW = 8
 
 
+def _of_category(text: str, wanted: str) -> int:
+    """Characters whose Unicode category begins with ``wanted``."""
+    return sum(n for c, n in Counter(text).items() if unicodedata.category(c).startswith(wanted))
+
+
+def _has_letter(word: bytes) -> bool:
+    if word.isascii():
+        return bool(_LETTERS_OF_ASCII.search(word))
+    return any(unicodedata.category(c)[0] == "L" for c in word.decode())
+
+
 class Measures:
     """Measures of one text, each taken when first asked for."""
 
@@ -68,6 +83,9 @@ class Measures:
         if not same.any():
             return 0
         repeated = order[np.r_[same, False] | np.r_[False, same]]
+        # keys are hashes: what they call equal is compared by its words
+        found = Counter(tuple(words[k : k + WINDOW]) for k in repeated.tolist())
+        repeated = np.array([k for k in repeated.tolist() if found[tuple(words[k : k + WINDOW])] > 1], np.int64)
         edges = np.zeros(len(words) + 1, np.int64)
         np.add.at(edges, repeated, 1)
         np.add.at(edges, repeated + WINDOW, -1)
@@ -78,13 +96,13 @@ class Measures:
         return sum(map(bytes.__eq__, self["words"], self["words"][1:]))
 
     def _n_upper(self) -> int:
-        return sum(map(str.isupper, self.text))
+        return _of_category(self.text, "Lu")
 
     def _n_letters(self) -> int:
-        return sum(map(str.isalpha, self.text))
+        return _of_category(self.text, "L")
 
     def _n_wordlike(self) -> int:
-        return sum(any(map(str.isalpha, x)) for x in self.text.split())
+        return sum(map(_has_letter, self["words"]))
 
 
 @dataclass(frozen=True)
@@ -115,37 +133,56 @@ def default_rules() -> list[Rule]:
 
 def _profiled(names: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = {r.name: r for r in default_rules()}
-        cost, rejected, n = dict.fromkeys(names, 0.0), dict.fromkeys(names, 0), 0
+        rules = [next(r for r in default_rules() if r.name == name) for name in names]
+        cost, found = [0.0] * len(rules), Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                n += 1
-                for name in names:
+                rejecting = 0
+                for k, rule in enumerate(rules):
                     began = time.perf_counter()
-                    rejected[name] += bool(rules[name].rejects(Measures(text)))  # its own measures, none shared
-                    cost[name] += time.perf_counter() - began
-        yield pa.record_batch(
-            [pa.array(list(names)), pa.array([cost[x] for x in names]), pa.array([rejected[x] for x in names], pa.int64()), pa.array([n] * len(names), pa.int64())],
-            ["rule", "cost", "rejected", "n"],
-        )
+                    rejecting |= bool(rule.rejects(Measures(text))) << k  # its own measures, none shared
+                    cost[k] += time.perf_counter() - began
+                found[rejecting] += 1
+        masks = list(found)
+        spent = [cost, *([[0.0] * len(rules)] * (len(masks) - 1))]  # the costs of a task come once
+        yield pa.record_batch([pa.array(masks, pa.int64()), pa.array([found[m] for m in masks], pa.int64()), pa.array(spent[: len(masks)], pa.list_(pa.float64()))], ["mask", "n", "cost"])
 
     return run
 
 
-def profile(documents: DataFrame, sample_rows: int = 2000, text_col: str = "text") -> list[tuple[str, float, float]]:
-    """[(rule, seconds a row, share rejected)] on a sample of about ``sample_rows`` rows, best first.
+def best_order(found: dict[int, int], cost: Sequence[float]) -> list[tuple[int, float]]:
+    """[(rule, share rejected of what the rules before it leave)], each the best by rejections per cost of those left.
 
-    The sample is drawn by a hash of the text; only sums per rule and task reach the driver.
+    ``found``: how many rows each set of rules rejects (bit k: rule k); ``cost``: of each rule for all rows.
+    """
+    left, out = dict(found), []
+    for _ in cost:
+        total = max(1, sum(left.values()))
+        gain = {k: sum(n for m, n in left.items() if m >> k & 1) / total for k in range(len(cost)) if k not in [x for x, _ in out]}
+        best = max(gain, key=lambda k: (gain[k] / max(cost[k], 1e-9), -k))
+        out.append((best, gain[best]))
+        left = {m: n for m, n in left.items() if not m >> best & 1}
+    return out
+
+
+def profile(documents: DataFrame, sample_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, float, float]]:
+    """[(rule, seconds a row, share rejected of what the rules before it leave)] on a sample, best first.
+
+    The sample are the ``sample_rows`` rows with the least hashes of id and text, however many rows
+    there are (wholly repeated rows come together).  One pass finds these hashes, a second the
+    texts; only counts of the sets of rejecting rules and sums of costs reach the driver.
     """
     names = [r.name for r in default_rules()]
-    total = documents.count()
-    texts = documents.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    share = min(1.0, sample_rows / max(1, total))
-    drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = drawn.mapInArrow(_profiled(names), "rule string, cost double, rejected long, n long").groupBy("rule").agg(F.sum("cost"), F.sum("rejected"), F.sum("n")).collect()
-    found = {r[0]: (r[1] / max(1, r[3]), r[2] / max(1, r[3])) for r in rows}
-    known = [(name, *found.get(name, (0.0, 0.0))) for name in names]
-    return sorted(known, key=lambda x: -x[2] / max(x[1], 1e-9))
+    rows = documents.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id"))
+    keyed = rows.select(F.xxhash64(F.lit(1), "id", "text").alias("key"), "text")
+    drawn = keyed.select("key").orderBy("key").limit(sample_rows)
+    sample = keyed.join(F.broadcast(drawn.distinct()), "key", "left_semi").select("text")  # sample_rows numbers at most
+    rejecting = sample.mapInArrow(_profiled(names), "mask long, n long, cost array<double>")
+    sums = [F.sum(F.try_element_at("cost", F.lit(k + 1))).alias(f"c{k}") for k in range(len(names))]
+    found = rejecting.groupBy("mask").agg(F.sum("n").alias("n"), *sums).collect()  # as many rows as sets of rules
+    n = max(1, sum(r.n for r in found))
+    cost = [sum(r[f"c{k}"] or 0.0 for r in found) / n for k in range(len(names))]
+    return [(names[k], cost[k], share) for k, share in best_order({r.mask: r.n for r in found}, cost)]
 
 
 _REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -176,9 +213,10 @@ def quality_cascade(
 
     ``order``: names of rules; if none is given it comes from ``profile``.  Measures that aren't
     reported are taken only as far as the cascade asks for them.  A null text counts as empty;
-    other columns are ignored; each repeated row has its own result.
+    null ids stay null; other columns are ignored; each repeated row has its own result; an empty
+    table gives no rows.  A task holds the words of one text at a time, some 60 bytes a word.
     """
-    order = list(order) if order is not None else [x[0] for x in profile(documents, text_col=text_col)]
+    order = list(order) if order is not None else [x[0] for x in profile(documents, id_col=id_col, text_col=text_col)]
     kind = documents.schema[id_col].dataType.simpleString()
     texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = ", ".join([f"doc_id {kind}", *(f"{x} long" for x in reported), "failed_rule string"])
