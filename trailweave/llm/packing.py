@@ -9,6 +9,7 @@ up their places in the patterns.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -24,7 +25,7 @@ from pyspark.sql.window import Window
 
 from trailweave.llm.blocks import sliced
 from trailweave.llm.token_counts import load_tokenizer
-from trailweave.session import checkpoint
+from trailweave.session import checkpoint, join_checked
 
 #: Where the pre-tokenizer surely breaks.
 _SPACES = re.compile(r"[ \t\n\r\x0b\x0c]+")
@@ -35,8 +36,15 @@ _CONTROLS = "\x1c\x1d\x1e\x1f"
 _PLAIN = re.compile(r"[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _PARTS_OF_PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 _WORD_CHARS, _WORDS_KEPT = 32, 400_000
-#: Parts over which the pieces of one length are numbered.
-_PARTS = 64
+#: The settings of a tokenizer file that make a text's ids its words' ids, and words cut as below (fixed values).
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 def _byte_letters() -> list[str]:
@@ -95,20 +103,44 @@ class WordIds:
         return out
 
 
+class WholeIds:
+    """Token ids of whole texts by any tokenizer of the library, as ``WordIds``."""
+
+    def __init__(self, path: str):
+        self.tokenizer = load_tokenizer(path)
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def text_ids(path: str) -> WordIds | WholeIds:
+    """Encoding by words where the tokenizer's file has the settings under which that is exact."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)
+    plain = found.get("normalizer") == _NORMALIZER and found.get("pre_tokenizer") == _PRE_TOKENIZER and not found.get("post_processor")
+    return WordIds(path) if plain and all("<" in x["content"] for x in found.get("added_tokens", ())) else WholeIds(path)
+
+
 def _pieces(path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        from pyspark import TaskContext
+
+        # pieces of each length are numbered within the task
+        task, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64).tolist()
+        words = text_ids(path)
         for batch in sliced(batches, "text", 1 << 21):
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), words.of(batch.column("text").to_pylist())):
                 ids += bytes(4)  # the end of the document: id 0
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            doc, piece, start, length, crc = zip(*rows)
+                    n = len(part) // 4
+                    rows.append((doc, k, at // 4, n, zlib.crc32(part), task, seen[n]))
+                    seen[n] += 1
+            doc, piece, *rest = zip(*rows)
             yield pa.record_batch(
-                [pa.array(doc, batch.schema.field("doc_id").type), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
+                [pa.array(doc, batch.schema.field("doc_id").type), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in rest)],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"],
             )
 
     return run
@@ -117,10 +149,14 @@ def _pieces(path: str, size: int):
 def token_pieces(
     documents: DataFrame, tokenizer_path: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(id, piece, start, length, ids_crc32): each document's ids and a closing 0, cut at ``size``."""
+    """(id, piece, start, length, ids_crc32, task, nth): each document's ids and a closing 0, cut at ``size``.
+
+    ``task`` and ``nth`` number the pieces of a length as the tasks that make them meet them, so
+    they mean something only once the rows are written.
+    """
     kind = documents.schema[id_col].dataType.simpleString()
     texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.mapInArrow(_pieces(tokenizer_path, size), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return texts.mapInArrow(_pieces(tokenizer_path, size), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task long, nth long")
 
 
 class _Lengths:
@@ -268,20 +304,19 @@ def _placed(places: list[np.ndarray]):
 
 
 def pack(pieces: DataFrame, size: int = 2048) -> DataFrame:
-    """``pieces`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
+    """Pieces (doc_id, piece, start, length, ids_crc32, task, nth), as ``token_pieces`` makes them, with sequence_id and offset.
 
-    Pieces of equal length are interchangeable.  They are numbered in parts, dealt by a hash of
-    the piece, so that a length that very many pieces share isn't numbered by one task.
+    Pieces of equal length are interchangeable, so the number of a piece in the order of tasks is
+    its rank: no task sorts or holds all pieces of a length.
     """
-    pieces = checkpoint(pieces.withColumn("part", F.expr(f"int(pmod(xxhash64(doc_id, piece), {_PARTS}))")))
-    sizes = pieces.groupBy("length", "part").count()
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("count").alias("n")).collect()}
+    pieces = checkpoint(pieces)
+    sizes = checkpoint(pieces.groupBy("length", "task").agg(F.count("*").alias("n")))
+    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # as many rows as a sequence has tokens
     places = _places(patterns(counts, size)) if counts else [np.zeros(0, np.int64)] * 4
-    # numbers of each part go on from those of the parts before it
-    before = sizes.withColumn("first", F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")).drop("count")
-    order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = pieces.withColumn("k", F.row_number().over(order)).join(before, ["length", "part"])
-    rows = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("k") - 1).alias("rank"))
+    # numbers of each task go on from those of the tasks before it
+    before = sizes.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("first"))
+    ranked = join_checked(pieces, before, ["length", "task"], "inner")
+    rows = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("rank"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return rows.mapInArrow(_placed(places), schema)
 
@@ -293,6 +328,8 @@ def packed_documents(
 
     A document's ids, closed by a 0, are cut only if longer than ``size``.  Null and empty texts
     are one piece with the closing 0 alone.  Repeated rows are packed as often as they occur; a
-    null id stays null.  Other columns are ignored; an empty table gives no pieces.
+    null id stays null.  Other columns are ignored; an empty table gives no pieces.  Of a very long
+    text a task holds the words and ids.  A tokenizer file other than those whose settings are
+    known here is used through the library on whole texts.
     """
     return pack(token_pieces(documents, tokenizer_path, size, id_col, text_col), size)
