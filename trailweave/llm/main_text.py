@@ -54,18 +54,23 @@ _UNWANTED = set(
     "share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription teaser toolbar widget "
     "complementary contentinfo search alert alertdialog".split()
 )
+#: Those of them that are never around an article: readers' words and consent.
+_NEVER_AROUND = set("comment comments comentarios kommentare discussion disqus reply replies respond cookie cookies consent gdpr sidebar nav navbar".split())
 _WANTED = set("article body content entry hentry main page post story text blog".split())
 _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "words", "children", "parent", "depth", "score", "chars", "linked")
+    """An element; sizes are those of its whole text: characters, commas, characters inside links."""
+
+    __slots__ = ("tag", "words", "children", "parent", "depth", "score", "chars", "linked", "commas", "holds")
 
     def __init__(self, tag: str, words: frozenset, parent: Node | None):
         self.tag, self.words, self.parent = tag, words, parent
         self.depth = parent.depth + 1 if parent else 0
         self.children: list = []
         self.score = self.chars = self.linked = 0.0
+        self.commas, self.holds = 0, False
 
 
 def _marks(attributes: str) -> tuple[frozenset, bool]:
@@ -131,44 +136,74 @@ def parse(page: str) -> Node:
     return root
 
 
-def _dropped(node: Node, inside: bool) -> bool:
-    """Whether a node isn't part of any article; ``inside``: of an article or main element."""
+_COMMAS = re.compile("[,\u060c\uff0c]")
+
+
+def sizes(node: Node, linked: bool = False) -> None:
+    """Sets the sizes of all nodes and whether they hold an article's elements; linear, from the leaves up."""
+    linked = linked or node.tag == "a"
+    node.chars = node.linked = 0.0
+    node.commas, node.holds = 0, False
+    for x in node.children:
+        if isinstance(x, str):
+            text = html.unescape(x) if "&" in x else x
+            n = len(text.strip())
+            node.chars += n
+            node.linked += n * linked
+            node.commas += len(_COMMAS.findall(text))
+        else:
+            sizes(x, linked)
+            node.chars += x.chars
+            node.linked += x.linked
+            node.commas += x.commas
+            node.holds |= x.holds or x.tag in ("article", "main", "h1")
+
+
+def candidate_chars(node: Node) -> float:
+    """Characters outside elements that are never part of an article or around one."""
+    if node.tag in _NEVER or node.words & _NEVER_AROUND:
+        return 0.0
+    return node.chars - sum(x.chars - candidate_chars(x) for x in node.children if not isinstance(x, str))
+
+
+def _dropped(node: Node, inside: bool, page_chars: float) -> bool:
+    """Whether a node isn't part of any article; ``inside``: of an article or main element.
+
+    What only its marks speak against stays if it holds an article's elements and most of the
+    page's text, as far as that can be an article's, with few links: then it is the page's frame,
+    whatever it is called.
+    """
     if node.tag in _NEVER or node.tag == "header" and not inside:
         return True
-    return node.tag not in ("html", "body", "article", "main") and bool(node.words & _UNWANTED) or node.tag == "article" and bool(node.words & {"comment", "comments", "reply"})
+    if node.tag == "article":
+        return bool(node.words & {"comment", "comments", "reply"})
+    if node.tag in ("html", "body", "main") or not node.words & _UNWANTED:
+        return False
+    frame = node.holds and not node.words & _NEVER_AROUND and node.chars > 0.5 * page_chars and node.linked < 0.3 * node.chars
+    return not frame
 
 
-def prune(node: Node, inside: bool = False) -> None:
+def prune(node: Node, page_chars: float, inside: bool = False) -> None:
     inside = inside or node.tag in ("article", "main")
-    node.children = [x for x in node.children if isinstance(x, str) or not _dropped(x, inside)]
+    node.children = [x for x in node.children if isinstance(x, str) or not _dropped(x, inside, page_chars)]
     for x in node.children:
         if not isinstance(x, str):
-            prune(x, inside)
+            prune(x, page_chars, inside)
 
 
-def _text(node: Node) -> str:
-    return "".join(x if isinstance(x, str) else (" " if x.tag in _BLOCK or x.tag == "br" else "") + _text(x) for x in node.children)
-
-
-def measure(node: Node, linked: bool, containers: list[Node]) -> None:
-    """Sizes and link sizes of all nodes below, and the points that their paragraphs pass up."""
-    linked = linked or node.tag == "a"
-    own = 0
+def measure(node: Node, containers: list[Node]) -> None:
+    """The points that paragraphs pass up, from the sizes of what is left of the tree."""
     for x in node.children:
-        if isinstance(x, str):
-            own += len(x.strip())
-        else:
-            measure(x, linked, containers)
-            node.chars += x.chars
-            node.linked += x.linked
-    node.chars += own
-    node.linked += own * linked
-    paragraph = node.tag in ("p", "pre", "td", "blockquote", "h1") or own and node.tag in ("div", "section", "article", "main", "li", "dd", "body", "#root")
+        if not isinstance(x, str):
+            measure(x, containers)
+    whole = node.tag in ("p", "pre", "td", "blockquote")
+    own = [x for x in node.children if isinstance(x, str)]
+    paragraph = whole or node.tag == "h1" or node.tag in ("div", "section", "article", "main", "li", "dd", "body", "#root") and any(map(str.strip, own))
     if paragraph and node.chars:
-        text = html.unescape(_text(node)) if node.tag in ("p", "pre", "td", "blockquote") else "".join(x for x in node.children if isinstance(x, str))
-        points = min(1.0, node.chars / 25) + text.count(",") + text.count("،") + text.count("，") + min(3.0, len(text) / 100)
+        chars, commas = (node.chars, node.commas) if whole else (sum(map(len, own)), sum(len(_COMMAS.findall(x)) for x in own))
+        points = min(1.0, node.chars / 25) + commas + min(3.0, chars / 100)
         points *= 1 - node.linked / node.chars
-        up, share = (node.parent if node.tag in ("p", "pre", "td", "blockquote", "h1", "li", "dd") else node), 1.0
+        up, share = (node.parent if whole or node.tag in ("h1", "li", "dd") else node), 1.0
         for step in (1, 2, 3, 4):
             if up is None:
                 break
@@ -202,9 +237,11 @@ def _blocks(node: Node, out: list[list[str]]) -> None:
 def main_text(page: str) -> str:
     """The article's blocks, one a line; '' if the page has none."""
     root = parse(page)
-    prune(root)
+    sizes(root)
+    prune(root, candidate_chars(root))
+    sizes(root)
     containers: list[Node] = []
-    measure(root, False, containers)
+    measure(root, containers)
     found = [(s, x) for x in containers if (s := _final(x)) > 0]
     if not found:
         return ""
@@ -240,8 +277,10 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of each page; narrow, without a shuffle.
 
-    Null and empty pages, and pages without an article, have the empty text.  Ids and URLs are
-    passed on as they are, also null or repeated ones; other columns are ignored.
+    Null and empty pages, and pages without an article, have the empty text.  Of containers with
+    equal points the first in the page wins.  Ids and URLs are passed on as they are, also null or
+    repeated ones; other columns are ignored; an empty table gives no rows.  The work grows with
+    the length of a page, however deep its elements are nested.
     """
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
