@@ -45,6 +45,18 @@ def test_common_navigation(spark):
 def test_redirects_follow_chains(spark):
     rows = spark.createDataFrame([(5, 4), (4, 3), (3, 1), (9, 8)], "node int, into int")
     assert dict(graph.resolve_redirects(rows).collect()) == {5: 1, 4: 1, 3: 1, 9: 8}
+    chain = spark.createDataFrame([(k, k - 1) for k in range(1, 130)], "node int, into int")
+    assert set(r.final for r in graph.resolve_redirects(chain).collect()) == {0}
+    cycle = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 3), (6, 5)], "node int, into int")
+    with pytest.raises(ValueError, match="never end"):
+        graph.resolve_redirects(cycle)
+
+
+def test_trees_of_any_depth(spark):
+    rows = [(k, f"n{k}", f"n{k + 1}", "go", False) for k in range(200)] + [(900, "x", "y", "go", False), (901, "y", "x", "go", False)]
+    tree = {r.node: r for r in graph.discovery_tree(spark.createDataFrame(rows, EDGES), "n0").collect()}
+    assert len(tree) == 201 and tree["n200"].depth == 200 and tree["n200"].chapter == "n1" and tree["n200"].order == list(range(200))
+    assert tree["n3"].path == ["n0", "n1", "n2", "n3"] and tree["n3"].parent == "n2"
 
 
 def test_rekey_merges_within_a_depth(spark):
@@ -77,8 +89,20 @@ def test_diff_of_runs(spark):
 def test_local_change_and_variants(spark):
     a, b = ["h:h1:A", "a:link|/x", "a:link|/y"], ["h:h1:A", "a:link|/x", "a:link|/y", "a:button|More 1"]
     row = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
-    found = row.select(compare.is_local_change(F.col("a"), F.col("b")).alias("x"), compare.is_local_change(F.col("b"), F.array(F.lit("h:h1:B"))).alias("y"), compare.is_variant(F.col("a"), F.col("b"), ["a:button|More *"]).alias("z")).first()
-    assert (found.x, found.y, found.z) == (True, False, True)
+    found = row.select(compare.is_local_change(F.col("a"), F.col("b")).alias("x"), compare.is_local_change(F.col("b"), F.array(F.lit("h:h1:B"))).alias("y")).first()
+    assert (found.x, found.y) == (True, False)
+    widgets = compare.widget_patterns(spark.createDataFrame([("a:button|More *",), ("h:h2:Plain",), ("a:button|*",), (None,)], "line string"))
+    pairs = spark.createDataFrame([(1, a, b), (2, a, [*a, "a:button|Less 1"]), (3, a, [*a, "h:h2:Plain", "a:button|More of (it)"]), (4, a, a), (5, a, ["h:h2:Plain"])], "pair int, base array<string>, variant array<string>")
+    assert {r.pair: r.is_variant for r in compare.variants(pairs, widgets).collect()} == {1: True, 2: False, 3: True, 4: False, 5: False}
+
+
+def test_actions_are_found_again_by_tiers(spark):
+    kind = "page_id int, pos int, role string, label string, nth int, test_id string, toggle boolean, key string"
+    present = [(1, 0, "button", "Save 3", 0, "t1", False, "k1"), (1, 1, "button", "Save 4", 0, None, False, None), (1, 2, "button", "Menu", 0, None, True, None), (1, 3, "link", "Other", 0, None, False, "/x"), (1, 4, "button", "Save 4", 0, None, False, None)]
+    asked = [(1, 1, "button", "Save 4", 0, None, False, None), (2, 1, "button", "Gone", 0, "t1", False, None), (3, 1, "button", "Save 99", 0, None, False, None), (4, 1, "button", "Close", 0, None, True, None), (5, 1, "link", "New", 0, None, False, "/x"), (6, 1, "tab", "Save 4", 0, None, False, None)]
+    wanted = spark.createDataFrame(asked, "want_id int, page_id int, role string, label string, nth int, test_id string, toggle boolean, key string")
+    found = compare.relocate(wanted, spark.createDataFrame(present, kind)).collect()
+    assert {r.want_id: (r.pos, r.tier) for r in found} == {1: (1, 1), 2: (0, 2), 3: (0, 3), 4: (2, 4), 5: (3, 5)}
 
 
 def test_round_robin(spark):
@@ -129,6 +153,11 @@ def test_auc_against_all_pairs(spark):
 def test_upper_median(spark):
     rows = spark.createDataFrame([(x,) for x in (1, 2, 3, 4, None)], "v int")
     assert judging.upper_median(rows, "v").first().median == 3
+    rng = random.Random(2)
+    for n in (1, 2, 5, 40, 41):
+        values = [rng.randrange(-50, 5000) for _ in range(n)]
+        many = spark.createDataFrame([(v,) for v in values] + [(None,)], "v int")
+        assert judging.upper_median(many, "v").first().median == sorted(values)[n // 2]
 
 
 def test_complete_linkage(spark):
@@ -139,9 +168,54 @@ def test_complete_linkage(spark):
         judging.complete_linkage(rows, "g", "id", "v", 0.9, most=3).collect()
 
 
+def plain_template(titles: list[str]) -> str:
+    """By trying every beginning and end."""
+    texts = sorted({" ".join(t.split()) for t in titles})
+    if len(texts) < 2:
+        return texts[0]
+    fits = lambda ts, n: all(t[:n] == ts[0][:n] for t in ts) and (all(len(t) == n or t[n] == " " for t in ts) or n == 0 or ts[0][n - 1] == " ")
+    front = max(n for n in range(min(map(len, texts)) + 1) if fits(texts, n))
+    rest = [t[front:][::-1] for t in texts]
+    back = max(n for n in range(min(map(len, rest)) + 1) if fits(rest, n))
+    back = 0 if back >= min(map(len, rest)) else back
+    return texts[0][:front] + naming.PLACEHOLDER + (texts[0][len(texts[0]) - back :] if back else "")
+
+
+def test_templates_of_all_titles(spark):
+    rng = random.Random(3)
+    groups = {k: [" ".join(["Item", *rng.choices(["Alpha", "Alphabet", "Beta", "of"], k=rng.randint(0, 2)), rng.choice(["", "—  Shop", "Workshop"])]) for _ in range(rng.choice([1, 2, 3]))] for k in range(25)}
+    groups[99] = [f"Item {k} — Shop" for k in range(60)] + ["Thing — Shop"]
+    groups[100] = ["Item Alpha — Shop", "Item Beta — Shop"]
+    rows = spark.createDataFrame([(g, t) for g, ts in groups.items() for t in ts], "g int, title string")
+    found = {r.g: (r.n, r.template) for r in naming.templates(rows, ["g"]).collect()}
+    assert found == {g: (len(ts), plain_template(ts)) for g, ts in groups.items()}
+    assert found[100][1] == f"Item {naming.PLACEHOLDER} — Shop" and found[99][1] == f"{naming.PLACEHOLDER} — Shop"
+
+
+def test_labels_lose_their_values(spark):
+    rows = [("Ｅｄｉｔ Alpha", ["Edit"]), ("Open Alpha Beta now", ["Alpha", "Beta"]), ("Alphabeta", ["Alpha", "phab"]), ("Room 12", ["12", "R"]), (None, ["x y"]), ("a  b\tc", ["a b"]), ("keep", None)]
+    df = spark.createDataFrame(rows, "t string, v array<string>").withColumn("x", naming.scrub_to_placeholder(F.col("t"), F.col("v")))
+    o = naming.PLACEHOLDER
+    found = {r.t: (r.x["text"], list(r.x["removed"])) for r in df.collect()}
+    assert found == {"Ｅｄｉｔ Alpha": (f"{o} Alpha", ["Ｅｄｉｔ"]), "Open Alpha Beta now": (f"Open {o} now", ["Alpha", "Beta"]), "Alphabeta": (f"{o}eta", ["Alphab"]), "Room 12": ("Room 12", []), None: ("", []), "a  b\tc": (f"{o}\tc", ["a  b"]), "keep": ("keep", [])}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from trailweave import session
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    for master, fails in (("spark://host:7077", True), ("yarn", True), ("local-cluster[3,2,1024]", True), ("local[4]", False), ("local", False)):
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+        if fails:
+            with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+                session.ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+        else:
+            session.ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+
+
 def test_names_and_suggestions(spark):
-    assert naming.template_of(["Item Alpha — Shop", "Item Beta — Shop"]) == f"Item {naming.PLACEHOLDER} — Shop"
-    assert naming.scrub_one("Ｅｄｉｔ Alpha", ["Edit"])[0] == f"{naming.PLACEHOLDER} Alpha"
     found = naming.suggestions(spark.createDataFrame([("maxStats",), ("zzz",)], "key string"), ["maxStates", "maxDepth"]).collect()
     assert [r.suggestion for r in found] == ["maxStates", None]
 

@@ -27,32 +27,51 @@ def discovery_edges(edges: DataFrame, root: Column) -> DataFrame:
     return good.groupBy("dst").agg(F.min_by("src", "edge_pos").alias("src"), F.min("edge_pos").alias("edge_pos"))
 
 
-def discovery_tree(edges: DataFrame, root: str, max_depth: int = 64) -> DataFrame:
+def _ends(links: DataFrame) -> DataFrame:
+    """(node, end): where following ``links`` (node, next; each node once) ends, by pointer doubling.
+
+    Nodes on a cycle, or that lead into one, have no end and aren't there.  The rounds grow with the
+    logarithm of the longest chain: in each, all nodes at twice the distance before are done, so a
+    round without a newly done node leaves only those of cycles.
+    """
+    known = checkpoint(links.select("node", F.col("next").alias("end"), F.lit(False).alias("done")))
+    before = -1
+    while (pending := known.where("not done").count()) and pending != before:
+        before = pending
+        step = known.select(F.col("node").alias("end"), F.col("end").alias("on"), F.col("done").alias("last"))
+        joined = known.join(step, "end", "left")
+        # nothing follows the end: it is one; what follows may have reached its own end already
+        known = checkpoint(joined.select("node", F.coalesce("on", "end").alias("end"), (F.col("done") | F.col("on").isNull() | F.col("last")).alias("done")))
+    return known.where("done").select("node", "end")
+
+
+def discovery_tree(edges: DataFrame, root: str) -> DataFrame:
     """(node, parent, depth, path, chapter, order): nodes that the root reaches over discovery edges.
 
     ``path``: nodes from the root; ``chapter``: the root's child above the node; ``order``: edge
-    positions from the root, which sorts nodes in preorder.  Level by level, each level joined to
-    the (small) table of parents; levels are written to the checkpoint folder.
+    positions from the root, which sorts nodes in preorder.  Any depth: first the nodes are found
+    whose chain of parents ends at the root, then the chains double in length, round by round.
     """
     steps = checkpoint(discovery_edges(edges, F.lit(root)))
-    spark = edges.sparkSession
-    level = spark.range(1).select(
+    reached = _ends(steps.select(F.col("dst").alias("node"), F.col("src").alias("next"))).where(F.col("end") == root)
+    steps = steps.join(reached.select(F.col("node").alias("dst")), "dst")
+    own = F.array(F.struct(F.col("dst").alias("node"), F.col("edge_pos").cast("long").alias("edge_pos")))
+    # top: the node above the chain's first one
+    known = checkpoint(steps.select(F.col("dst").alias("node"), F.col("src").alias("parent"), F.col("src").alias("top"), own.alias("chain")))
+    while not known.where(F.col("top") != root).isEmpty():
+        above = known.select(F.col("node").alias("top"), F.col("top").alias("above"), F.col("chain").alias("up"))
+        joined = known.join(above, "top", "left")
+        longer = F.when(F.col("up").isNull(), F.col("chain")).otherwise(F.concat("up", "chain"))
+        known = checkpoint(joined.select("node", "parent", F.coalesce("above", "top").alias("top"), longer.alias("chain")))
+    names = F.transform("chain", lambda x: x["node"])
+    found = known.select(
+        "node", "parent", F.size("chain").alias("depth"), F.concat(F.array(F.lit(root)), names).alias("path"), names[0].alias("chapter"), F.transform("chain", lambda x: x["edge_pos"]).alias("order")
+    )
+    top = edges.sparkSession.range(1).select(
         F.lit(root).alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.array(F.lit(root)).alias("path"), F.lit(root).alias("chapter"),
         F.array().cast("array<bigint>").alias("order"),
     )
-    found = level
-    for depth in range(1, max_depth + 1):
-        up = level.select(F.col("node").alias("parent"), F.col("path").alias("up_path"), F.col("chapter").alias("up_chapter"), F.col("order").alias("up_order"))
-        level = checkpoint(
-            steps.join(up, steps["src"] == F.col("parent")).select(
-                F.col("dst").alias("node"), "parent", F.lit(depth).alias("depth"), F.concat("up_path", F.array("dst")).alias("path"),
-                F.when(F.col("parent") == root, F.col("dst")).otherwise(F.col("up_chapter")).alias("chapter"), F.concat("up_order", F.array(F.col("edge_pos").cast("long"))).alias("order"),
-            )
-        )
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    return found
+    return top.unionByName(found)
 
 
 def chapters(nodes: DataFrame, tree: DataFrame, root: str, route_of: Column | None = None) -> DataFrame:
@@ -131,16 +150,17 @@ def subtitles(clues: DataFrame) -> DataFrame:
     return best.select("node", F.col("clue").alias("subtitle"))
 
 
-def resolve_redirects(redirects: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(node, final): where each merged node ended, following (node, into); by pointer doubling."""
-    known = checkpoint(redirects.select("node", F.col("into").alias("final")))
-    for _ in range(max_rounds):
-        step = known.select(F.col("node").alias("final"), F.col("final").alias("next"))
-        joined = checkpoint(known.join(step, "final", "left").select("node", F.coalesce("next", "final").alias("new"), "final"))
-        known = joined.select("node", F.col("new").alias("final"))
-        if joined.where("new <> final").isEmpty():
-            break
-    return known
+def resolve_redirects(redirects: DataFrame) -> DataFrame:
+    """(node, final): where each merged node ended, following (node, into); by pointer doubling.
+
+    A cycle has no end, so one is an error.
+    """
+    links = checkpoint(redirects.select("node", F.col("into").alias("next")))
+    found = checkpoint(_ends(links))
+    lost = links.join(found, "node", "left_anti").limit(3).collect()
+    if lost:
+        raise ValueError(f"redirects that never end: {', '.join(str(r.node) for r in lost)} and others on their way")
+    return found.select("node", F.col("end").alias("final"))
 
 
 def rekeyed(nodes: DataFrame) -> DataFrame:

@@ -57,12 +57,19 @@ def tally(rows: DataFrame, score: str, positive: str, threshold: float) -> DataF
 
 
 def upper_median(rows: DataFrame, value: str) -> DataFrame:
-    """One row ``median``: the element floor(n / 2) of the sorted values, the upper one of two."""
-    # the upper median is the smallest value with more than half the rows at or below it
+    """One row ``median``: the element floor(n / 2) of the sorted values, the upper one of two.
+
+    It is the smallest value with more than half the rows at or below it.  Counts are summed by
+    ranges of values first, some thousands at most, and then within the one range that has it.
+    """
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    total = F.sum("c").over(Window.partitionBy())
-    so_far = F.sum("c").over(Window.orderBy("v"))
-    return counts.withColumn("half", 2 * so_far > total).where("half").agg(F.min("v").alias("median"))
+    ranged = counts.withColumn("range", F.floor(F.log2(1 + F.abs(F.col("v").cast("double"))) * 64) * F.signum(F.col("v").cast("double")))
+    sizes = ranged.groupBy("range").agg(F.sum("c").alias("rc"))
+    sums = sizes.withColumn("upto", F.sum("rc").over(Window.orderBy("range"))).withColumn("total", F.sum("rc").over(Window.partitionBy()))
+    place = sums.where(2 * F.col("upto") > F.col("total")).agg(F.min(F.struct("range", (F.col("upto") - F.col("rc")).alias("below"), "total")).alias("x")).select("x.*")
+    inside = ranged.join(F.broadcast(place), "range")  # one row
+    so_far = F.col("below") + F.sum("c").over(Window.orderBy("v"))  # the values of one range of a 64th of a doubling
+    return inside.withColumn("half", 2 * so_far > F.col("total")).where("half").agg(F.min("v").alias("median"))
 
 
 def same_section_candidates(screens: DataFrame, most: int = 8) -> DataFrame:

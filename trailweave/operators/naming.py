@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.session import checkpoint, join_checked
+
+#: What stands for a data value, and the signs that part a site's name from a title (fixed values).
 PLACEHOLDER = "〇〇"
 _SUFFIX = r"^.+?((?:\s+[—–\-|｜:：]\s+)(?:(?!\s[—–\-|｜:：]\s).)*)$"
 _RUNS = re.compile(f"{PLACEHOLDER}(?:[\\s・、,]*{PLACEHOLDER})+")
@@ -32,54 +36,68 @@ def strip_site(s: Column, suffix: Column) -> Column:
 
 
 def norm_text(s: str | None) -> str:
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", s or "")).strip()
-
-
-def usable_value(v: str) -> bool:
-    return len(v) >= 2 and bool(re.search(r"[^\d\s#.,:/\-]", v))
-
-
-def scrub_one(text: str, values: list[str]) -> tuple[str, list[str]]:
-    """``text`` with the values, compared after NFKC, as placeholders, and what was replaced."""
-    wanted = sorted({v for v in map(norm_text, values) if usable_value(v)}, key=lambda v: (-len(v), v))
-    if not wanted:
-        return text, []
-    normal, source = "", []
-    for i, ch in enumerate(text):
-        c = unicodedata.normalize("NFKC", ch)
-        c = " " if c.isspace() else c
-        if c == " " and (not normal or normal[-1] == " "):
-            continue
-        normal += c
-        source += [i] * len(c)
-    cut = bytearray(len(text))
-    for v in wanted:
-        at = normal.find(v)
-        while at >= 0:
-            for k in range(at, at + len(v)):
-                cut[source[k]] = 1
-            at = normal.find(v, at + len(v))
-    out, run, removed = [], "", []
-    for ch, gone in zip(text + "\0", [*cut, 0]):
-        if gone:
-            run += ch
-            continue
-        if run:
-            out.append(PLACEHOLDER)
-            removed.append(run.strip())
-            run = ""
-        out.append(ch)
-    return _RUNS.sub(PLACEHOLDER, "".join(out)[:-1]), removed
+    return " ".join(unicodedata.normalize("NFKC", s or "").split())
+
+
+#: A value of digits and these signs alone says nothing (fixed values).
+_NO_NAME = re.compile(r"[\d\s#.,:/\-]*")
+
+
+class Folded:
+    """A text as values are compared with it: NFKC by character, white space squeezed, and where each piece came from.
+
+    ``cuts[k]``: the place in ``text`` of the k-th character of ``folded``.
+    """
+
+    def __init__(self, text: str):
+        pieces, cuts = [], []
+        for m in re.finditer(r"\s+|[!-~]+|.", text, re.S):
+            piece = m[0]
+            if piece.isspace():
+                piece = " "
+            elif not piece.isascii():
+                piece = re.sub(r"\s", " ", unicodedata.normalize("NFKC", piece))
+            straight = piece.isascii() and len(piece) == m.end() - m.start()
+            for k, c in enumerate(piece):
+                if c != " " or pieces[-1:] not in ([], [" "]):
+                    pieces.append(c)
+                    cuts.append(m.start() + k * straight)
+        self.text, self.folded, self.cuts = text, "".join(pieces), cuts
+
+    def spans(self, values: Iterable[str]) -> Iterator[tuple[int, int]]:
+        """Places in the text of all occurrences of the values."""
+        for v in values:
+            for m in re.finditer(re.escape(v), self.folded):
+                yield self.cuts[m.start()], self.cuts[m.end() - 1] + 1
 
 
 def scrub_to_placeholder(text: Column, values: Column) -> Column:
-    """{text, removed}; NFKC isn't among Spark's functions, so texts go to Python in Arrow batches."""
+    """{text, removed}: ``text`` with the values, compared after NFKC, as placeholders, and what was replaced.
+
+    NFKC isn't among Spark's functions, so texts go to Python in Arrow batches.  The spans of all
+    values are sorted once; those that touch are one, and the text is put together around them.
+    Placeholders with nothing but separators between them are one.  A value of one character, or of
+    digits and signs alone, is no name.
+    """
+
+    def scrubbed(t: str, names: set[str]) -> tuple[str, list[str]]:
+        kept, removed, at = [], [], 0
+        for start, stop in sorted(Folded(t).spans(names)):
+            if kept and start <= at:
+                removed[-1] += t[at:stop]
+            else:
+                kept.append(t[at:start])
+                removed.append(t[start:stop])
+            at = max(at, stop)
+        return _RUNS.sub(PLACEHOLDER, PLACEHOLDER.join([*kept, t[at:]])), [x.strip() for x in removed]
 
     @F.arrow_udf("struct<text:string,removed:array<string>>")
     def run(texts: pa.Array, lists: pa.Array) -> pa.Array:
-        rows = [scrub_one(t or "", [x for x in (v or []) if x]) for t, v in zip(texts.to_pylist(), lists.to_pylist())]
-        kind = pa.struct([("text", pa.string()), ("removed", pa.list_(pa.string()))])
-        return pa.array([{"text": t, "removed": r} for t, r in rows], kind)
+        rows = []
+        for t, own in zip(texts.to_pylist(), lists.to_pylist()):
+            names = {v for v in map(norm_text, own or ()) if len(v) >= 2 and not _NO_NAME.fullmatch(v)}
+            rows.append(dict(zip(("text", "removed"), scrubbed(t or "", names) if names else (t or "", []))))
+        return pa.array(rows, pa.struct([("text", pa.string()), ("removed", pa.list_(pa.string()))]))
 
     return run(text, values)
 
@@ -103,42 +121,60 @@ def pattern_parts(pattern: Column, label: Column) -> Column:
     return run(pattern, label)
 
 
-def _shared(values: list[str], back: bool) -> int:
-    """Length of the longest common prefix, or suffix, that ends at a blank or the text's end."""
-    texts = [v[::-1] for v in values] if back else values
-    low, high = min(texts), max(texts)
-    n = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
-    whole = all(len(t) == n or t[n : n + 1] == " " for t in texts)
-    return n if whole else low.rfind(" ", 0, n) + 1
+def nfkc(text: Column) -> Column:
+    """NFKC with white space squeezed; a null text is empty."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([norm_text(t) for t in texts.to_pylist()], pa.string())
+
+    return run(text)
+
 
+def _shared_length(low: Column, high: Column) -> Column:
+    """Length of the common beginning of two texts."""
 
-def template_of(titles: list[str]) -> str:
-    """Titles of instances of one screen with the part in which they differ as a placeholder."""
-    distinct = sorted({norm_text(t) for t in titles})
-    if len(distinct) < 2:
-        return distinct[0] if distinct else ""
-    front = _shared(distinct, False)
-    rest = [t[front:] for t in distinct]
-    back = _shared(rest, True)
-    back = 0 if back >= min(map(len, rest)) else back
-    return _RUNS.sub(PLACEHOLDER, distinct[0][:front] + PLACEHOLDER + (distinct[0][len(distinct[0]) - back :] if back else ""))
+    @F.arrow_udf("int")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([len(os.path.commonprefix(x)) for x in zip(a.to_pylist(), b.to_pylist())], pa.int32())
 
+    return run(low, high)
 
-def templates(instances: DataFrame, group: list[str], title: str = "title", most: int = 20) -> DataFrame:
-    """(group, n, template): name of each screen from the titles of its instances.
 
-    A screen records up to ``most`` samples: the smallest title of each of so many buckets of titles,
-    so that groups stay small whatever the number of instances.
+def _shared_start(rows: DataFrame, group: list[str], text: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: the length of the longest beginning that all texts of a group share and that ends at a blank or an end.
+
+    The least and the greatest text tell what all share; whether each of them has a blank there is
+    a second sum.  Groups of any size: nothing is gathered.
     """
-    bucket = F.crc32(F.col(title).cast("binary")) % most
-    picks = [F.min(F.when(bucket == b, F.col(title))) for b in range(most)]
-    sampled = instances.groupBy(*group).agg(F.count("*").alias("n"), F.array_compact(F.array(*picks)).alias("titles"))
+    ends = rows.groupBy(*group).agg(F.min(text).alias("low"), F.max(text).alias("high")).withColumn("n", _shared_length(F.col("low"), F.col("high")))
+    known = join_checked(rows, ends.select(*group, "low", "n"), group, "inner")
+    whole = known.groupBy(*group).agg(F.bool_and((F.length(text) == F.col("n")) | (F.substring(text, F.col("n") + 1, F.lit(1)) == " ")).alias("whole"), F.first("low").alias("low"), F.first("n").alias("n"))
+    # else up to and with the last blank within what is shared
+    start = F.left("low", F.col("n"))
+    cut = F.when(F.col("whole"), F.col("n")).otherwise(F.length(start) - F.length(F.substring_index(start, " ", -1)))
+    return join_checked(rows, whole.select(*group, cut.alias(out)), group, "inner")
 
-    @F.arrow_udf("string")
-    def named(lists: pa.Array) -> pa.Array:
-        return pa.array([template_of([t for t in x or [] if t]) for x in lists.to_pylist()], pa.string())
 
-    return sampled.select(*group, "n", named(F.col("titles")).alias("template"))
+def templates(instances: DataFrame, group: list[str], title: str = "title") -> DataFrame:
+    """(group, n, template): name of each screen from the titles of all its instances.
+
+    Where they differ, a placeholder stands between their common beginning and end; both end at
+    blanks.  A null title is the empty one; groups may have any number of instances.
+    """
+    named = checkpoint(instances.select(*group, nfkc(F.col(title)).alias("t")))
+    counts = named.groupBy(*group).agg(F.count("*").alias("n_all"), F.min("t").alias("one"), (F.min("t") != F.max("t")).alias("differ"))
+    several = join_checked(named.distinct(), counts.where("differ").select(*group), group, "left_semi")
+    rows = _shared_start(several, group, "t", "front")
+    rows = rows.withColumn("back_to_front", F.reverse(F.substring("t", F.col("front") + 1, F.length("t"))))
+    rows = _shared_start(rows, group, "back_to_front", "back")
+    # an end that is all that a title has left is none
+    rest = F.length("back_to_front")
+    sized = rows.groupBy(*group).agg(F.first("front").alias("front"), F.when(F.first("back") < F.min(rest), F.first("back")).otherwise(0).alias("back"))
+    whole = join_checked(counts, sized, group, "left")
+    joined = F.concat(F.left("one", F.col("front")), F.lit(PLACEHOLDER), F.right("one", F.col("back")))
+    template = F.when(F.col("differ"), F.regexp_replace(joined, f"{PLACEHOLDER}(?:[\\s・、,]*{PLACEHOLDER})+", PLACEHOLDER)).otherwise(F.col("one"))
+    return whole.select(*group, F.col("n_all").alias("n"), template.alias("template"))
 
 
 def suggestions(keys: DataFrame, known: list[str]) -> DataFrame:

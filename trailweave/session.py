@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,18 +16,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    A cluster names it in its configuration.  Only where it is unset, as in
-    tests on one machine, a temporary folder is made.
+    A cluster names it in its configuration.  Only where it is unset on one machine, as in tests,
+    a temporary folder is made; on a cluster that is an error, as executors wouldn't see it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    wanted = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
+    wanted = spark.conf.get("spark.checkpoint.dir", None)
+    if not wanted:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        wanted = tempfile.mkdtemp(prefix="spark-checkpoint-")
     sc.setCheckpointDir(wanted)
     return sc.getCheckpointDir()
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library wrote, on whatever file system it is; none is no error."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and cut from its lineage.
 
