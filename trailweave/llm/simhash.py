@@ -179,19 +179,18 @@ def _forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> list[tuple[
 
 @dataclass
 class Cell:
-    """Rows sorted by anchor, those at home first: key of the anchor, home, node, its group, its lanes."""
+    """Rows sorted by anchor, those at home first: key of the anchor, home, node, its lanes."""
 
     keys: np.ndarray
     home: np.ndarray
     nodes: np.ndarray
-    groups: np.ndarray
     prints: np.ndarray
 
     def rows(self, which) -> Cell:
-        return Cell(*(x[which] for x in (self.keys, self.home, self.nodes, self.groups, self.prints)))
+        return Cell(*(x[which] for x in (self.keys, self.home, self.nodes, self.prints)))
 
     def then(self, other: Cell) -> Cell:
-        return Cell(*(np.concatenate([getattr(self, k), getattr(other, k)]) for k in ("keys", "home", "nodes", "groups", "prints")))
+        return Cell(*(np.concatenate([getattr(self, k), getattr(other, k)]) for k in ("keys", "home", "nodes", "prints")))
 
     def __len__(self) -> int:
         return len(self.keys)
@@ -201,52 +200,40 @@ class Cell:
         keys = batch.column("anchor").to_numpy() << 20 | batch.column("salt").to_numpy()
         prints = _lanes(batch)
         nodes = batch.column("node").to_numpy() if "node" in batch.schema.names else node_of(prints)
-        groups = batch.column("group").to_numpy() if "group" in batch.schema.names else nodes
-        return cls(keys, batch.column("home").to_numpy(zero_copy_only=False).astype(bool), nodes, groups, prints)
+        return cls(keys, batch.column("home").to_numpy(zero_copy_only=False).astype(bool), nodes, prints)
 
 
-def _close_pairs(c: Cell, most: int, thin: bool) -> list[tuple[int, int]]:
-    """Pairs of nodes within ``most`` bits at one anchor, one of them at home there, in different groups.
-
-    ``thin``: at each anchor only a spanning forest of these pairs, closer ones first.
-    """
+def _close_pairs(c: Cell, most: int) -> list[tuple[int, int]]:
+    """A spanning forest, at each anchor, of the pairs of nodes within ``most`` bits of which one is at home there."""
     cuts = np.flatnonzero(np.diff(c.keys)) + 1
     starts, stops = np.r_[0, cuts], np.r_[cuts, len(c)]
     sizes, kept = stops - starts, []
     small = (sizes > 1) & (sizes <= 64)
     s = c.rows(np.repeat(small, sizes))
-    a, b, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for shift in range(1, int(sizes[small].max(initial=0))):
-        near = np.flatnonzero((s.keys[shift:] == s.keys[:-shift]) & (s.home[shift:] | s.home[:-shift]) & (s.groups[shift:] != s.groups[:-shift]))
-        apart = np.bitwise_count(s.prints[near] ^ s.prints[near + shift]).sum(axis=1, dtype=np.int64)
-        near, apart = near[apart <= most], apart[apart <= most]
+        near = np.flatnonzero((s.keys[shift:] == s.keys[:-shift]) & (s.home[shift:] | s.home[:-shift]) & (s.nodes[shift:] != s.nodes[:-shift]))
+        near = near[np.bitwise_count(s.prints[near] ^ s.prints[near + shift]).sum(axis=1, dtype=np.int64) <= most]
         a.append(s.nodes[near])
         b.append(s.nodes[near + shift])
-        d.append(apart)
-    first, second, apart = map(np.concatenate, (a, b, d))
-    if thin:
-        order = np.argsort(apart, kind="stable")
-        kept += _forest(first[order], second[order], {})
-    else:
-        kept += zip(first.tolist(), second.tolist())
+    kept += _forest(np.concatenate(a), np.concatenate(b), {})
     for low, high in zip(starts[sizes > 64], stops[sizes > 64]):
         g = c.rows(slice(low, high))
-        label = np.unique(g.groups, return_inverse=True)[1]
+        label = np.arange(len(g))
         for i in np.flatnonzero(g.home):
-            apart = np.bitwise_count(g.prints ^ g.prints[i]).sum(axis=1, dtype=np.int64)
-            near = np.flatnonzero((apart <= most) & (label != label[i]))
-            if thin and len(near):
-                # the nearest row of each label, which then becomes this row's label
-                near = near[np.argsort(apart[near], kind="stable")]
+            near = np.flatnonzero(label != label[i])
+            near = near[np.bitwise_count(g.prints[near] ^ g.prints[i]).sum(axis=1, dtype=np.int64) <= most]
+            if len(near):
+                # one row of each label, which then becomes this row's label
                 near = near[np.unique(label[near], return_index=True)[1]]
                 joined = np.zeros(len(label), bool)
                 joined[label[near]] = True
                 label[joined[label]] = label[i]
-            kept += zip(itertools.repeat(int(g.nodes[i])), g.nodes[near].tolist())
+                kept += zip(itertools.repeat(int(g.nodes[i])), g.nodes[near].tolist())
     return kept
 
 
-def _compared(most: int, thin: bool):
+def _compared(most: int):
     def record(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.record_batch([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
 
@@ -259,23 +246,23 @@ def _compared(most: int, thin: bool):
             # the last anchor of a batch may go on in the next one
             cut = int(np.searchsorted(now.keys, now.keys[-1]))
             if cut:
-                yield record(_close_pairs(now.rows(slice(0, cut)), most, thin))
+                yield record(_close_pairs(now.rows(slice(0, cut)), most))
             rest = now.rows(slice(cut, None))
             if len(rest) > _HELD:
                 # all its home rows are here, as they come first; further copies need only these
-                yield record(_close_pairs(rest, most, thin))
+                yield record(_close_pairs(rest, most))
                 rest = rest.rows(rest.home)
         if rest is not None:
-            yield record(_close_pairs(rest, most, thin))
+            yield record(_close_pairs(rest, most))
 
     return run
 
 
-def anchor_pairs(rows: DataFrame, most: int, thin: bool = True) -> DataFrame:
+def anchor_pairs(rows: DataFrame, most: int) -> DataFrame:
     """Pairs (a, b) of nodes within ``most`` bits, one at home at an anchor where the other is too.
 
-    ``rows``: (anchor, home, f0, ... and, if the lanes don't name the node, node; and group, if
-    pairs of one group aren't wanted).  An anchor with many home rows is dealt over several tasks:
+    Of an anchor's pairs only a spanning forest.  ``rows``: (anchor, home, f0, ... and, if the lanes
+    don't name the node, node).  An anchor with many home rows is dealt over several tasks:
     its home rows are copied to each of them and its other rows are split.
     """
     crowded = rows.where("home").groupBy("anchor").count().where(F.col("count") >= HOT_ANCHOR)
@@ -289,7 +276,7 @@ def anchor_pairs(rows: DataFrame, most: int, thin: bool = True) -> DataFrame:
         to = F.when(F.col("home"), F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).otherwise(F.array(own))
         salted = dealt.withColumn("salt", F.explode(to)).drop("parts")
     placed = salted.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", F.desc("home"))
-    return placed.mapInArrow(_compared(most, thin), "a long, b long")
+    return placed.mapInArrow(_compared(most), "a long, b long")
 
 
 def print_links(prints: DataFrame, most: int = 3) -> DataFrame:
