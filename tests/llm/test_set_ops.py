@@ -85,6 +85,7 @@ def repeat_texts() -> list[str]:
 def test_repeats(documents, monkeypatch, hot):
     if hot:  # every anchor with two stretches or more takes the way of the hot ones
         monkeypatch.setattr(suffix_dedup, "HOT_STRETCHES", 1)
+        monkeypatch.setattr(suffix_dedup, "FREQUENT_COPIES", 1)
     texts = repeat_texts()
     gone = brute_repeats([t.encode() for t in texts], 200)
     for r in suffix_dedup.without_repeats(documents(list(enumerate(texts)))).collect():
@@ -141,6 +142,12 @@ def test_a_long_text_after_a_short_one():
     assert any({(1, 6 + k), (2, at + k)} <= places for places in found.values() for k in range(300))
 
 
+def test_lengths_that_do_not_fit_are_refused(documents):
+    for least in (31, 2001):
+        with pytest.raises(ValueError, match="32 to 2000"):
+            suffix_dedup.without_repeats(documents([(1, "x")]), least)
+
+
 @pytest.mark.parametrize("least", [1, 3, 8, 20])
 def test_interval_expansion(least):
     rng = random.Random(least)

@@ -26,11 +26,14 @@ from pyspark.sql import functions as F
 from trailweave.llm.blocks import as_bytes, sliced
 from trailweave.session import checkpoint, ensure_checkpoint_dir, join_checked
 
-GRAM = 32
+#: The places and the length of a stretch, below 2 ``least``, are kept in 12 bits each.
+GRAM, MOST_LEAST = 32, 2000
 _PLACE = np.uint64((1 << 24) - 1)
 #: Different stretches of an anchor from which on they are dealt in slices by what surrounds the anchor.
 HOT_STRETCHES = 4000
 SLICES = 8
+#: Copies of a stretch beyond which it is looked up in a list that all executors have; so many times fewer than the rows.
+FREQUENT_COPIES = 2000
 #: Different parts of a slice from which on its strings are counted one by one, so that no task holds a larger group.
 CROWDED_PARTS = 1 << 14
 _CHUNK_BYTES, _CHUNK_PARTS = 1 << 20, 1 << 15
@@ -303,8 +306,14 @@ def repeated_spans(texts: DataFrame, least: int = 200) -> DataFrame:
     sorted_parts = parts.repartition("group").sortWithinPartitions("group")
     compared = sorted_parts.mapInArrow(_expanded(least), "rid long, start long, stop long")
     whole = hits.where("not mixed").select("rid", *place[:2])
-    often = mixed.where("n > 1").select("anchor", "content")
-    whole = whole.unionByName(hits.where("mixed").join(often, ["anchor", "content"], "left_semi").select("rid", *place[:2]))
+    # copies of a stretch: those of a very frequent one are found without a shuffle, so none of these keys fills a task
+    key = ["anchor", "content"]
+    frequent = checkpoint(mixed.where(F.col("n") > FREQUENT_COPIES).select(*key))
+    copies = [join_checked(hits.where("mixed"), frequent, key, "left_semi", MOST_BROADCAST)]
+    rest = join_checked(hits.where("mixed"), frequent, key, "left_anti", MOST_BROADCAST)
+    copies.append(rest.join(mixed.where(F.col("n").between(2, FREQUENT_COPIES)).select(*key), key, "left_semi"))
+    for x in copies:
+        whole = whole.unionByName(x.select("rid", *place[:2]))
     return compared.unionByName(whole.select("rid", "start", (F.col("start") + F.col("length")).alias("stop"))).unionByName(doubled)
 
 
@@ -344,8 +353,12 @@ def without_repeats(documents: DataFrame, least: int = 200, id_col: str = "doc_i
     Every byte that a string of ``least`` bytes covers which also starts elsewhere, in this or any
     other text, is removed; strings are judged on the input and never cross texts.  A null text is
     empty.  ``kept`` are the bytes that remain, which may cut a character in two.  Repeated rows
-    are copies of each other, so what they share is removed from all; null ids stay null.
+    are copies of each other, so what they share is removed from all; null ids stay null; other
+    columns are ignored; an empty table gives no rows.  Very long texts are hashed part by part.
+    ``least`` is from ``GRAM`` to ``MOST_LEAST``.
     """
+    if not GRAM <= least <= MOST_LEAST:
+        raise ValueError(f"repeated strings of {GRAM} to {MOST_LEAST} bytes can be found, not of {least}")
     kind = documents.schema[id_col].dataType.simpleString()
     texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.withColumn("rid", F.xxhash64("doc_id", "text"))
