@@ -23,16 +23,24 @@ def test_quiet_sessions_of_a_stream(spark, sf, tmp_path):
     assert found == {tuple(r) for r in live.quiet_sessions(table(spark, sf, "events"), "6 hours").collect()}
 
 
-def test_ordered_commits_once(spark, tmp_path):
+def test_late_results_are_committed_in_order(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
-    spark.createDataFrame([(2, 0, 0, 0), (1, 0, 1, 0), (1, 0, 0, 0)], "level int, phase int, seq int, k int").coalesce(1).write.parquet(source)
+    commits = []
+    for part in ([3, 0, 1], [5, 2], [6], [4, 4, 1]):
+        spark.createDataFrame([(k, f"r{k}") for k in part], "seq int, text string").coalesce(1).write.mode("append").parquet(source)
+        live.ordered_commits(spark.readStream.schema("seq int, text string").parquet(source), target, str(tmp_path / "c")).awaitTermination()
+        rows = spark.read.parquet(f"{target}/committed")
+        commits.append(sorted(r.seq for r in rows.collect()))
+    assert commits == [[0, 1], [0, 1, 2, 3], [0, 1, 2, 3], [0, 1, 2, 3, 4, 5, 6]]
+    live.ordered_commits(spark.readStream.schema("seq int, text string").parquet(source), target, str(tmp_path / "c")).awaitTermination()
+    assert spark.read.parquet(f"{target}/committed").count() == 7
+
+
+def test_relearned_results_are_whole(spark, sf, tmp_path):
+    folder = copied(spark, sf, tmp_path)
     for _ in range(2):
-        live.ordered_commits(spark.readStream.schema("level int, phase int, seq int, k int").parquet(source), target, str(tmp_path / "c")).awaitTermination()
-    assert [tuple(r)[:3] for r in spark.read.parquet(target).select("level", "phase", "seq", "k").collect()] == [(1, 0, 0), (1, 0, 1), (2, 0, 0)]
-
-
-def test_relearned_replaces_its_result(spark, sf, tmp_path):
-    stream = live.read_events(spark, copied(spark, sf, tmp_path), EVENTS)
-    live.relearned(stream, lambda h: h.groupBy("event_type").count(), str(tmp_path / "h"), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
-    found = {tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).collect()}
-    assert found == {tuple(r) for r in table(spark, sf, "events").groupBy("event_type").count().collect()}
+        stream = live.read_events(spark, folder, EVENTS)
+        live.relearned(stream, lambda h: h.groupBy("event_type").count(), str(tmp_path / "h"), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
+        expected = spark.read.parquet(folder).groupBy("event_type").count()
+        assert {tuple(r) for r in live.latest(spark, str(tmp_path / "t")).collect()} == {tuple(r) for r in expected.collect()}
+        table(spark, sf, "events").limit(50).coalesce(1).write.mode("append").parquet(folder)

@@ -45,14 +45,28 @@ def stabilized(observations: DataFrame, by: str = "page", order: str = "seq", fi
     return same.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_same", "_k")
 
 
-def ordered_commits(results: DataFrame, target: str, checkpoint: str, keys: tuple[str, ...] = ("level", "phase", "seq", "k")) -> Callable:
-    """Starts a stream that appends results to ``target``, each micro-batch sorted by its place in the plan.
+def ordered_commits(results: DataFrame, target: str, checkpoint: str, seq: str = "seq", first: int = 0):
+    """Starts a stream that commits results in the order of the plan, however late they come.
 
-    A batch that is run again overwrites its own folder, so each result is committed once.
+    ``seq`` numbers the planned results from ``first`` on without gaps.  A micro-batch commits what
+    follows the last committed one without a gap, as ``target/committed/epoch=...``; what is beyond
+    a gap is held back in ``target/held`` until the gap is filled.  Each batch reads what the one
+    before it left and overwrites its own folders, so a batch that is run again commits nothing twice.
     """
 
     def commit(batch: DataFrame, epoch: int) -> None:
-        batch.sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+        spark, rows, due = batch.sparkSession, batch, first
+        if epoch:
+            rows = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{target}/held/epoch={epoch - 1}"))
+            due = spark.read.parquet(f"{target}/state/epoch={epoch - 1}").first()["due"]
+        rows.where(F.col(seq) >= due).dropDuplicates([seq]).write.mode("overwrite").parquet(f"{target}/known/epoch={epoch}")
+        known = spark.read.schema(batch.schema).parquet(f"{target}/known/epoch={epoch}")
+        # the last one before a gap: the least number, from the one before the due one on, whose successor isn't there
+        numbers = known.select(F.col(seq).cast("long").alias("n")).union(spark.range(due - 1, due).select("id"))
+        last = numbers.join(known.select((F.col(seq).cast("long") - 1).alias("n")), "n", "left_anti").agg(F.min("n")).first()[0]
+        known.where(F.col(seq) <= last).repartitionByRange(seq).sortWithinPartitions(seq).write.mode("overwrite").parquet(f"{target}/committed/epoch={epoch}")
+        known.where(F.col(seq) > last).write.mode("overwrite").parquet(f"{target}/held/epoch={epoch}")
+        spark.createDataFrame([(last + 1,)], "due long").write.mode("overwrite").parquet(f"{target}/state/epoch={epoch}")
 
     return results.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -60,11 +74,18 @@ def ordered_commits(results: DataFrame, target: str, checkpoint: str, keys: tupl
 def relearned(events: DataFrame, recompute: Callable[[DataFrame], DataFrame], history: str, target: str, checkpoint: str):
     """Starts a stream whose result depends on all history: each batch is stored and the result is computed anew.
 
-    Learning can take back what it said before, so the result is replaced and never appended to.
+    Learning can take back what it said before, so each result is whole, in a folder of its own
+    (``target/epoch=...``), and never replaces one that is being read; ``latest`` reads the last.
     """
 
     def step(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{history}/epoch={epoch}")
-        recompute(batch.sparkSession.read.parquet(history)).write.mode("overwrite").parquet(target)
+        recompute(batch.sparkSession.read.parquet(history)).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, target: str) -> DataFrame:
+    """The last result that ``relearned`` wrote."""
+    every = spark.read.parquet(target)
+    return every.where(F.col("epoch") == every.agg(F.max("epoch")).first()[0]).drop("epoch")
