@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from trailweave.functions import masking, text, urls
 from trailweave.operators import compare, graph, learning, naming, skeleton
-from trailweave.session import table
+from trailweave.session import checkpoint, table
 from trailweave.sources import pages as captured
 
 NAMES, VALUES = urls.RouteOptions(query="names"), urls.RouteOptions(query="values", structural=("page",))
@@ -69,10 +69,14 @@ def page_same_structure_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Each page with the page before it on its host: pairs grow with the pages, not with a host's square."""
-    w = Window.partitionBy("origin").orderBy("page_id")
-    rows = _skeletons(spark, d).select("page_id", "origin", "route", "lines", F.lag("page_id").over(w).alias("before"), F.lag("lines").over(w).alias("a"), F.lag("route").over(w).alias("route_a"))
-    return rows.where("before is not null")
+    """Each page with the page before it on its host: pairs grow with the pages, not with a host's square.
+
+    Only ids go through the window; the lines are joined to the pairs.
+    """
+    rows = checkpoint(_skeletons(spark, d).select("page_id", "origin", "route", "lines"))
+    pairs = rows.select("page_id", F.lag("page_id").over(Window.partitionBy("origin").orderBy("page_id")).alias("before")).where("before is not null")
+    first = rows.select(F.col("page_id").alias("before"), F.col("lines").alias("a"), F.col("route").alias("route_a"))
+    return pairs.join(rows.drop("origin"), "page_id").join(first, "before")
 
 
 def page_structure_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -108,9 +112,10 @@ def page_text_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def site_suffix(spark: SparkSession, d: str) -> DataFrame:
+    """The ending that titles share; the last words of the pages' own titles, parted from the rest as sites do it."""
     titles = captured.headings(_pages(spark, d)).where("tag = 'title'").select("text", "page_id")
-    # the last word stands in for a site's name
-    named = titles.select(F.concat(F.col("text"), F.lit(" - "), F.when(F.col("page_id") % 3 < 2, "Site").otherwise("Other")).alias("title"), F.col("page_id").alias("pos"))
+    last = F.substring_index("text", " ", -1)
+    named = titles.select(F.concat(F.left("text", F.length("text") - F.length(last)), F.lit(" - "), last).alias("title"), F.col("page_id").alias("pos"))
     return naming.site_suffix(named)
 
 
@@ -121,13 +126,16 @@ def page_subtitles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_rekey_merge(spark: SparkSession, d: str) -> DataFrame:
-    rows = _pages(spark, d).select(F.col("page_id").alias("node"), urls.route(F.col("url"))["route"].alias("signature"), (F.col("page_id") % 3).cast("int").alias("depth"), F.col("page_id").alias("pos"))
+    """Pages of one route merge if they are as deep in the site's paths."""
+    rows = _pages(spark, d).select(F.col("page_id").alias("node"), urls.route(F.col("url"))["route"].alias("signature"), F.size(urls.segments(F.col("url"))).alias("depth"), F.col("page_id").alias("pos"))
     return graph.rekeyed(rows)
 
 
 def page_redirects(spark: SparkSession, d: str) -> DataFrame:
-    rows = _pages(spark, d).where("page_id % 5 <> 0").select(F.col("page_id").alias("node"), (F.col("page_id") - 1).alias("into"))
-    return graph.resolve_redirects(rows)
+    """Each page leads to the page before it on its route, so the chains are as long as the routes have pages."""
+    r = _pages(spark, d).select("page_id", urls.route(F.col("url"))["route"].alias("route"))
+    rows = r.select(F.col("page_id").alias("node"), F.lag("page_id").over(Window.partitionBy("route").orderBy("page_id")).alias("into"))
+    return graph.resolve_redirects(rows.where("into is not null"))
 
 
 def template_names(spark: SparkSession, d: str) -> DataFrame:
@@ -249,16 +257,32 @@ SQL = {
     "page_common_nav": f"""WITH {_URLS}, {_LINKS}, m AS (SELECT DISTINCT page_id, label, href FROM links), t AS (SELECT count(DISTINCT page_id) AS with_out FROM m)
         SELECT label, href AS dst, count(DISTINCT page_id) AS sources FROM m, t GROUP BY label, href, with_out HAVING count(DISTINCT page_id) >= greatest(3, ceil(with_out * 0.02))""",
     "page_text_hash": f"""SELECT page_id, substr(sha1({_plain("regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<head\\b.*?</head\\s*>|<template\\b.*?</template\\s*>', ' ', 'g')")}), 1, 12) AS text_hash FROM pages""",
-    "site_suffix": f"""WITH {_HEADS}, t AS (SELECT text || ' - ' || CASE WHEN page_id % 3 < 2 THEN 'Site' ELSE 'Other' END AS title, page_id FROM heads WHERE tag = 'title'),
-        c AS (SELECT regexp_extract(title, '(\\s+-\\s+[A-Za-z]+)$', 1) AS suffix, count(*) AS n, min(page_id) AS f FROM t GROUP BY ALL)
-        SELECT CASE WHEN (SELECT count(*) FROM t) >= 2 AND n >= greatest(2, (SELECT count(*) FROM t) / 2) THEN suffix ELSE '' END AS suffix FROM c ORDER BY n DESC, f LIMIT 1""",
+    "site_suffix": f"""WITH {_HEADS}, t AS (SELECT left(text, length(text) - length(string_split(text, ' ')[-1])) || ' - ' || string_split(text, ' ')[-1] AS title, page_id FROM heads WHERE tag = 'title'),
+        c AS (SELECT regexp_extract(title, '^.+?((?:\\s+[—–\\-|｜:：]\\s+)(?:[^\\s]|\\s[^—–\\-|｜:：]|\\s[—–\\-|｜:：][^\\s])*)$', 1) AS suffix, count(*) AS n, min(page_id) AS f FROM t WHERE title <> '' GROUP BY ALL),
+        b AS (SELECT * FROM c WHERE suffix <> '' ORDER BY n DESC, f LIMIT 1), z AS (SELECT count(*) AS total FROM t WHERE title <> '')
+        SELECT CASE WHEN total >= 2 AND n >= greatest(2, total / 2) THEN suffix ELSE '' END AS suffix FROM z, b""",
     "page_subtitles": f"""WITH {_URLS}, {_HEADS}, c AS (SELECT h.page_id AS node, r.route AS name, h.pos, h.text AS clue FROM heads h JOIN r USING (page_id)),
         z AS (SELECT name, count(DISTINCT node) AS size FROM c GROUP BY ALL HAVING count(DISTINCT node) >= 2), sh AS (SELECT name, clue, count(DISTINCT node) - 1 AS shared FROM c GROUP BY ALL),
         k AS (SELECT node, clue, shared, size, row_number() OVER (PARTITION BY node ORDER BY shared, pos) AS k FROM c JOIN z USING (name) JOIN sh USING (name, clue) WHERE clue <> '')
         SELECT node, clue AS subtitle FROM k WHERE k = 1 AND shared < size - 1""",
-    "page_rekey_merge": f"""WITH {_URLS}, a AS (SELECT page_id AS node, route AS signature, CAST(page_id % 3 AS INT) AS depth, min(page_id) OVER (PARTITION BY route, page_id % 3) AS final FROM r),
+    "page_rekey_merge": f"""WITH {_URLS}, a AS (SELECT page_id AS node, route AS signature, CAST(len(segs) AS INT) AS depth, min(page_id) OVER (PARTITION BY route, len(segs)) AS final FROM r),
         b AS (SELECT *, dense_rank() OVER (PARTITION BY signature ORDER BY final) AS k FROM a)
         SELECT node, signature, depth, final, CASE WHEN k > 1 THEN signature || '~' || k ELSE signature END AS new_signature FROM b""",
-    "page_redirects": """WITH RECURSIVE e AS (SELECT page_id AS node, page_id - 1 AS into_node FROM pages WHERE page_id % 5 <> 0),
+    "page_redirects": f"""WITH RECURSIVE {_URLS}, e AS (SELECT * FROM (SELECT page_id AS node, lag(page_id) OVER (PARTITION BY route ORDER BY page_id) AS into_node FROM r) WHERE into_node IS NOT NULL),
         w AS (SELECT node, into_node AS final FROM e UNION ALL SELECT w.node, e.into_node FROM w JOIN e ON e.node = w.final) SELECT node, min(final) AS final FROM w GROUP BY node""",
+    "template_names": f"""WITH {_URLS}, {_HEADS}, t AS (SELECT r.origin, r.route, trim(regexp_replace(h.text, '\\s+', ' ', 'g')) AS t FROM heads h JOIN r USING (page_id) WHERE h.tag = 'title'),
+        g AS (SELECT origin, route, count(*) AS n, min(t) AS lo, max(t) AS hi, list(t) AS ts FROM t GROUP BY ALL),
+        a AS (SELECT *, coalesce(list_min(list_filter(range(1, least(length(lo), length(hi)) + 1), lambda i: substr(lo, i, 1) <> substr(hi, i, 1))) - 1, least(length(lo), length(hi))) AS c FROM g),
+        b AS (SELECT *, CASE WHEN len(list_filter(ts, lambda x: length(x) <> c AND substr(x, c + 1, 1) <> ' ')) = 0 THEN c ELSE c - length(string_split(left(lo, c), ' ')[-1]) END AS front FROM a),
+        d AS (SELECT *, list_transform(ts, lambda x: reverse(substr(x, front + 1))) AS rs FROM b),
+        e AS (SELECT *, list_min(rs) AS rlo, list_max(rs) AS rhi FROM d),
+        f AS (SELECT *, coalesce(list_min(list_filter(range(1, least(length(rlo), length(rhi)) + 1), lambda i: substr(rlo, i, 1) <> substr(rhi, i, 1))) - 1, least(length(rlo), length(rhi))) AS rc FROM e),
+        h AS (SELECT *, CASE WHEN len(list_filter(rs, lambda x: length(x) <> rc AND substr(x, rc + 1, 1) <> ' ')) = 0 THEN rc ELSE rc - length(string_split(left(rlo, rc), ' ')[-1]) END AS back0 FROM f),
+        k AS (SELECT *, CASE WHEN back0 < list_min(list_transform(rs, lambda x: length(x))) THEN back0 ELSE 0 END AS back FROM h)
+        SELECT origin, route, n, CASE WHEN lo = hi THEN lo ELSE left(lo, front) || '〇〇' || right(lo, CAST(back AS INT)) END AS template FROM k""",
+    "page_candidate_pairs": f"""WITH {_URLS}, x AS (SELECT page_id AS pos, origin || '/' || coalesce(string_split(route, '/')[2], '') AS section, route FROM r),
+        near AS (SELECT a.pos, b.pos AS other, a.route = b.route AS same_route, row_number() OVER (PARTITION BY a.pos, a.route = b.route ORDER BY b.pos DESC) AS k,
+              row_number() OVER (PARTITION BY a.pos ORDER BY b.pos DESC) AS place_all FROM x a JOIN x b ON a.section = b.section AND b.pos < a.pos),
+        c AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY same_route DESC, other DESC) AS place FROM near WHERE CASE WHEN same_route THEN k <= 8 ELSE place_all <= 16 END)
+        SELECT pos, other, same_route FROM c WHERE place <= 8""",
 }

@@ -18,7 +18,7 @@ NODE = (
 )
 EDGE = f"struct<from:string,to:string,action:{ACTION},error:string,inferred:boolean,via:array<{ACTION}>>"
 META = (
-    "struct<schemaVersion:int,signatureVersion:int,baseUrl:string,startedAt:string,finishedAt:string,stoppedBecause:string,stopKind:string,"
+    "struct<schemaVersion:int,signatureVersion:int,baseUrl:string,startedAt:string,finishedAt:string,stoppedBecause:string,stopKind:string,totalStates:int,totalEdges:int,"
     "config:map<string,string>>"
 )
 GRAPH = f"meta {META}, root string, nodes array<{NODE}>, edges array<{EDGE}>, _corrupt_record string"
@@ -102,3 +102,58 @@ def event_edges(events: DataFrame, start: str | None = None) -> DataFrame:
     return rows.where("src is not null").select(
         F.col("event_id").alias("edge_pos"), "user_id", "src", F.col("screen").alias("dst"), F.col("kind").alias("label"), (F.col("kind") == "error").alias("error")
     )
+
+
+def run_documents(nodes: DataFrame, edges: DataFrame, meta: DataFrame, globs: tuple[str, ...] | None = None) -> DataFrame:
+    """(run, meta, root, nodes, edges): one document of each run, in the schema that ``read_runs`` reads.
+
+    ``nodes``: (run, pos, id, signature, url, route, title, depth, text_hash, console_errors,
+    failed_requests, alias_signatures); ``edges``: (run, edge_pos, src, dst, role, label, href,
+    error, inferred); ``meta``: (run, root, base_url, stop_kind, config: map).  Addresses, and
+    addresses in messages, are masked.  A document is a run's screens, which are bounded by its
+    limit of states; a run of any size stays as tables and isn't made a document.
+    """
+    from trailweave.functions.masking import SENSITIVE, mask_url, mask_urls_in_text
+
+    hide = SENSITIVE if globs is None else globs
+    said = lambda c: F.transform(c, lambda x: mask_urls_in_text(x, hide))
+    n = F.struct(
+        F.col("pos"), F.col("id"), F.col("signature"), mask_url(F.col("url"), hide).alias("url"), F.col("route"), F.col("title"), F.col("depth"), F.col("text_hash").alias("textHash"),
+        said("console_errors").alias("consoleErrors"), said("failed_requests").alias("failedRequests"), F.col("alias_signatures").alias("aliasSignatures"),
+    )
+    action = F.struct("label", "role", mask_url(F.col("href"), hide).alias("href"))
+    e = F.struct(F.col("edge_pos").alias("pos"), F.col("src").alias("from"), F.col("dst").alias("to"), action.alias("action"), mask_urls_in_text(F.col("error"), hide).alias("error"), F.col("inferred"))
+    in_order = lambda x: F.transform(F.array_sort(F.collect_list(x)), lambda y: y.dropFields("pos"))
+    own = nodes.groupBy("run").agg(in_order(n).alias("nodes"), F.count("*").alias("n_nodes"))
+    led = edges.groupBy("run").agg(in_order(e).alias("edges"), F.count("*").alias("n_edges"))
+    about = F.struct(
+        F.lit(3).alias("schemaVersion"), F.lit(SIGNATURE_VERSION).alias("signatureVersion"), mask_url(F.col("base_url"), hide).alias("baseUrl"), F.col("stop_kind").alias("stopKind"),
+        F.coalesce("n_nodes", F.lit(0)).alias("totalStates"), F.coalesce("n_edges", F.lit(0)).alias("totalEdges"), F.col("config"),
+    )
+    return meta.join(own, "run", "left").join(led, "run", "left").select("run", about.alias("meta"), "root", "nodes", "edges")
+
+
+def write_runs(documents: DataFrame, runs_dir: str) -> None:
+    """Writes each run's document as JSON below a folder of its own; Spark's commit makes a run whole or absent."""
+    documents.write.mode("overwrite").partitionBy("run").json(runs_dir)
+
+
+def read_written(spark: SparkSession, runs_dir: str) -> DataFrame:
+    """What ``write_runs`` wrote, as ``read_runs`` gives it."""
+    raw = spark.read.schema(f"{GRAPH}, run string").option("mode", "PERMISSIVE").json(runs_dir)
+    return raw.withColumn("broken", F.col("_corrupt_record").isNotNull() | F.col("nodes").isNull()).drop("_corrupt_record")
+
+
+def summary_document(counts: DataFrame, gate: DataFrame, meta: DataFrame) -> DataFrame:
+    """One column ``summary``: the JSON text of a run's counts, its comparison and its gate (one row each)."""
+    both = counts.join(F.broadcast(gate)).join(F.broadcast(meta))  # one row each
+    diff = F.when(F.col("added").isNotNull(), F.struct("added", "removed", "changed", F.col("new_errors").alias("newErrors")))
+    return both.select(
+        F.to_json(
+            F.struct(
+                F.col("base_url").alias("baseUrl"), F.col("stop_kind").alias("stopKind"), "screens", "actions", F.col("error_screens").alias("errorScreens"), F.col("failed_actions").alias("failedActions"),
+                diff.alias("diff"), F.struct("failed", "reasons", "notes").alias("gate"),
+            ),
+            {"ignoreNullFields": "false"},
+        ).alias("summary")
+    )
