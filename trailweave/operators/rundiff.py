@@ -109,9 +109,9 @@ def gate(counts: DataFrame, fail_on: tuple[str, ...], unreliable: bool = False)
 
 
 def issues(items: DataFrame) -> DataFrame:
-    """(key, n, severity, any_new, score) of each screen's issues, worst first.
+    """(key, n, severity, any_new, score) of each screen's issues; ordered by ``score`` the worst come first.
 
-    ``items``: (key, kind, is_new).
+    ``items``: (key, kind, is_new); ``recording.issue_items`` orders those of one screen.
     """
     severity = F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv))[F.col("kind")]
     g = items.groupBy("key").agg(F.count("*").alias("n"), F.max(severity).alias("severity"), F.bool_or("is_new").alias("any_new"))

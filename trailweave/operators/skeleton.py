@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.functions.actions import action_key
 from trailweave.functions.text import fingerprint12, fold_digits, is_data_text, scrub
 from trailweave.functions.urls import RouteOptions, external_route, host, origin, route
 from trailweave.operators.learning import names
 from trailweave.session import checkpoint
 
 
-def skeletons(pages: DataFrame, headings: DataFrame, links: DataFrame, options: RouteOptions = RouteOptions(), variants: DataFrame | None = None, fields: DataFrame | None = None) -> DataFrame:
+def skeletons(pages: DataFrame, headings: DataFrame, links: DataFrame, options: RouteOptions = RouteOptions(), variants: DataFrame | None = None, fields: DataFrame | None = None, controls: DataFrame | None = None) -> DataFrame:
     """(page_id, url, route, data_driven, lines, structure, signature) of each page.
 
     Lines: dialogs and tabs (none in static pages), headings in page order, actions and fields
     sorted, each once.  Data values, those of the URL, of the first h1 of a data page and the
     names that links give, become *.  Links to the page's own route aren't part of it.
-    ``variants``: (origin, route) whose h1 is data too.  Routes and links are written to the
+    ``variants``: (origin, route) whose h1 is data too; ``controls``: (page_id, role, label, toggle)
+    of actions that aren't links, whose shapes are lines too.  Routes and links are written to the
     checkpoint folder, as several branches use them: pages are parsed once and plans stay small.
     """
     routed = pages.select("page_id", "url", origin(F.col("url")).alias("origin"), route(F.col("url"), options=options).alias("r"))
@@ -47,6 +49,12 @@ def skeletons(pages: DataFrame, headings: DataFrame, links: DataFrame, options:
         .withColumn("key", key).where(~(F.col("key").eqNullSafe(F.col("route"))))
         .groupBy("page_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("a:link|"), "key"))).alias("a"))
     )
+    if controls is not None:
+        shape = action_key(F.col("role"), F.col("label"), F.lit(None).cast("string"), F.col("toggle"), F.col("origin"), F.col("values"))
+        own_shapes = controls.select("page_id", "role", "label", "toggle").join(base.select("page_id", "origin", "values"), "page_id")
+        shapes = own_shapes.groupBy("page_id").agg(F.collect_set(F.concat(F.lit("a:"), shape)).alias("c"))
+        both = F.array_sort(F.array_union(F.coalesce("a", none), F.coalesce("c", none)))
+        a_lines = a_lines.join(shapes, "page_id", "full").select("page_id", both.alias("a"))
     lines = base.join(h_lines, "page_id", "left").join(a_lines, "page_id", "left")
     parts = [F.coalesce("h", none), F.coalesce("a", none)]
     if fields is not None:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trailweave.functions.text import squeeze
+from trailweave.functions.text import accessible_label, squeeze
 from trailweave.functions.urls import resolve
 
 _ATTRIBUTE = r"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
@@ -70,6 +70,41 @@ def links(pages: DataFrame) -> DataFrame:
     )
 
 
+def attributes(tag: Column) -> Column:
+    """Map of an opening tag's attributes, names in lower case; the first of equal names counts, one without a value is ''."""
+    pattern = r"(?s)\s([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?"
+    inner = F.regexp_replace(tag, r"(?s)^<[^\s>/]+|/?>$", "")
+    found = [F.regexp_extract_all(inner, F.lit(pattern), F.lit(k)) for k in range(1, 5)]
+    rows = F.transform(F.arrays_zip(*(x.alias(f"g{k}") for k, x in enumerate(found))), lambda x: F.struct(F.lower(x["g0"]).alias("k"), unescape(F.concat(x["g1"], x["g2"], x["g3"])).alias("v")))
+    names = F.transform(rows, lambda x: x["k"])
+    firsts = F.filter(rows, lambda x, i: F.array_position(names, x["k"]) == i + 1)
+    return F.map_from_entries(firsts)
+
+
+def controls(pages: DataFrame, volatile: str | None = None) -> DataFrame:
+    """(page_id, pos, role, kind, label, toggle, test_id, nth) of buttons, tabs, summaries and other elements with a role.
+
+    Links are those of ``links``.  Disabled and hidden elements, and those without a label, are left
+    out; ``volatile``: pattern of opening tags that aren't actions.
+    """
+    from trailweave.functions import actions
+
+    wanted = r"(?is)<(button|summary)\b[^>]*>.*?</\1\s*>|<input\s[^>]*>|<(div|span|li)\b[^>]*\srole\s*=[^>]*>.*?</\2\s*>"
+    found = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(wanted), F.lit(0))).alias("pos", "element"))
+    found = found.withColumn("tag", F.regexp_extract("element", r"(?s)^(<[^>]*>)", 1)).withColumn("name", F.lower(F.regexp_extract("element", r"^<(\w+)", 1)))
+    rows = found.withColumn("at", attributes(F.col("tag")))
+    type_ = F.lower(F.coalesce(F.col("at")["type"], F.lit("")))
+    shown = F.col("at")["disabled"].isNull() & F.col("at")["hidden"].isNull() & ((F.col("name") != "input") | type_.isin("submit", "button", "image", "reset"))
+    rows = rows.where(shown if volatile is None else shown & ~F.col("tag").rlike(volatile))
+    said = [F.coalesce(F.col("at")[x], F.lit("")) for x in ("aria-label",)] + [plain_text(F.col("element"))] + [F.coalesce(F.col("at")[x], F.lit("")) for x in ("value", "title", "alt")]
+    rows = rows.select(
+        "page_id", F.col("pos").cast("int").alias("pos"), actions.role(F.col("name"), F.coalesce(F.col("at")["role"], F.lit(""))).alias("role"), actions.kind(F.col("name"), type_, F.lit(False)).alias("kind"),
+        accessible_label(*said).alias("label"), actions.is_toggle(F.col("name"), F.col("at")).alias("toggle"), actions.test_id(F.col("at")).alias("test_id"),
+    )
+    same = Window.partitionBy("page_id", "role", "label").orderBy("pos")
+    return rows.where("label <> ''").withColumn("nth", F.row_number().over(same) - 1)
+
+
 def fields(pages: DataFrame) -> DataFrame:
     """(page_id, pos, tag, kind, name) of the form fields that aren't hidden."""
     found = F.regexp_extract_all("html", F.lit(r"(?is)<(?:input|select|textarea)\b[^>]*>"), F.lit(0))
