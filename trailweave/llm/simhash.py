@@ -13,7 +13,7 @@ rows of its anchor finds every link.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +32,8 @@ HOT_ANCHOR = 4096
 _CHUNK = 1 << 15
 #: Rows of one anchor that a task holds at most, besides those at home there.
 _HELD = 1 << 16
+#: Linked nodes that a task knows at once; their classes go out before more are met.
+_KNOWN = 200_000
 
 
 def features(text: bytes, width: int) -> list[bytes]:
@@ -160,21 +162,33 @@ def _replicated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(keys), pa.array(home), *columns], ["anchor", "home", *(f"f{k}" for k in range(len(columns)))])
 
 
-def _forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> list[tuple[int, int]]:
-    """Those of the links (a, b) that join what the links before them have not joined."""
+class Stars:
+    """Classes of linked nodes."""
 
-    def root(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(up, up)
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
         return x
 
-    kept = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        r, s = root(x), root(y)
-        if r != s:
-            parent[r] = s
-            kept.append((x, y))
-    return kept
+    def link(self, a: Iterable[int], b: Iterable[int]) -> list[tuple[int, int]]:
+        """Those of the links (a, b) that join what the links before them have not joined."""
+        kept = []
+        for x, y in zip(a, b):
+            r, s = self.root(x), self.root(y)
+            if r != s:
+                self.up[max(r, s)] = min(r, s)
+                kept.append((x, y))
+        return kept
+
+    def links(self) -> list[tuple[int, int]]:
+        """(node, smallest of its class) of all nodes linked so far, which are forgotten."""
+        found = [(x, r) for x in list(self.up) if (r := self.root(x)) != x]
+        self.up = {}
+        return found
 
 
 @dataclass
@@ -203,20 +217,17 @@ class Cell:
         return cls(keys, batch.column("home").to_numpy(zero_copy_only=False).astype(bool), nodes, prints)
 
 
-def _close_pairs(c: Cell, most: int) -> list[tuple[int, int]]:
-    """A spanning forest, at each anchor, of the pairs of nodes within ``most`` bits of which one is at home there."""
+def _close_pairs(c: Cell, most: int) -> Iterator[tuple[list[int], list[int]]]:
+    """Pairs of nodes within ``most`` bits at an anchor where one of them is at home; of a large anchor's a spanning forest."""
     cuts = np.flatnonzero(np.diff(c.keys)) + 1
     starts, stops = np.r_[0, cuts], np.r_[cuts, len(c)]
-    sizes, kept = stops - starts, []
+    sizes = stops - starts
     small = (sizes > 1) & (sizes <= 64)
     s = c.rows(np.repeat(small, sizes))
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for shift in range(1, int(sizes[small].max(initial=0))):
         near = np.flatnonzero((s.keys[shift:] == s.keys[:-shift]) & (s.home[shift:] | s.home[:-shift]) & (s.nodes[shift:] != s.nodes[:-shift]))
         near = near[np.bitwise_count(s.prints[near] ^ s.prints[near + shift]).sum(axis=1, dtype=np.int64) <= most]
-        a.append(s.nodes[near])
-        b.append(s.nodes[near + shift])
-    kept += _forest(np.concatenate(a), np.concatenate(b), {})
+        yield s.nodes[near].tolist(), s.nodes[near + shift].tolist()
     for low, high in zip(starts[sizes > 64], stops[sizes > 64]):
         g = c.rows(slice(low, high))
         label = np.arange(len(g))
@@ -229,39 +240,48 @@ def _close_pairs(c: Cell, most: int) -> list[tuple[int, int]]:
                 joined = np.zeros(len(label), bool)
                 joined[label[near]] = True
                 label[joined[label]] = label[i]
-                kept += zip(itertools.repeat(int(g.nodes[i])), g.nodes[near].tolist())
-    return kept
+                yield [int(g.nodes[i])] * len(near), g.nodes[near].tolist()
 
 
-def _compared(most: int):
+def _compared(most: int, stars: bool):
     def record(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.record_batch([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: Cell | None = None
+        known = Stars()
+
+        def taken(rows: Cell) -> pa.RecordBatch:
+            kept = [x for a, b in _close_pairs(rows, most) for x in known.link(a, b)]
+            return record([] if stars else kept)
+
         for batch in batches:
             if not len(batch):
                 continue
             now = Cell.of(batch) if rest is None else rest.then(Cell.of(batch))
             # the last anchor of a batch may go on in the next one
             cut = int(np.searchsorted(now.keys, now.keys[-1]))
-            if cut:
-                yield record(_close_pairs(now.rows(slice(0, cut)), most))
+            yield taken(now.rows(slice(0, cut)))
             rest = now.rows(slice(cut, None))
             if len(rest) > _HELD:
                 # all its home rows are here, as they come first; further copies need only these
-                yield record(_close_pairs(rest, most))
+                yield taken(rest)
                 rest = rest.rows(rest.home)
+            if len(known.up) > _KNOWN:
+                found = known.links()
+                yield record(found if stars else [])
         if rest is not None:
-            yield record(_close_pairs(rest, most))
+            yield taken(rest)
+        yield record(known.links() if stars else [])
 
     return run
 
 
-def anchor_pairs(rows: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) of nodes within ``most`` bits, one at home at an anchor where the other is too.
+def anchor_pairs(rows: DataFrame, most: int, stars: bool = False) -> DataFrame:
+    """Of the pairs (a, b) within ``most`` bits of which one is at home at an anchor of the other, a spanning forest.
 
-    Of an anchor's pairs only a spanning forest.  ``rows``: (anchor, home, f0, ... and, if the lanes
+    ``stars``: instead of these pairs, each node with the smallest node of the class that a task's
+    pairs make; so a dense group is few links however many anchors its rows share.  ``rows``: (anchor, home, f0, ... and, if the lanes
     don't name the node, node).  An anchor with many home rows is dealt over several tasks:
     its home rows are copied to each of them and its other rows are split.
     """
@@ -276,15 +296,14 @@ def anchor_pairs(rows: DataFrame, most: int) -> DataFrame:
         to = F.when(F.col("home"), F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).otherwise(F.array(own))
         salted = dealt.withColumn("salt", F.explode(to)).drop("parts")
     placed = salted.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", F.desc("home"))
-    return placed.mapInArrow(_compared(most), "a long, b long")
+    return placed.mapInArrow(_compared(most, stars), "a long, b long")
 
 
 def print_links(prints: DataFrame, most: int = 3) -> DataFrame:
     """Links (a, b) between nodes of the distinct fingerprints ``prints`` (f0, ...).
 
     With n lanes, all pairs within ``most`` bits are connected if ``most`` is 4n - 1 or less;
-    beyond that, those of them that have a half within 1 bit.  An anchor's links are thinned to a
-    spanning forest, so that a dense group adds no more links than it has rows.
+    beyond that, those of them that have a half within 1 bit.
     """
     names = [x for x in prints.columns if x[0] == "f"]
     rows = prints.select(*names).mapInArrow(_replicated, "anchor long, home boolean" + "".join(f", {x} long" for x in names))
