@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from trailweave.session import ensure_checkpoint_dir
+
 _SPACE = re.compile(rb"[ \t-\r]")
 
 
@@ -56,3 +59,10 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def staged(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as a table in the shared folder and read again, and the folder, for whoever drops it."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path

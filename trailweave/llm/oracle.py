@@ -76,4 +76,84 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
-SQL = {"op4_suffix_dedup": REPEATS, "op6_quality_rules": QUALITY, "op7_decontamination": CONTAMINATION, "op9_warc": ARCHIVE}
+FIRST_WINDOWS = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_TOKEN}') AS w FROM documents),
+p AS (SELECT rid, doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) AS k FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+f AS (SELECT rid, i, row(doc_id IS NOT NULL, doc_id, i) AS own, min(row(doc_id IS NOT NULL, doc_id, i)) OVER (PARTITION BY k) AS first FROM p),
+r AS (SELECT DISTINCT rid, unnest(range(i, i + 20)) AS i FROM f WHERE own IS DISTINCT FROM first),
+k AS (SELECT x.rid, string_agg(x.word, ' ' ORDER BY x.i) AS kept, count(*) AS n FROM (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) x ANTI JOIN r ON r.rid = x.rid AND r.i = x.i GROUP BY x.rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)
+"""
+
+
+def _lloyd(k: int, dims: int, rounds: int) -> str:
+    steps = [
+        f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+x AS MATERIALIZED (SELECT rid, unnest(v) AS x, unnest(range(1, {dims} + 1)) AS p FROM v),
+s AS (SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)) NULLS LAST, v) - 1 AS c, v FROM v),
+c0 AS MATERIALIZED (SELECT c, unnest(v) AS x, unnest(range(1, {dims} + 1)) AS p FROM s WHERE c < {k})"""
+    ]
+    for t in range(rounds + 1):
+        pairs = f"SELECT rid, c, CAST(sum((x.x - y.x) * (x.x - y.x)) AS BIGINT) AS d FROM x JOIN c{t} y USING (p) GROUP BY rid, c"
+        steps.append(f"a{t} AS MATERIALIZED (SELECT rid, arg_min(c, (d, c)) AS c, min(d) AS d FROM ({pairs}) GROUP BY rid)")
+        if t < rounds:
+            sums = f"SELECT c, p, sum(x) AS s, count(*) AS n FROM x JOIN a{t} USING (rid) GROUP BY c, p"
+            floor = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+            steps.append(f"c{t + 1} AS MATERIALIZED (SELECT o.c, o.p, CASE WHEN n IS NULL THEN o.x ELSE {floor} END AS x FROM c{t} o LEFT JOIN ({sums}) m ON m.c = o.c AND m.p = o.p)")
+    steps.append(f"h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p)) AS centroid_sha256 FROM c{rounds} GROUP BY c)")
+    return (
+        ",\n".join(steps)
+        + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN v USING (rid) JOIN h USING (c)"""
+    )
+
+
+def _field(value: str) -> str:
+    return f"coalesce(CAST(octet_length(encode(CAST({value} AS VARCHAR))) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _merkle(levels: int, above: int) -> str:
+    """``levels`` over the leaves of a group and ``above`` over the groups: as many as the largest table in use needs, or more."""
+    steps = [
+        f"""WITH bits AS (SELECT range AS b, list_reduce(list_concat([range], list_transform(range(8), lambda z: 0)), lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) AS t FROM range(256)),
+lookup AS MATERIALIZED (SELECT list(t ORDER BY b) AS t FROM bits),
+ids AS (SELECT row_number() OVER () AS rid, * FROM documents),
+crc AS (SELECT rid, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])) AS c FROM ids, lookup),
+d AS (SELECT rid, doc_id, source, {_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("n_chars")} AS head, text, CASE WHEN xor(c, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS cut FROM ids JOIN crc USING (rid)),
+l AS (SELECT rid, doc_id, source, sha256(head || {_field("text")}) AS leaf, sha256(head || {_field("cut")}) AS cut FROM d),
+n0 AS MATERIALIZED (SELECT rid, doc_id, leaf, cut, dense_rank() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h FROM l)"""
+    ]
+
+    def climb(first: str, name: str, n: int) -> None:
+        source = first
+        for k in range(1, n + 1):
+            steps.append(f"{name}{k} AS MATERIALIZED (SELECT g, i // 3 AS i, CASE WHEN max(i) = 0 AND max(m) = 0 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM (SELECT *, max(i) OVER (PARTITION BY g) AS m FROM {source}) GROUP BY g, i // 3)")
+            source = f"{name}{k}"
+
+    climb("n0", "n", levels)
+    steps.append(f"t0 AS MATERIALIZED (SELECT 0 AS g, g AS i, h FROM n{levels})")
+    climb("t0", "t", above)
+    # siblings of each leaf, level by level, and the leaf folded with them
+    steps.append("f0 AS MATERIALIZED (SELECT rid, g, i, cut AS h, '' AS proof FROM n0)")
+
+    def fold(source: str, to: str, nodes: str, key: str) -> None:
+        near = f"SELECT f.rid, string_agg(CASE WHEN n.i < f.i THEN n.h END, '' ORDER BY n.i) AS a, string_agg(CASE WHEN n.i > f.i THEN n.h END, '' ORDER BY n.i) AS b FROM {source} f JOIN {nodes} n ON n.g = f.{key} AND n.i // 3 = f.i // 3 GROUP BY f.rid"
+        alone = f"(SELECT g, max(i) = 0 AS alone FROM {nodes} GROUP BY g)"
+        steps.append(f"{to} AS MATERIALIZED (SELECT f.rid, f.g, f.i // 3 AS i, CASE WHEN alone THEN f.h ELSE sha256(coalesce(a, '') || f.h || coalesce(b, '')) END AS h, proof || coalesce(a, '') || coalesce(b, '') AS proof FROM {source} f JOIN ({near}) USING (rid) JOIN {alone} o ON o.g = f.{key})")
+
+    for k in range(levels):
+        fold(f"f{k}", f"f{k + 1}", f"n{k}", "g")
+    steps.append(f"u0 AS MATERIALIZED (SELECT rid, 0 AS g, g AS i, h, proof FROM f{levels})")
+    for k in range(above):
+        fold(f"u{k}", f"u{k + 1}", f"t{k}", "g")
+    return (
+        ",\n".join(steps)
+        + f"""
+SELECT n0.doc_id, n0.leaf, s.h AS subroot, r.h AS root, sha256(u.proof) AS proof_sha256, u.h AS folded_root, u.h = r.h AS verified
+FROM n0 JOIN u{above} u USING (rid) JOIN n{levels} s ON s.g = n0.g CROSS JOIN t{above} r"""
+    )
+
+
+SQL = {"op4_suffix_dedup": REPEATS, "op6_quality_rules": QUALITY, "op7_decontamination": CONTAMINATION, "op9_warc": ARCHIVE, "op11_substring_dedup": FIRST_WINDOWS, "op12_centroid_clustering": _lloyd(8, 64, 10), "op13_merkle_manifest": _merkle(15, 8)}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.session import table
+from trailweave.session import ensure_checkpoint_dir, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -94,6 +95,27 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailweave.llm.relative_lz import without_repeated_windows
+
+    return without_repeated_windows(table(spark, sf_dir, "documents")).drop("kept", "factors")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailweave.llm.ball_kmeans import clustered
+
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailweave.llm.manifest import audited
+
+    # tampering: the line breaks of about half the texts are taken out
+    cut = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    folder = f"{ensure_checkpoint_dir(spark)}/manifest-{uuid.uuid4().hex}"
+    return audited(table(spark, sf_dir, "documents"), folder, ["doc_id", "source", "lang", "n_chars", "text"], {"text": cut})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -106,6 +128,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_main_text": op8_html_main_text,
         "op9_warc": op9_warc,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
+        "op11_substring_dedup": op11_substring_dedup,
+        "op12_centroid_clustering": op12_centroid_clustering,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
