@@ -162,7 +162,8 @@ def disclosing_terms(texts: DataFrame, base: DataFrame, support: int, remove_bit
     ``support`` of them have it.  Counts are over all documents; copies of a text count as often as
     they occur.  ``head``: what the term is generalised to, null where nothing general enough is.
     """
-    copies = base.select("doc_id", "h").distinct().groupBy("h").agg(F.count("*").alias("copies"))
+    # rows, as in the counts of terms: repeated rows and copies with ids of their own are alike
+    copies = join_checked(texts.select("h"), base.select("h").distinct(), "h", "left_semi", MOST_BROADCAST).groupBy("h").agg(F.count("*").alias("copies"))
     classes = _classes(base, copies, support)
     # words of the texts that have a class, once for each different text
     own = join_checked(texts.select("h", "text"), copies, "h", "inner", MOST_BROADCAST)
