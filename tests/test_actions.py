@@ -98,9 +98,29 @@ def test_runs_round_trip(spark, tmp_path):
     edges = spark.createDataFrame([("r1", 0, "s1", "s2", "link", "B", "/b?key=1", None, False)], "run string, edge_pos int, src string, dst string, role string, label string, href string, error string, inferred boolean")
     meta = spark.createDataFrame([("r1", "s1", "http://x/", None, {"a": "b"}), ("r2", "s1", "http://x/", "error", None)], "run string, root string, base_url string, stop_kind string, config map<string,string>")
     folder = str(tmp_path / "runs")
-    runs.write_runs(runs.run_documents(nodes, edges, meta), folder)
-    found = runs.read_written(spark, folder)
+    made = runs.run_documents(nodes, edges, meta)
+    assert runs.write_runs(made, folder) == ["r1", "r2"]
+    found = runs.read_runs(spark, folder)
     assert {r.run: r.broken for r in found.select("run", "broken").collect()} == {"r1": False, "r2": True}
     own = runs.nodes(found).orderBy("pos").collect()
     assert [(r.id, r.url, list(r.console_errors), list(r.alias_signatures)) for r in own] == [("s1", "http://x/", [], ["old"]), ("s2", "http://x/?token=***&p=1", ["at http://x/?sid=***"], [])]
     assert [(r.src, r.dst, r.href) for r in runs.edges(found).collect()] == [("s1", "s2", "/b?key=***")]
+
+
+def test_runs_are_kept_beside_earlier_ones(spark, tmp_path):
+    folder = str(tmp_path / "runs")
+    node = "pos int, id string, signature string, url string, route string, title string, depth int, text_hash string, console_errors array<string>, failed_requests array<string>, alias_signatures array<string>"
+    edge = "edge_pos int, src string, dst string, role string, label string, href string, error string, inferred boolean"
+
+    def document(run, title, n=1):
+        nodes = spark.createDataFrame([(run, k, f"s{k}", "A", "http://x/", "/", title, 0, None, [], [], []) for k in range(n)], f"run string, {node}")
+        edges = spark.createDataFrame([(run, k, "s0", "s0", "link", "B", "/", None, False) for k in range(n)], f"run string, {edge}")
+        return runs.run_documents(nodes, edges, spark.createDataFrame([(run, "s0", "http://x/", None, {})], "run string, root string, base_url string, stop_kind string, config map<string,string>"), most_edges=3)
+
+    for run, title in [("2024-01-01", "one"), ("2024-01-02", "two"), ("of day 3: 10%/a", "three"), ("2024-01-02", "two again")]:
+        assert runs.write_runs(document(run, title), folder) == [run]
+    found = runs.read_runs(spark, folder)
+    assert {(r.run, r.title) for r in runs.nodes(found).collect()} == {("2024-01-01", "one"), ("2024-01-02", "two again"), ("of day 3: 10%/a", "three")}
+    assert [r.run for r in runs.baseline(found, "2024-01-02", "2024-01-01").collect()] == ["2024-01-01"]
+    with pytest.raises(ValueError, match="4 edges"):
+        document("big", "x", 4)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
+from urllib.parse import unquote, unquote_plus
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +42,13 @@ def read_config(text: str) -> dict:
 def read_runs(spark: SparkSession, runs_dir: str) -> DataFrame:
     """(run, meta, root, nodes, edges, broken) of every ``<run>/graph.json`` below a folder.
 
-    A damaged document is a row with ``broken`` set, so that one doesn't stop the others.
+    ``graph.json`` is a file, or a folder with the file that ``write_runs`` makes.  A damaged document
+    is a row with ``broken`` set, so that one doesn't stop the others.
     """
     raw = spark.read.schema(GRAPH).option("multiLine", True).option("mode", "PERMISSIVE").json(f"{runs_dir}/*/graph.json")
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)/graph\.json$", 1)
-    return raw.withColumn("run", F.url_decode(name)).withColumn("broken", F.col("_corrupt_record").isNotNull() | F.col("nodes").isNull()).drop("_corrupt_record")
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)/graph\.json(?:/[^/]+)?$", 1)
+    name = F.url_decode(name)  # as file names are given
+    return raw.withColumn("run", F.coalesce(F.try_url_decode(name), name)).withColumn("broken", F.col("_corrupt_record").isNotNull() | F.col("nodes").isNull()).drop("_corrupt_record")
 
 
 def complete_enough(stop_kind: Column) -> Column:
@@ -104,17 +108,25 @@ def event_edges(events: DataFrame, start: str | None = None) -> DataFrame:
     )
 
 
-def run_documents(nodes: DataFrame, edges: DataFrame, meta: DataFrame, globs: tuple[str, ...] | None = None) -> DataFrame:
+#: Edges up to which a run is made one document.
+MOST_EDGES = 1_000_000
+
+
+def run_documents(nodes: DataFrame, edges: DataFrame, meta: DataFrame, globs: tuple[str, ...] | None = None, most_edges: int = MOST_EDGES) -> DataFrame:
     """(run, meta, root, nodes, edges): one document of each run, in the schema that ``read_runs`` reads.
 
     ``nodes``: (run, pos, id, signature, url, route, title, depth, text_hash, console_errors,
     failed_requests, alias_signatures); ``edges``: (run, edge_pos, src, dst, role, label, href,
     error, inferred); ``meta``: (run, root, base_url, stop_kind, config: map).  Addresses, and
     addresses in messages, are masked.  A document is a run's screens, which are bounded by its
-    limit of states; a run of any size stays as tables and isn't made a document.
+    limit of states, and its edges; a run of more than ``most_edges`` edges is an error and stays as tables.
     """
     from trailweave.functions.masking import SENSITIVE, mask_url, mask_urls_in_text
 
+    large = edges.groupBy("run").count().where(F.col("count") > most_edges).first()
+    if large is not None:
+        raise ValueError(f"run {large['run']} has {large['count']} edges, over {most_edges}: keep it as tables")
+
     hide = SENSITIVE if globs is None else globs
     said = lambda c: F.transform(c, lambda x: mask_urls_in_text(x, hide))
     n = F.struct(
@@ -133,15 +145,33 @@ def run_documents(nodes: DataFrame, edges: DataFrame, meta: DataFrame, globs: tu
     return meta.join(own, "run", "left").join(led, "run", "left").select("run", about.alias("meta"), "root", "nodes", "edges")
 
 
-def write_runs(documents: DataFrame, runs_dir: str) -> None:
-    """Writes each run's document as JSON below a folder of its own; Spark's commit makes a run whole or absent."""
-    documents.write.mode("overwrite").partitionBy("run").json(runs_dir)
+def write_runs(documents: DataFrame, runs_dir: str) -> list[str]:
+    """Writes each run's document as ``<run>/graph.json`` below ``runs_dir`` and gives the runs written.
 
-
-def read_written(spark: SparkSession, runs_dir: str) -> DataFrame:
-    """What ``write_runs`` wrote, as ``read_runs`` gives it."""
-    raw = spark.read.schema(f"{GRAPH}, run string").option("mode", "PERMISSIVE").json(runs_dir)
-    return raw.withColumn("broken", F.col("_corrupt_record").isNotNull() | F.col("nodes").isNull()).drop("_corrupt_record")
+    All are written by one job to a folder that readers pass over, and then each is renamed to its
+    place: a run is whole or absent.  One of the same name is replaced; all others stay as they are.
+    A run's name is encoded as in an address.
+    """
+    spark = documents.sparkSession
+    new = f"{runs_dir}/_new-{uuid.uuid4().hex}"
+    documents.withColumn("_at", F.url_encode(F.col("run").cast("string"))).repartition("_at").write.partitionBy("_at").json(new)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(runs_dir)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    written = []
+    for part in files.listStatus(jvm.org.apache.hadoop.fs.Path(new)):
+        if part.isDirectory():
+            # the folder's name is escaped once more by the writer
+            name = unquote(part.getPath().getName().removeprefix("_at="))
+            place = jvm.org.apache.hadoop.fs.Path(root, name)
+            files.mkdirs(place)
+            graph = jvm.org.apache.hadoop.fs.Path(place, "graph.json")
+            files.delete(graph, True)
+            if not files.rename(part.getPath(), graph):
+                raise OSError(f"run {name} could not be put in place")
+            written.append(unquote_plus(name))
+    files.delete(jvm.org.apache.hadoop.fs.Path(new), True)
+    return sorted(written)
 
 
 def summary_document(counts: DataFrame, gate: DataFrame, meta: DataFrame) -> DataFrame:
