@@ -15,11 +15,11 @@ there are as many rounds as the longest chain of variants, whatever the number o
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from trailweave.operators.bases import variant_pairs
 from trailweave.operators.compare import LOCAL_RETAIN, VARIANT_RETAIN, is_local_change, widget_patterns
@@ -37,6 +37,21 @@ class Merged:
     full: bool
 
 
+def numbered(rows: DataFrame, order: str, start: int = 1) -> DataFrame:
+    """``rows`` with ``k``: their place in ``order``, from ``start`` on.
+
+    Rows are sorted in ranges; the driver gets one count a range, so no task has all rows.
+    """
+    bits = 33  # of monotonically_increasing_id, for the row in its range
+    placed = checkpoint(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("at", F.monotonically_increasing_id()))
+    span = F.shiftright("at", bits)
+    sizes = sorted((r["span"], r["count"]) for r in placed.groupBy(span.alias("span")).count().collect())
+    before = list(itertools.accumulate((n for _, n in sizes), initial=start))
+    starts = rows.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, before)], "span long, before long")
+    own = placed.withColumn("span", span).join(F.broadcast(starts), "span")
+    return own.withColumn("k", F.col("before") + F.col("at").bitwiseAND((1 << bits) - 1)).drop("span", "before", "at")
+
+
 def settled(firsts: DataFrame, depends: DataFrame, rounds: int = 10_000) -> DataFrame:
     """(signature, pos, base): ``base`` is the earlier first that each joins, null for one that stands for itself.
 
@@ -107,12 +122,10 @@ def merge_outcomes(
     depends = depends.join(stays.select(F.col("signature").alias("variant")), "variant", "left_semi").join(stays.select(F.col("signature").alias("base")), "base", "left_semi")
     found = settled(stays, depends)
     count = screens.count()
-    # a level's new screens are numbered in one order; beyond the limit none is made, so there are few where it is set
     made = found.where("base is null").select("signature", "pos")
     if most_screens is not None:
         made = made.orderBy("pos").limit(max(0, most_screens - count))
-    numbered = made.withColumn("k", F.row_number().over(Window.orderBy("pos")) + count)
-    made = checkpoint(numbered.select("signature", F.format_string("s%03d", "k").alias("screen"), "pos"))
+    made = checkpoint(numbered(made, "pos", count + 1).select("signature", F.format_string("s%03d", "k").alias("screen"), "pos"))
     n, last = made.agg(F.count("*"), F.max("pos")).first()
     full = most_screens is not None and count + n >= most_screens
     ids = made.select(F.col("signature").alias("base"), "screen")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailweave.plans import action_queries, event_queries, page_queries, record_queries
+from trailweave.plans import action_queries, base_queries, event_queries, page_queries, record_queries
 
-_MODULES = (page_queries, event_queries, record_queries, action_queries)
+_MODULES = (page_queries, event_queries, record_queries, action_queries, base_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
