@@ -37,13 +37,13 @@ class Merged:
     full: bool
 
 
-def numbered(rows: DataFrame, order: str, start: int = 1) -> DataFrame:
-    """``rows`` with ``k``: their place in ``order``, from ``start`` on.
+def numbered(rows: DataFrame, order: list[str], start: int = 1) -> DataFrame:
+    """``rows`` with ``k``: their place in the order of columns, from ``start`` on.
 
     Rows are sorted in ranges; the driver gets one count a range, so no task has all rows.
     """
     bits = 33  # of monotonically_increasing_id, for the row in its range
-    placed = checkpoint(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("at", F.monotonically_increasing_id()))
+    placed = checkpoint(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
     span = F.shiftright("at", bits)
     sizes = sorted((r["span"], r["count"]) for r in placed.groupBy(span.alias("span")).count().collect())
     before = list(itertools.accumulate((n for _, n in sizes), initial=start))
@@ -125,7 +125,7 @@ def merge_outcomes(
     made = found.where("base is null").select("signature", "pos")
     if most_screens is not None:
         made = made.orderBy("pos").limit(max(0, most_screens - count))
-    made = checkpoint(numbered(made, "pos", count + 1).select("signature", F.format_string("s%03d", "k").alias("screen"), "pos"))
+    made = checkpoint(numbered(made, ["pos"], count + 1).select("signature", F.format_string("s%03d", "k").alias("screen"), "pos"))
     n, last = made.agg(F.count("*"), F.max("pos")).first()
     full = most_screens is not None and count + n >= most_screens
     ids = made.select(F.col("signature").alias("base"), "screen")
