@@ -233,6 +233,37 @@ def test_runs_are_read_and_broken_ones_skipped(spark, tmp_path):
     assert runs.nodes(found).count() == 3 and runs.edges(found).where("error = 'no'").count() == 3
 
 
+def test_tree_numbers_equal_a_walk(spark):
+    rng = random.Random(5)
+    rows = [(k, f"n{rng.randrange(k // 4 + 1)}", f"n{rng.randrange(60)}", "go", rng.random() < 0.1) for k in range(200)] + [(900, "x", "y", "go", False), (901, "y", "x", "go", False)]
+    below, seen = {}, set()
+    for _, src, dst, _, error in rows:
+        if not error and src != dst and dst not in seen and dst != "n0":
+            seen.add(dst)
+            below.setdefault(src, []).append(dst)
+    expected = {}
+
+    def walk(node, parent, depth, chapter):
+        pre = len(expected)
+        expected[node] = None
+        for child in below.get(node, []):
+            walk(child, node, depth + 1, chapter if depth else child)
+        expected[node] = (parent, depth, chapter, pre, len(expected) - pre)
+
+    walk("n0", None, 0, "n0")
+    found = graph.discovery_numbers(spark.createDataFrame(rows, EDGES), "n0").collect()
+    assert {r.node: (r.parent, r.depth, r.chapter, r.pre, r.size) for r in found} == expected and len(expected) > 10
+    assert [tuple(r) for r in graph.discovery_numbers(spark.createDataFrame([], EDGES), "a").collect()] == [("a", None, 0, "a", 0, 1)]
+
+
+def test_followed_sums_weights_and_leaves_cycles_out(spark):
+    rows = [(k, k - 1) for k in range(1, 70)] + [(100, 101), (101, 102), (102, 100), (103, 102)] + [(k, 69) for k in range(200, 220)]
+    found = {r.node: (r.end, r.total, r.last) for r in graph.followed(spark.createDataFrame(rows, "node int, next int"), F.col("node").cast("long")).collect()}
+    one = {k: (0, k * (k + 1) // 2, 1) for k in range(1, 70)}
+    assert found == one | {k: (0, k + 69 * 70 // 2, 1) for k in range(200, 220)}
+    assert graph.followed(spark.createDataFrame([], "node int, next int")).count() == 0
+
+
 def test_config_comments():
     assert runs.read_config('{"a": "http://x", // c\n "b": [1, 2,], /* d */ "c": ",]",}') == {"a": "http://x", "b": [1, 2], "c": ",]"}
 

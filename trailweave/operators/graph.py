@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,42 +29,78 @@ def discovery_edges(edges: DataFrame, root: Column) -> DataFrame:
     return good.groupBy("dst").agg(F.min_by("src", "edge_pos").alias("src"), F.min("edge_pos").alias("edge_pos"))
 
 
-def _ends(links: DataFrame) -> DataFrame:
-    """(node, end): where following ``links`` (node, next; each node once) ends, by pointer doubling.
+def followed(links: DataFrame, weight: Column | None = None) -> DataFrame:
+    """(node, end, total, last): where following ``links`` (node, next; each node once) ends, by pointer doubling.
 
-    Nodes on a cycle, or that lead into one, have no end and aren't there.  The rounds grow with the
-    logarithm of the longest chain: in each, all nodes at twice the distance before are done, so a
-    round without a newly done node leaves only those of cycles.
+    ``total``: sum of ``weight`` (1 if not given) over the links on the way; ``last``: the node whose link
+    leads to the end.  Nodes on a cycle, or that lead into one, have no end and aren't there.  Only nodes
+    without an end take part in a round, with what their pointer leads to: those that are done are
+    written once, so that the many nodes of one end meet nowhere.  The rounds grow with the logarithm
+    of the longest chain; all nodes at twice the distance before are done in each, so a round
+    without a newly done node leaves only those of cycles.
+    """
+    rows = links.select("node", F.col("next").alias("at"), (F.lit(1) if weight is None else weight).cast("long").alias("total"))
+    inner = rows.select(F.col("node").alias("at"), F.lit(True).alias("inner"))
+    known = checkpoint(rows.join(inner, "at", "left").select("node", "at", "total", F.col("node").alias("last"), F.col("inner").isNull().alias("done")))
+    ended, pending = [known.where("done")], known.where("not done")
+    left, before = pending.count(), -1
+    while left and left != before:
+        before = left
+        # a pointer leads to a node that is done, or to one that points on
+        place = reduce(DataFrame.unionByName, [pending, *ended]).select(F.col("node").alias("at"), F.col("at").alias("on"), F.col("total").alias("more"), F.col("last").alias("on_last"), F.col("done").alias("on_done"))
+        known = checkpoint(pending.join(place, "at").select("node", F.col("on").alias("at"), (F.col("total") + F.col("more")).alias("total"), F.col("on_last").alias("last"), F.col("on_done").alias("done")))
+        ended.append(known.where("done"))
+        pending = known.where("not done")
+        left = pending.count()
+    return reduce(DataFrame.unionByName, ended).select("node", F.col("at").alias("end"), "total", "last")
+
+
+def discovery_numbers(edges: DataFrame, root: str) -> DataFrame:
+    """(node, parent, depth, chapter, pre, size): the discovery tree in numbers, of bounded width for any depth.
+
+    ``pre``: place in preorder, children by the edges that found them; ``size``: nodes of the subtree, so
+    the nodes below one are those with ``pre`` in [pre, pre + size).  The tour that enters and leaves each
+    node is a chain of arcs, two a node; how many entries lie ahead of each arc comes by doubling.
     """
-    known = checkpoint(links.select("node", F.col("next").alias("end"), F.lit(False).alias("done")))
-    before = -1
-    while (pending := known.where("not done").count()) and pending != before:
-        before = pending
-        step = known.select(F.col("node").alias("end"), F.col("end").alias("on"), F.col("done").alias("last"))
-        joined = known.join(step, "end", "left")
-        # nothing follows the end: it is one; what follows may have reached its own end already
-        known = checkpoint(joined.select("node", F.coalesce("on", "end").alias("end"), (F.col("done") | F.col("on").isNull() | F.col("last")).alias("done")))
-    return known.where("done").select("node", "end")
+    steps = checkpoint(discovery_edges(edges, F.lit(root)))
+    ends = checkpoint(followed(steps.select(F.col("dst").alias("node"), F.col("src").alias("next"))).where(F.col("end") == root))
+    tree = checkpoint(steps.join(ends.select(F.col("node").alias("dst"), F.col("total").alias("depth"), F.col("last").alias("chapter")), "dst"))
+    # the chain of siblings by first found; edge positions differ, as one edge leads to one node
+    sibling = tree.select(F.col("dst").alias("node"), "src", F.lead("dst").over(Window.partitionBy("src").orderBy("edge_pos")).alias("beside"))
+    first = tree.groupBy(F.col("src").alias("node")).agg(F.min_by("dst", "edge_pos").alias("child"))
+    arc = lambda name, leaves: F.struct(F.col(name).alias("node"), F.lit(leaves).alias("leaves"))
+    enters = tree.select(F.col("dst").alias("node")).join(first, "node", "left").select(arc("node", False).alias("node"), F.when(F.col("child").isNotNull(), arc("child", False)).otherwise(arc("node", True)).alias("next"))
+    leaves = sibling.select(arc("node", True).alias("node"), F.when(F.col("beside").isNotNull(), arc("beside", False)).otherwise(arc("src", True)).alias("next"))
+    tour = followed(enters.unionByName(leaves), (~F.col("node.leaves")).cast("long")).select("node.node", "node.leaves", "total")
+    ahead = tour.groupBy("node").agg(F.max(F.when(~F.col("leaves"), F.col("total"))).alias("entered"), F.max(F.when(F.col("leaves"), F.col("total"))).alias("left"))
+    n = tree.agg(F.count("*").alias("n"))
+    found = tree.select(F.col("dst").alias("node"), F.col("src").alias("parent"), "depth", "chapter").join(ahead, "node").join(F.broadcast(n))  # one row
+    found = found.select("node", "parent", "depth", "chapter", (F.col("n") - F.col("entered") + 1).alias("pre"), (F.col("entered") - F.col("left")).alias("size"))
+    top = n.select(F.lit(root).alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("depth"), F.lit(root).alias("chapter"), F.lit(0).cast("long").alias("pre"), (F.col("n") + 1).alias("size"))
+    return top.unionByName(found)
 
 
 def discovery_tree(edges: DataFrame, root: str) -> DataFrame:
     """(node, parent, depth, path, chapter, order): nodes that the root reaches over discovery edges.
 
     ``path``: nodes from the root; ``chapter``: the root's child above the node; ``order``: edge
-    positions from the root, which sorts nodes in preorder.  Any depth: first the nodes are found
-    whose chain of parents ends at the root, then the chains double in length, round by round.
+    positions from the root, which sorts nodes in preorder.  Paths are as wide as nodes are deep: where none is
+    asked for, ``discovery_numbers`` has the same tree.  First the nodes are found whose chain of
+    parents ends at the root, then the chains of those that aren't whole double in length, round by round.
     """
     steps = checkpoint(discovery_edges(edges, F.lit(root)))
-    reached = _ends(steps.select(F.col("dst").alias("node"), F.col("src").alias("next"))).where(F.col("end") == root)
+    reached = followed(steps.select(F.col("dst").alias("node"), F.col("src").alias("next"))).where(F.col("end") == root)
     steps = steps.join(reached.select(F.col("node").alias("dst")), "dst")
     own = F.array(F.struct(F.col("dst").alias("node"), F.col("edge_pos").cast("long").alias("edge_pos")))
     # top: the node above the chain's first one
     known = checkpoint(steps.select(F.col("dst").alias("node"), F.col("src").alias("parent"), F.col("src").alias("top"), own.alias("chain")))
-    while not known.where(F.col("top") != root).isEmpty():
-        above = known.select(F.col("node").alias("top"), F.col("top").alias("above"), F.col("chain").alias("up"))
-        joined = known.join(above, "top", "left")
-        longer = F.when(F.col("up").isNull(), F.col("chain")).otherwise(F.concat("up", "chain"))
-        known = checkpoint(joined.select("node", "parent", F.coalesce("above", "top").alias("top"), longer.alias("chain")))
+    whole, part = [known.where(F.col("top") == root)], known.where(F.col("top") != root)
+    while not part.isEmpty():
+        above = reduce(DataFrame.unionByName, [part, *whole]).select(F.col("node").alias("top"), F.col("top").alias("above"), F.col("chain").alias("up"))
+        known = checkpoint(part.join(above, "top").select("node", "parent", F.col("above").alias("top"), F.concat("up", "chain").alias("chain")))
+        whole.append(known.where(F.col("top") == root))
+        part = known.where(F.col("top") != root)
+    known = reduce(DataFrame.unionByName, whole)
     names = F.transform("chain", lambda x: x["node"])
     found = known.select(
         "node", "parent", F.size("chain").alias("depth"), F.concat(F.array(F.lit(root)), names).alias("path"), names[0].alias("chapter"), F.transform("chain", lambda x: x["edge_pos"]).alias("order")
@@ -156,7 +194,7 @@ def resolve_redirects(redirects: DataFrame) -> DataFrame:
     A cycle has no end, so one is an error.
     """
     links = checkpoint(redirects.select("node", F.col("into").alias("next")))
-    found = checkpoint(_ends(links))
+    found = checkpoint(followed(links).select("node", "end"))
     lost = links.join(found, "node", "left_anti").limit(3).collect()
     if lost:
         raise ValueError(f"redirects that never end: {', '.join(str(r.node) for r in lost)} and others on their way")

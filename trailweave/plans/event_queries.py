@@ -42,6 +42,10 @@ def event_discovery_tree(spark: SparkSession, d: str) -> DataFrame:
     return _tree(spark, d).select("node", "parent", "chapter")
 
 
+def event_tree_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return graph.discovery_numbers(_edges(spark, d), ROOT)
+
+
 def event_path_to(spark: SparkSession, d: str) -> DataFrame:
     return _tree(spark, d).select("node", "depth", F.array_join("path", " > ").alias("path"))
 
@@ -181,7 +185,7 @@ def event_adjacent_runs(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        event_transitions, event_discovery_tree, event_path_to, event_chapters, event_chapter_links, top_label_per_link, event_scenarios, event_run_diff_added, event_run_diff_changed,
+        event_transitions, event_discovery_tree, event_tree_numbers, event_path_to, event_chapters, event_chapter_links, top_label_per_link, event_scenarios, event_run_diff_added, event_run_diff_changed,
         event_run_diff_removed, event_new_errors, event_summary, event_gate, event_issues, event_round_robin_plan, event_budgeted_plan, event_first_r_sources, event_first_of_family,
         event_consecutive_errors, event_quiet_sessions, event_first_errors, event_consistency_inference, event_deferred_decisions, event_adjacent_runs,
     )
@@ -230,6 +234,10 @@ _said = lambda name, column: f"CASE WHEN {column} > 0 THEN '{name}: ' || {column
 SQL = {
     "event_transitions": f"WITH {_EDGES} SELECT src, dst, label, n, first_pos FROM m",
     "event_discovery_tree": f"WITH RECURSIVE {_TREE} SELECT node, parent, chapter FROM t",
+    "event_tree_numbers": f"""WITH RECURSIVE {_TREE}, o AS (SELECT node, parent, depth, chapter, edge_pos FROM t LEFT JOIN st ON st.dst = t.node),
+        w AS (SELECT node, node AS above, parent AS nxt, [edge_pos] AS ord FROM o UNION ALL SELECT w.node, o.node, o.parent, [o.edge_pos] || w.ord FROM w JOIN o ON o.node = w.nxt),
+        z AS (SELECT above AS node, count(*) AS size FROM w GROUP BY above), f AS (SELECT node, ord FROM w WHERE nxt IS NULL)
+        SELECT o.node, o.parent, CAST(o.depth AS BIGINT) AS depth, o.chapter, row_number() OVER (ORDER BY f.ord NULLS FIRST) - 1 AS pre, z.size FROM o JOIN f ON f.node = o.node JOIN z ON z.node = o.node""",
     "event_path_to": f"WITH RECURSIVE {_TREE} SELECT node, depth, path FROM t",
     "event_chapters": f"WITH RECURSIVE {_CHAPTERS} SELECT node, chapter FROM ch",
     "event_chapter_links": f"WITH RECURSIVE {_CHAPTERS} SELECT chapter_from, chapter_to, CAST(sum(n) AS BIGINT) AS n, CAST(count(*) AS INT) AS n_labels FROM cl GROUP BY ALL",
