@@ -10,6 +10,7 @@ from trailweave.functions import masking, text, urls
 from trailweave.operators import compare, graph, learning, naming, skeleton
 from trailweave.session import checkpoint, table
 from trailweave.sources import pages as captured
+from trailweave.sources import tree
 
 NAMES, VALUES = urls.RouteOptions(query="names"), urls.RouteOptions(query="values", structural=("page",))
 
@@ -55,6 +56,26 @@ def page_headings(spark: SparkSession, d: str) -> DataFrame:
     return captured.headings(_pages(spark, d)).select("page_id", "pos", "tag", "text")
 
 
+def page_tree_actions(spark: SparkSession, d: str) -> DataFrame:
+    """What can be acted on, by the element tree: its place among the page's regions is exact."""
+    found = tree.tree_actions(_pages(spark, d), deny="form.danger", volatile="div.ad")
+    return found.select("page_id", "pos", "role", "kind", "label", "href", "target", "toggle", "in_nav", "volatile", "nth")
+
+
+def page_tree_headings(spark: SparkSession, d: str) -> DataFrame:
+    return tree.tree_headings(_pages(spark, d), volatile="div.ad")
+
+
+def page_regions(spark: SparkSession, d: str) -> DataFrame:
+    """How many elements each page has, and how many of them lie in its regions."""
+    rows = tree.closest(tree.elements(_pages(spark, d)), in_nav="nav, [role=navigation]", in_article="article", in_ad="div.ad")
+    inside = lambda name, tag: F.count_if(F.col(name) & (F.col("tag") == tag))
+    return rows.groupBy("page_id").agg(
+        F.count("*").alias("n_elements"), inside("in_nav", "li").alias("nav_items"), inside("in_article", "p").alias("paragraphs"), inside("in_article", "a").alias("article_links"),
+        inside("in_ad", "p").alias("ad_paragraphs"), F.count_if(F.col("in_ad")).alias("ad_elements"),
+    )
+
+
 def _skeletons(spark: SparkSession, d: str) -> DataFrame:
     p = _pages(spark, d)
     return skeleton.skeletons(p, captured.headings(p), captured.links(p))
@@ -156,7 +177,7 @@ def page_candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        page_routes, page_external_routes, page_route_counts, page_query_params_normalized, page_query_variant_routes, page_segment_proposals, page_links, page_headings,
+        page_routes, page_external_routes, page_route_counts, page_query_params_normalized, page_query_variant_routes, page_segment_proposals, page_links, page_headings, page_tree_actions, page_tree_headings, page_regions,
         page_skeleton, page_same_structure_groups, page_structure_diff, page_local_change_pairs, page_masked_urls, page_display_paths, page_common_nav, page_text_hash,
         site_suffix, page_subtitles, page_rekey_merge, page_redirects, template_names, page_candidate_pairs,
     )
@@ -239,6 +260,12 @@ SQL = {
         g AS (SELECT origin, prefix, i, shape, count(*) AS n FROM v GROUP BY ALL HAVING count(*) >= 2)
         SELECT origin, prefix, CAST(sum(n) AS BIGINT) AS n_values FROM g GROUP BY ALL""",
     "page_links": f"WITH {_URLS}, {_LINKS} SELECT page_id, pos, href, target, label, in_nav, nth FROM links",
+    "page_tree_actions": f"""WITH {_URLS}, {_LINKS} SELECT page_id, pos, 'link' AS role, 'click' AS kind, label, href, target, false AS toggle, in_nav, false AS volatile, nth FROM links""",
+    "page_tree_headings": f"""WITH {_HEADS} SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INT) AS pos, tag, text FROM heads WHERE tag <> 'title'""",
+    "page_regions": """WITH b AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|(<(script|style|title)\\b[^>]*>).*?</(script|style|title)\\s*>', '\\1', 'g') AS h FROM pages),
+        x AS (SELECT *, regexp_extract(h, '(?is)<nav\\b.*?</nav>') AS nav, regexp_extract(h, '(?is)<article\\b.*?</article>') AS art, regexp_extract(h, '(?is)<div class="ad">.*?</div>') AS ad FROM b)
+        SELECT page_id, len(regexp_extract_all(h, '<[a-zA-Z]')) AS n_elements, len(regexp_extract_all(nav, '(?i)<li\\b')) AS nav_items, len(regexp_extract_all(art, '(?i)<p\\b')) AS paragraphs,
+        len(regexp_extract_all(art, '(?i)<a\\b')) AS article_links, len(regexp_extract_all(ad, '(?i)<p\\b')) AS ad_paragraphs, len(regexp_extract_all(ad, '<[a-zA-Z]')) AS ad_elements FROM x""",
     "page_headings": f"WITH {_HEADS} SELECT page_id, pos, tag, text FROM heads",
     "page_skeleton": f"WITH {_URLS}, {_HEADS}, {_LINKS}, {_SKELETONS} SELECT page_id, route, CAST(len(lines) AS INT) AS n_lines, structure, signature FROM sg",
     "page_same_structure_groups": f"WITH {_URLS}, {_HEADS}, {_LINKS}, {_SKELETONS} SELECT signature, count(*) AS n_pages, min(page_id) AS first_page FROM sg GROUP BY ALL",
