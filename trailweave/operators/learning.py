@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trailweave.functions.text import fold_digits, is_data_text, scrub, squeeze
 from trailweave.functions.urls import RouteOptions, normalized, origin, query_pairs, route, ruled_segments, search, segments
+from trailweave.session import checkpoint, join_checked
 
 #: Smallest family, shortest common affix, shortest varying part, share of the largest family (fixed values).
 MIN_FAMILY, MIN_AFFIX, MIN_VARYING, NEAR_LARGEST = 4, 3, 2, 0.8
 NAV_WORDS, EXAMPLES = 12, 8
+#: Origins whose prefixes are sent to all executors.
+MOST_ORIGINS = 20_000
 
 
 def segment_proposals(links: DataFrame, least: int = 3, options: RouteOptions = RouteOptions()) -> DataFrame:
@@ -22,15 +28,23 @@ def segment_proposals(links: DataFrame, least: int = 3, options: RouteOptions =
     navigation, are separate pages.  Partial counts are combined before each shuffle.
     """
     learned = F.array(*map(F.lit, options.learned)) if options.learned else None
+    return _proposed(_segmented(links, options), learned, least)
+
+
+def _segmented(links: DataFrame, options: RouteOptions) -> DataFrame:
+    """(target, in_nav, origin, segs, ruled) of the distinct links whose rules keep the number of segments."""
     rows = links.select("target", "in_nav", origin(F.col("target")).alias("origin"), segments(F.col("target")).alias("segs")).where("origin is not null")
-    rows = rows.withColumn("ruled", ruled_segments(F.col("segs"), options.path_rules)).where("size(ruled) = size(segs)").distinct()
+    return rows.withColumn("ruled", ruled_segments(F.col("segs"), options.path_rules)).where("size(ruled) = size(segs)").distinct()
+
+
+def _proposed(rows: DataFrame, learned: Column | None, least: int) -> DataFrame:
     rows = rows.withColumn("norm", normalized(F.col("ruled"), learned)["norm"])
-    at = rows.select("origin", "target", "in_nav", "segs", "norm", F.explode(F.when(F.size("segs") > 1, F.sequence(F.lit(1), F.size("segs") - 1))).alias("i"))
+    at = rows.select("origin", "target", "in_nav", "segs", "norm", *([learned.alias("learned")] if learned is not None else []), F.explode(F.when(F.size("segs") > 1, F.sequence(F.lit(1), F.size("segs") - 1))).alias("i"))
     at = at.withColumn("here", F.get("norm", F.col("i"))).withColumn("before", F.get("norm", F.col("i") - 1))
     at = at.where(~F.col("here").isin("*", "#") & (F.col("before") != "#"))
     at = at.withColumn("prefix", F.concat(F.lit("/"), F.array_join(F.slice("norm", 1, F.col("i")), "/")))
     if learned is not None:
-        at = at.where(~F.array_contains(learned, F.col("prefix")))
+        at = at.where(~F.array_contains("learned", F.col("prefix")))
     shape = F.array_join(F.transform("norm", lambda s, j: F.when(j == F.col("i"), "*").otherwise(s)), "/")
     values = at.select("origin", "prefix", "i", shape.alias("shape"), F.get("segs", F.col("i")).alias("value"), "in_nav", "target")
     values = values.groupBy("origin", "prefix", "i", "shape", "value").agg(F.bool_and("in_nav").alias("in_nav"), F.min("target").alias("target"))
@@ -44,6 +58,47 @@ def segment_proposals(links: DataFrame, least: int = 3, options: RouteOptions =
     return merged.withColumn("examples", F.slice("examples", 1, EXAMPLES))
 
 
+def learned_to_fixpoint(links: DataFrame, least: int = 3, options: RouteOptions = RouteOptions(), accepted: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(origin, prefix, round, n_values, examples): what is learned until nothing more is, as each prefix can uncover further ones.
+
+    ``links``: (target, in_nav).  All proposals of a round are taken together, so the order of pages doesn't
+    matter; the next round looks only at origins that learned something.  ``accepted``: those of
+    the proposals (origin, prefix, n_values, examples) that a judge accepts; each is judged once.  A round takes
+    at least one prefix, and in general there are as many rounds as a path has data segments.
+    """
+    rows = checkpoint(_segmented(links, options))
+    given = F.array(*map(F.lit, options.learned)).cast("array<string>")
+    pending, learned, judged, found = rows.withColumn("learned", given), None, None, []
+    while True:
+        proposed = _proposed(pending, F.col("learned"), least)
+        if judged is not None:
+            proposed = proposed.join(judged, ["origin", "prefix"], "left_anti")
+        proposed = checkpoint(proposed)
+        new = proposed if accepted is None else checkpoint(accepted(proposed))
+        found.append(new.select("origin", "prefix", F.lit(len(found) + 1).alias("round"), "n_values", "examples"))
+        if new.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        keys = proposed.select("origin", "prefix")
+        judged = keys if judged is None else judged.unionByName(keys)
+        own = new.groupBy("origin").agg(F.collect_set("prefix").alias("more"))
+        if learned is None:
+            learned = own.select("origin", F.array_union(given, F.col("more")).alias("learned"))
+        else:
+            before = learned.join(own, "origin", "full")
+            learned = before.select("origin", F.array_union(F.coalesce("learned", given), F.coalesce("more", F.array().cast("array<string>"))).alias("learned"))
+        learned = checkpoint(learned)
+        pending = join_checked(rows, learned.join(own.select("origin"), "origin", "left_semi"), "origin", "inner", MOST_ORIGINS)
+
+
+def learned_routes(urls: DataFrame, prefixes: DataFrame, options: RouteOptions = RouteOptions()) -> DataFrame:
+    """``urls`` (url, ...) with ``route``, ``data_values`` and ``data_driven`` by what its origin learned (origin, prefix)."""
+    own = prefixes.groupBy("origin").agg(F.collect_set("prefix").alias("_learned"))
+    rows = join_checked(urls.withColumn("_origin", origin(F.col("url"))), own.withColumnRenamed("origin", "_origin"), "_origin", "left", MOST_ORIGINS)
+    given = F.array(*map(F.lit, options.learned)).cast("array<string>")
+    rows = rows.withColumn("_route", route(F.col("url"), None, options, F.array_union(given, F.coalesce("_learned", F.array().cast("array<string>")))))
+    return rows.select(*urls.columns, "_route.route", "_route.data_values", "_route.data_driven")
+
+
 def learned_prefixes(links: DataFrame, least: int = 3) -> DataFrame:
     """(origin, learned): all proposals of an origin, as an array to join to its pages."""
     return segment_proposals(links, least).groupBy("origin").agg(F.array_sort(F.collect_set("prefix")).alias("learned"))

@@ -185,6 +185,22 @@ def event_without_late(spark: SparkSession, d: str) -> DataFrame:
     return live.without_late(e, "60 seconds").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+def _learned(spark: SparkSession, d: str) -> DataFrame:
+    """What the sites' own addresses and their pages' links teach, until nothing more is learned."""
+    p = table(spark, d, "pages")
+    own = p.select(F.col("url").alias("target"), F.lit(False).alias("in_nav"))
+    return learning.learned_to_fixpoint(own.unionByName(captured.links(p).select("target", "in_nav")), 2)
+
+
+def page_learned_to_fixpoint(spark: SparkSession, d: str) -> DataFrame:
+    return _learned(spark, d).select("origin", "prefix", "round", "n_values")
+
+
+def page_learned_routes(spark: SparkSession, d: str) -> DataFrame:
+    found = learning.learned_routes(table(spark, d, "pages").select("page_id", "url"), _learned(spark, d))
+    return found.select("page_id", "route", F.array_join("data_values", "|").alias("data_values"), "data_driven")
+
+
 def page_learned_prefixes(spark: SparkSession, d: str) -> DataFrame:
     links = table(spark, d, "pages").select(F.col("url").alias("target"), F.lit(False).alias("in_nav"))
     return learning.learned_prefixes(links, 2).select("origin", F.array_join("learned", " ").alias("learned"))
@@ -321,7 +337,7 @@ QUERIES = {
     for f in (
         page_link_keys, event_action_keys, event_key_repeats, event_outcomes, event_counters, event_collected, event_failures, event_dirty_screens, event_compound_plan, event_chapter_stats,
         event_issue_places, event_screen_summary, event_pair_keys, event_revealed, event_new_instances, event_relocated, event_truncation, event_local_actions, event_rewired, event_stabilized,
-        event_without_late, page_learned_prefixes, page_link_names, page_ruled_routes, page_address_facts, page_allowed_links, page_titles_scrubbed, page_title_parts, page_known_widgets,
+        event_without_late, page_learned_prefixes, page_learned_to_fixpoint, page_learned_routes, page_link_names, page_ruled_routes, page_address_facts, page_allowed_links, page_titles_scrubbed, page_title_parts, page_known_widgets,
         doc_run_texts, label_merge_scores, doc_cached_answers, event_runs_written, event_run_summary,
     )
 }
