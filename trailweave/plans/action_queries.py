@@ -185,6 +185,18 @@ def event_without_late(spark: SparkSession, d: str) -> DataFrame:
     return live.without_late(e, "60 seconds").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+def event_settled(spark: SparkSession, d: str) -> DataFrame:
+    """Where each user's events first repeat, or fail twice in a row."""
+    rows = ev._screens(spark, d).select(F.col("user_id").alias("page"), F.col("event_id").alias("seq"), F.col("screen").alias("fp"), (F.col("kind") == "error").alias("failed"))
+    return live.settled(rows, 2)
+
+
+def event_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    """The first event at which each user meets a kind or a screen."""
+    rows = ev._screens(spark, d).select(F.col("user_id").alias("page"), F.col("event_id").alias("seq"), F.array("kind", "screen").alias("items"))
+    return live.first_seen(rows)
+
+
 def _learned(spark: SparkSession, d: str) -> DataFrame:
     """What the sites' own addresses and their pages' links teach, until nothing more is learned."""
     p = table(spark, d, "pages")
@@ -337,7 +349,7 @@ QUERIES = {
     for f in (
         page_link_keys, event_action_keys, event_key_repeats, event_outcomes, event_counters, event_collected, event_failures, event_dirty_screens, event_compound_plan, event_chapter_stats,
         event_issue_places, event_screen_summary, event_pair_keys, event_revealed, event_new_instances, event_relocated, event_truncation, event_local_actions, event_rewired, event_stabilized,
-        event_without_late, page_learned_prefixes, page_learned_to_fixpoint, page_learned_routes, page_link_names, page_ruled_routes, page_address_facts, page_allowed_links, page_titles_scrubbed, page_title_parts, page_known_widgets,
+        event_without_late, event_settled, event_first_seen, page_learned_prefixes, page_learned_to_fixpoint, page_learned_routes, page_link_names, page_ruled_routes, page_address_facts, page_allowed_links, page_titles_scrubbed, page_title_parts, page_known_widgets,
         doc_run_texts, label_merge_scores, doc_cached_answers, event_runs_written, event_run_summary,
     )
 }
@@ -401,6 +413,10 @@ SQL = {
     "event_stabilized": f"""WITH {_S}, x AS (SELECT user_id AS page, event_id AS seq, kind AS fp, kind = lag(kind) OVER (PARTITION BY user_id ORDER BY event_id) AS same FROM s)
         SELECT page, min(seq) AS seq, arg_min(fp, seq) AS fp FROM x WHERE same GROUP BY page""",
     "event_without_late": "SELECT event_type, count(*) AS n FROM events WHERE round(value) <= 60 GROUP BY event_type",
+    "event_settled": f"""WITH {ev._SCREENS}, a AS (SELECT user_id AS page, event_id AS seq, kind = 'error' AS bad, lag(kind = 'error') OVER w AS bad_before, screen, lag(screen) OVER w AS before FROM s WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+        b AS (SELECT page, seq, CASE WHEN NOT bad AND NOT bad_before AND screen = before THEN 'stable' WHEN bad AND bad_before THEN 'stopped' END AS state FROM a)
+        SELECT page, min(seq) AS seq, arg_min(state, seq) AS state FROM b WHERE state IS NOT NULL GROUP BY page""",
+    "event_first_seen": f"WITH {ev._SCREENS}, u AS (SELECT user_id AS page, event_id AS seq, unnest([kind, screen]) AS item FROM s) SELECT page, item, min(seq) AS seq FROM u GROUP BY ALL",
     "page_learned_prefixes": f"WITH p AS ({pg.SQL['page_segment_proposals']}) SELECT origin, string_agg(prefix, ' ' ORDER BY prefix) AS learned FROM p GROUP BY origin",
     "page_link_names": f"""{_PAGES}, {_TITLES}, x AS (SELECT DISTINCT r.route, trim(ti.title) AS label, r.url AS target FROM r JOIN ti USING (page_id) WHERE r.data_driven AND length(regexp_replace(ti.title, '[#0-9\\p{{Z}}\\p{{P}}\\p{{S}}]', '', 'g')) >= 2),
         l AS (SELECT route, label, count(*) AS n FROM x GROUP BY ALL), t AS (SELECT route, count(DISTINCT target) AS targets FROM x GROUP BY ALL), nm AS (SELECT l.route, l.label FROM l JOIN t USING (route) WHERE n = 1 OR 2 * n < targets),

@@ -1,11 +1,14 @@
-"""Live logs with Structured Streaming: quiet gaps, late events, repeated errors, ordered commits."""
+"""Live logs with Structured Streaming: quiet gaps, late events, repeated errors, pages that settle, items seen first, ordered commits."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 
 def read_events(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet", files_per_trigger: int = 16) -> DataFrame:
@@ -38,13 +41,81 @@ def first_errors(events: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 def stabilized(observations: DataFrame, by: str = "page", order: str = "seq", fingerprint: str = "fp") -> DataFrame:
     """The first observation of each page that equals the one before it."""
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy(by).orderBy(order)
     same = observations.withColumn("_same", F.col(fingerprint) == F.lag(fingerprint).over(w)).where("_same")
     return same.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_same", "_k")
 
 
+def first_seen(observations: DataFrame, by: str = "page", order: str = "seq", items: str = "items", late: str | None = None) -> DataFrame:
+    """(by, item, order): each item of a page's observations where it is seen first, over all levels.
+
+    On a stream the state is one entry for each page and item, so no page's set is a row; with ``late``
+    the column ``ts`` is the watermark's and an item is forgotten that long after it was seen.  A stream takes an item as it
+    arrives, so observations come in order; of the items of one micro-batch any of several equal ones may count.
+    """
+    if not observations.isStreaming:
+        rows = observations.select(by, order, F.explode(F.array_distinct(items)).alias("item")).where("item is not null")
+        return rows.groupBy(by, "item").agg(F.min(order).alias(order))
+    if late:
+        rows = observations.withWatermark("ts", late).select("ts", by, order, F.explode(F.array_distinct(items)).alias("item")).where("item is not null")
+        return rows.dropDuplicatesWithinWatermark([by, "item"]).select(by, "item", order)
+    rows = observations.select(by, order, F.explode(F.array_distinct(items)).alias("item")).where("item is not null")
+    return rows.dropDuplicates([by, "item"]).select(by, "item", order)
+
+
+def settled(observations: DataFrame, failures: int = 3, forget_ms: int | None = None) -> DataFrame:
+    """(page, seq, state) of each page once: ``stable`` where two observations in a row have one fingerprint, ``stopped`` at ``failures`` failed ones in a row.
+
+    ``observations``: (page, seq, fp, failed).  What comes first settles the page; later ones are ignored.
+    A failed observation, or one without a fingerprint, equals none.  A number that a page repeats counts once, with
+    its least fingerprint.  On a stream a page has one small state (last number, fingerprint, failures in a row,
+    whether it is settled), kept over restarts; observations of a page come in order over micro-batches, and
+    earlier numbers than the last one are ignored.  ``forget_ms``: a page without news for so long starts anew.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in observations.schema}
+    rows = observations.select("page", "seq", "fp", F.coalesce("failed", F.lit(False)).alias("failed")).where("seq is not null")
+    if observations.isStreaming:
+        timeout = GroupStateTimeout.NoTimeout if forget_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+        return rows.groupBy("page").applyInPandasWithState(
+            _settling(failures, forget_ms), f"page {kind['page']}, seq long, state string", "seq long, fp string, failures int, settled boolean", "append", timeout
+        )
+    once = rows.groupBy("page", "seq").agg(F.min(F.struct("failed", "fp")).alias("x")).select("page", "seq", "x.fp", "x.failed")
+    w = Window.partitionBy("page").orderBy("seq")
+    stable = ~F.col("failed") & ~F.lag("failed").over(w) & (F.col("fp") == F.lag("fp").over(w))
+    # failed ones in a row: those since the last one that did not fail
+    good = F.count_if(~F.col("failed")).over(w)
+    marked = once.select("page", "seq", "failed", F.coalesce(stable, F.lit(False)).alias("stable"), good.alias("run"))
+    row = F.count_if("failed").over(Window.partitionBy("page", "run").orderBy("seq"))
+    states = marked.withColumn("state", F.when(F.col("stable"), "stable").when(F.col("failed") & (row == failures), "stopped")).where("state is not null")
+    return states.groupBy("page").agg(F.min(F.struct("seq", "state")).alias("x")).select("page", F.col("x.seq").cast("long").alias("seq"), "x.state")
+
+
+def _settling(failures: int, forget_ms: int | None) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, fp, failed, done = state.get if state.exists else (None, None, 0, False)
+        found = []
+        # a settled page needs none of its rows; else they are those of one micro-batch
+        news = pd.concat([x[["seq", "fp", "failed"]] for x in parts if not done] or [pd.DataFrame({"seq": [], "fp": [], "failed": []})])
+        for seq, own, bad in news.sort_values(["seq", "failed", "fp"]).itertuples(index=False):
+            if done or last is not None and seq <= last:
+                continue
+            own = None if bad or pd.isna(own) else own
+            state_now = "stable" if own is not None and own == fp else "stopped" if bad and failed + 1 == failures else None
+            last, fp, failed = int(seq), own, failed + 1 if bad else 0
+            if state_now:
+                found.append((*key, last, state_now))
+                fp, done = None, True
+        state.update((last, fp, failed, done))
+        if forget_ms is not None:
+            state.setTimeoutDuration(forget_ms)
+        yield pd.DataFrame(found, columns=["page", "seq", "state"])
+
+    return step
+
+
 def ordered_commits(results: DataFrame, target: str, checkpoint: str, seq: str = "seq", first: int = 0):
     """Starts a stream that commits results in the order of the plan, however late they come.
 
