@@ -31,22 +31,31 @@ def segment_proposals(links: DataFrame, least: int = 3, options: RouteOptions =
     return _proposed(_segmented(links, options), learned, least)
 
 
+def _ruled(links: DataFrame, options: RouteOptions, *more: str) -> DataFrame:
+    """(target, in_nav, origin, segs, ruled) of the links whose rules keep the number of segments."""
+    rows = links.select("target", "in_nav", origin(F.col("target")).alias("origin"), segments(F.col("target")).alias("segs"), *more).where("origin is not null")
+    return rows.withColumn("ruled", ruled_segments(F.col("segs"), options.path_rules)).where("size(ruled) = size(segs)")
+
+
 def _segmented(links: DataFrame, options: RouteOptions) -> DataFrame:
-    """(target, in_nav, origin, segs, ruled) of the distinct links whose rules keep the number of segments."""
-    rows = links.select("target", "in_nav", origin(F.col("target")).alias("origin"), segments(F.col("target")).alias("segs")).where("origin is not null")
-    return rows.withColumn("ruled", ruled_segments(F.col("segs"), options.path_rules)).where("size(ruled) = size(segs)").distinct()
+    return _ruled(links, options).distinct()
 
 
-def _proposed(rows: DataFrame, learned: Column | None, least: int) -> DataFrame:
+def _places(rows: DataFrame, learned: Column | None, *more: str) -> DataFrame:
+    """(origin, prefix, i, shape, value, in_nav, target): each segment of each link that can be data, and where it stands."""
     rows = rows.withColumn("norm", normalized(F.col("ruled"), learned)["norm"])
-    at = rows.select("origin", "target", "in_nav", "segs", "norm", *([learned.alias("learned")] if learned is not None else []), F.explode(F.when(F.size("segs") > 1, F.sequence(F.lit(1), F.size("segs") - 1))).alias("i"))
+    at = rows.select("origin", "target", "in_nav", "segs", "norm", *more, *([learned.alias("learned")] if learned is not None else []), F.explode(F.when(F.size("segs") > 1, F.sequence(F.lit(1), F.size("segs") - 1))).alias("i"))
     at = at.withColumn("here", F.get("norm", F.col("i"))).withColumn("before", F.get("norm", F.col("i") - 1))
     at = at.where(~F.col("here").isin("*", "#") & (F.col("before") != "#"))
     at = at.withColumn("prefix", F.concat(F.lit("/"), F.array_join(F.slice("norm", 1, F.col("i")), "/")))
     if learned is not None:
         at = at.where(~F.array_contains("learned", F.col("prefix")))
     shape = F.array_join(F.transform("norm", lambda s, j: F.when(j == F.col("i"), "*").otherwise(s)), "/")
-    values = at.select("origin", "prefix", "i", shape.alias("shape"), F.get("segs", F.col("i")).alias("value"), "in_nav", "target")
+    return at.select("origin", "prefix", "i", shape.alias("shape"), F.get("segs", F.col("i")).alias("value"), "in_nav", "target", *more)
+
+
+def _proposed(rows: DataFrame, learned: Column | None, least: int) -> DataFrame:
+    values = _places(rows, learned)
     values = values.groupBy("origin", "prefix", "i", "shape", "value").agg(F.bool_and("in_nav").alias("in_nav"), F.min("target").alias("target"))
     # an example of each of some buckets of values: bounded, and combined before the shuffle
     picks = [F.min(F.when(F.crc32(F.col("value").cast("binary")) % EXAMPLES == b, F.col("target"))) for b in range(EXAMPLES)]
@@ -58,6 +67,31 @@ def _proposed(rows: DataFrame, learned: Column | None, least: int) -> DataFrame:
     return merged.withColumn("examples", F.slice("examples", 1, EXAMPLES))
 
 
+def signed_values(links: DataFrame, options: RouteOptions = RouteOptions()) -> DataFrame:
+    """(origin, prefix, i, shape, value, n, outside): what links (target, in_nav, sign) that come and go add to each value's counts.
+
+    ``sign`` is +1 where a link is seen and -1 where it is taken back; ``outside`` counts those out of
+    navigation, null places among them.  Nothing is summed yet, so it works on a stream and on a table.
+    """
+    learned = F.array(*map(F.lit, options.learned)) if options.learned else None
+    rows = _ruled(links.withColumn("sign", F.col("sign").cast("long")).where("sign is not null"), options, "sign")
+    at = _places(rows, learned, "sign")
+    return at.select("origin", "prefix", "i", "shape", "value", F.col("sign").alias("n"), F.when(F.coalesce("in_nav", F.lit(False)), 0).otherwise(F.col("sign")).cast("long").alias("outside"))
+
+
+def learned_of_signed(links: DataFrame, least: int = 3, options: RouteOptions = RouteOptions()) -> DataFrame:
+    """(origin, prefix, n_values) as ``segment_proposals`` gives of the links that remain of (target, in_nav, sign).
+
+    A value counts while its links were seen more often than taken back.
+    """
+    values = signed_values(links, options).groupBy("origin", "prefix", "i", "shape", "value").agg(F.sum("n").alias("n"), F.sum("outside").alias("outside")).where("n > 0")
+    groups = values.groupBy("origin", "prefix", "i", "shape").agg(
+        F.count("*").alias("n"), F.count_if(F.col("outside") > 0).alias("outside"), F.count_if(F.col("value").rlike("[0-9]")).alias("digits")
+    )
+    found = groups.where((F.col("n") >= least) & ((F.col("outside") > 0) | (F.col("digits") > 0) | (F.col("n") > NAV_WORDS)))
+    return found.groupBy("origin", "prefix").agg(F.sum("n").alias("n_values"))
+
+
 def learned_to_fixpoint(links: DataFrame, least: int = 3, options: RouteOptions = RouteOptions(), accepted: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(origin, prefix, round, n_values, examples): what is learned until nothing more is, as each prefix can uncover further ones.
 

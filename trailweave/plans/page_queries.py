@@ -48,6 +48,18 @@ def page_segment_proposals(spark: SparkSession, d: str) -> DataFrame:
     return found.select("origin", "prefix", "n_values")
 
 
+def page_relearned_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """What is learned of the pages' addresses after the later half of the captures took back what it did not find again.
+
+    Each capture is +1; those of the first half, by id, are -1 later.
+    """
+    pages = _pages(spark, d).select("page_id", F.col("url").alias("target"), F.lit(False).alias("in_nav"))
+    half = pages.agg((F.max("page_id") / 2).alias("half"))
+    gone = pages.join(F.broadcast(half)).where("page_id < half").select("target", "in_nav", F.lit(-1).alias("sign"))  # one row
+    links = pages.select("target", "in_nav", F.lit(1).alias("sign")).unionByName(gone)
+    return learning.learned_of_signed(links, 2)
+
+
 def page_links(spark: SparkSession, d: str) -> DataFrame:
     return captured.links(_pages(spark, d)).select("page_id", "pos", "href", "target", "label", "in_nav", "nth")
 
@@ -177,7 +189,7 @@ def page_candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        page_routes, page_external_routes, page_route_counts, page_query_params_normalized, page_query_variant_routes, page_segment_proposals, page_links, page_headings, page_tree_actions, page_tree_headings, page_regions,
+        page_routes, page_external_routes, page_route_counts, page_query_params_normalized, page_query_variant_routes, page_segment_proposals, page_relearned_prefixes, page_links, page_headings, page_tree_actions, page_tree_headings, page_regions,
         page_skeleton, page_same_structure_groups, page_structure_diff, page_local_change_pairs, page_masked_urls, page_display_paths, page_common_nav, page_text_hash,
         site_suffix, page_subtitles, page_rekey_merge, page_redirects, template_names, page_candidate_pairs,
     )
@@ -259,6 +271,11 @@ SQL = {
         v AS (SELECT origin, '/' || array_to_string(norm[1:i], '/') AS prefix, i, array_to_string(norm[1:i] || ['*'] || norm[i + 2:], '/') AS shape, segs[i + 1] AS value, min(url) AS target FROM places WHERE norm[i + 1] NOT IN ('*', '#') AND norm[i] <> '#' GROUP BY ALL),
         g AS (SELECT origin, prefix, i, shape, count(*) AS n FROM v GROUP BY ALL HAVING count(*) >= 2)
         SELECT origin, prefix, CAST(sum(n) AS BIGINT) AS n_values FROM g GROUP BY ALL""",
+    "page_relearned_prefixes": f"""WITH {_URLS},
+        i AS (SELECT DISTINCT url, origin, segs, norm FROM r WHERE page_id >= (SELECT max(page_id) / 2 FROM pages)), places AS (SELECT origin, url, segs, norm, unnest(range(1, len(segs))) AS i FROM i),
+        v AS (SELECT origin, '/' || array_to_string(norm[1:i], '/') AS prefix, i, array_to_string(norm[1:i] || ['*'] || norm[i + 2:], '/') AS shape, segs[i + 1] AS value, min(url) AS target FROM places WHERE norm[i + 1] NOT IN ('*', '#') AND norm[i] <> '#' GROUP BY ALL),
+        g AS (SELECT origin, prefix, i, shape, count(*) AS n FROM v GROUP BY ALL HAVING count(*) >= 2)
+        SELECT origin, prefix, CAST(sum(n) AS BIGINT) AS n_values FROM g GROUP BY ALL""",
     "page_links": f"WITH {_URLS}, {_LINKS} SELECT page_id, pos, href, target, label, in_nav, nth FROM links",
     "page_tree_actions": f"""WITH {_URLS}, {_LINKS} SELECT page_id, pos, 'link' AS role, 'click' AS kind, label, href, target, false AS toggle, in_nav, false AS volatile, nth FROM links""",
     "page_tree_headings": f"""WITH {_HEADS} SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INT) AS pos, tag, text FROM heads WHERE tag <> 'title'""",
