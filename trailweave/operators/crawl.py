@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trailweave.operators.figures import Figures
 from trailweave.operators.merging import merge_outcomes, numbered
 from trailweave.session import checkpoint, drop_folder
 
@@ -144,12 +145,14 @@ def _meta(spark: SparkSession, folder: str) -> list:
     return found
 
 
-def crawl(root: DataFrame, site: Site, folder: str, limits: Limits = Limits(), levels: int | None = None) -> dict[str, DataFrame]:
+def crawl(root: DataFrame, site: Site, folder: str, limits: Limits = Limits(), levels: int | None = None, figures: Figures | None = None) -> dict[str, DataFrame]:
     """The ``TABLES`` of the exploration from ``root`` (signature, route, lines; one row), in ``folder``.
 
     ``levels``: how many of them to do in this call; the next call with the same folder goes on.  It ends
     without new screens (done), at ``max_states`` screens (maxStates) or below ``max_depth`` (maxDepth), which the last row of meta says.
+    ``figures`` gathers the rows, failed steps and time of what each phase of this call performed.
     """
+    figures = figures or Figures()
     spark = root.sparkSession
     meta = _meta(spark, folder)
     if not meta:
@@ -157,7 +160,7 @@ def crawl(root: DataFrame, site: Site, folder: str, limits: Limits = Limits(), l
         meta = _meta(spark, folder)
     todo = levels
     while meta[-1]["stop"] is None and (todo is None or todo > 0):
-        _level(spark, folder, site, limits, len(meta), meta[-1])
+        _level(spark, folder, site, limits, len(meta), meta[-1], figures)
         meta = _meta(spark, folder)
         todo = None if todo is None else todo - 1
     return _tables(spark, folder, len(meta))
@@ -173,7 +176,7 @@ def _write(spark: SparkSession, folder: str, level: int, tables: dict[str, DataF
     spark.createDataFrame([(level, tasks, screens, stop)], META).coalesce(1).write.parquet(f"{place}/meta")
 
 
-def _level(spark: SparkSession, folder: str, site: Site, limits: Limits, level: int, last) -> None:
+def _level(spark: SparkSession, folder: str, site: Site, limits: Limits, level: int, last, figures: Figures) -> None:
     old = _tables(spark, folder, level)
     screens, aliases, widgets, attempts = old["screens"], old["aliases"], old["widgets"], old["attempts"]
     frontier = checkpoint(screens.where(F.col("depth") == level - 1).select(F.col("screen").alias("node"), F.col("pos").alias("ord"), "signature"))
@@ -196,7 +199,8 @@ def _level(spark: SparkSession, folder: str, site: Site, limits: Limits, level:
             all_screens = all_screens.unionByName(x.drop("parent", "depth"))
         for x in state["aliases"]:
             all_aliases = all_aliases.unionByName(x)
-        merged = merge_outcomes(checkpoint(outcomes), all_screens, all_aliases, state["widgets"], most_screens=limits.max_states)
+        outcomes = figures.run(f"perform {phase}", outcomes, checkpoint, F.col("error"))
+        merged = merge_outcomes(outcomes, all_screens, all_aliases, state["widgets"], most_screens=limits.max_states)
         done = checkpoint(merged.outcomes.select(F.col("pos").alias("task"), F.col("signature").alias("to"), "fate", "dst"))
         state["new"].append(checkpoint(merged.screens.withColumn("depth", F.lit(level))))
         state["aliases"].append(checkpoint(merged.aliases))

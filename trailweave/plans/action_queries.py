@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailweave.functions import actions, masking, text, urls
-from trailweave.operators import compare, graph, judging, learning, naming, planning, recording, rundiff
+from trailweave.operators import compare, figures, graph, judging, learning, naming, planning, recording, rundiff
 from trailweave.plans import event_queries as ev
 from trailweave.plans import page_queries as pg
 from trailweave.session import checkpoint, ensure_checkpoint_dir, table
@@ -336,6 +336,15 @@ def event_runs_written(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("base", F.coalesce("base", F.lit(False)))
 
 
+def event_run_figures(spark: SparkSession, d: str) -> DataFrame:
+    """What the steps of writing all weeks' runs counted as their rows passed: screens, those with errors, steps, failed ones."""
+    nodes, edges, _ = _run_tables(spark, d)
+    gathered = figures.Figures()
+    gathered.run("screens", nodes, checkpoint, F.size("console_errors") > 0)
+    gathered.run("steps", edges, checkpoint, F.col("error").isNotNull())
+    return gathered.table(spark).drop("ms")
+
+
 def event_run_summary(spark: SparkSession, d: str) -> DataFrame:
     counts = ev._counts(spark, d)
     meta = spark.range(1).select(F.lit("http://x.test").alias("base_url"), F.lit(None).cast("string").alias("stop_kind"))
@@ -350,7 +359,7 @@ QUERIES = {
         page_link_keys, event_action_keys, event_key_repeats, event_outcomes, event_counters, event_collected, event_failures, event_dirty_screens, event_compound_plan, event_chapter_stats,
         event_issue_places, event_screen_summary, event_pair_keys, event_revealed, event_new_instances, event_relocated, event_truncation, event_local_actions, event_rewired, event_stabilized,
         event_without_late, event_settled, event_first_seen, page_learned_prefixes, page_learned_to_fixpoint, page_learned_routes, page_link_names, page_ruled_routes, page_address_facts, page_allowed_links, page_titles_scrubbed, page_title_parts, page_known_widgets,
-        doc_run_texts, label_merge_scores, doc_cached_answers, event_runs_written, event_run_summary,
+        doc_run_texts, label_merge_scores, doc_cached_answers, event_run_figures, event_runs_written, event_run_summary,
     )
 }
 
@@ -453,5 +462,9 @@ SQL = {
         ee AS (SELECT w.run, count(*) AS actions, count(*) FILTER (WHERE error) AS failed FROM e JOIN w ON w.event_id = e.edge_pos GROUP BY w.run)
         SELECT run, 'http://x.test/?key=***' AS base_url, screens AS total_states, screens, errors, first_url, last_error, actions, failed,
         run = (SELECT max(run) FROM nn WHERE run NOT IN ('2024-01-29', '2024-01-22')) AS base FROM nn JOIN ee USING (run)""",
+    "event_run_figures": f"""WITH {_E}, w AS (SELECT event_id, strftime(date_trunc('week', ts), '%Y-%m-%d') AS run FROM events),
+        n AS (SELECT w.run, s.screen, bool_or(kind = 'error' AND k IS NOT NULL) AS bad FROM s JOIN w USING (event_id) GROUP BY ALL)
+        SELECT 'screens' AS operation, CAST(1 AS BIGINT) AS n, count(*) AS rows, count(*) FILTER (WHERE bad) AS failed, CAST(0 AS BIGINT) AS broken FROM n
+        UNION ALL SELECT 'steps', 1, count(*), count(*) FILTER (WHERE error), 0 FROM e""",
     "event_run_summary": f"WITH {ev._COUNTS} SELECT 'http://x.test' AS base_url, screens, new_errors, error_screens > 0 AS failed FROM c",
 }

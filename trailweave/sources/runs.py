@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trailweave.operators.figures import merged_figures
+
 ACTION = "struct<label:string,kind:string,role:string,text:string,href:string,nth:int,toggle:boolean,testId:string>"
 NODE = (
     "struct<id:string,signature:string,url:string,route:string,title:string,depth:int,screenshot:string,textHash:string,headings:array<string>,"
@@ -21,7 +23,7 @@ NODE = (
 EDGE = f"struct<from:string,to:string,action:{ACTION},error:string,inferred:boolean,via:array<{ACTION}>>"
 META = (
     "struct<schemaVersion:int,signatureVersion:int,baseUrl:string,startedAt:string,finishedAt:string,stoppedBecause:string,stopKind:string,totalStates:int,totalEdges:int,"
-    "config:map<string,string>>"
+    "config:map<string,string>,timings:map<string,struct<n:bigint,rows:bigint,failed:bigint,broken:bigint,ms:double>>>"
 )
 GRAPH = f"meta {META}, root string, nodes array<{NODE}>, edges array<{EDGE}>, _corrupt_record string"
 SIGNATURE_VERSION = 4
@@ -112,7 +114,7 @@ def event_edges(events: DataFrame, start: str | None = None) -> DataFrame:
 MOST_EDGES = 1_000_000
 
 
-def run_documents(nodes: DataFrame, edges: DataFrame, meta: DataFrame, globs: tuple[str, ...] | None = None, most_edges: int = MOST_EDGES) -> DataFrame:
+def run_documents(nodes: DataFrame, edges: DataFrame, meta: DataFrame, globs: tuple[str, ...] | None = None, most_edges: int = MOST_EDGES, figures: DataFrame | None = None) -> DataFrame:
     """(run, meta, root, nodes, edges): one document of each run, in the schema that ``read_runs`` reads.
 
     ``nodes``: (run, pos, id, signature, url, route, title, depth, text_hash, console_errors,
@@ -120,6 +122,7 @@ def run_documents(nodes: DataFrame, edges: DataFrame, meta: DataFrame, globs: tu
     error, inferred); ``meta``: (run, root, base_url, stop_kind, config: map).  Addresses, and
     addresses in messages, are masked.  A document is a run's screens, which are bounded by its
     limit of states, and its edges; a run of more than ``most_edges`` edges is an error and stays as tables.
+    ``figures``: (run, operation, n, rows, failed, broken, ms) becomes the ``timings`` of a run's meta.
     """
     from trailweave.functions.masking import SENSITIVE, mask_url, mask_urls_in_text
 
@@ -141,7 +144,12 @@ def run_documents(nodes: DataFrame, edges: DataFrame, meta: DataFrame, globs: tu
     about = F.struct(
         F.lit(3).alias("schemaVersion"), F.lit(SIGNATURE_VERSION).alias("signatureVersion"), mask_url(F.col("base_url"), hide).alias("baseUrl"), F.col("stop_kind").alias("stopKind"),
         F.coalesce("n_nodes", F.lit(0)).alias("totalStates"), F.coalesce("n_edges", F.lit(0)).alias("totalEdges"), F.col("config"),
+        *([] if figures is None else [F.col("timings")]),
     )
+    if figures is not None:
+        one = merged_figures(figures, "run")
+        entries = F.array_sort(F.collect_list(F.struct("operation", F.struct("n", "rows", "failed", "broken", "ms"))))  # one for each operation
+        meta = meta.join(one.groupBy("run").agg(F.map_from_entries(entries).alias("timings")), "run", "left")
     return meta.join(own, "run", "left").join(led, "run", "left").select("run", about.alias("meta"), "root", "nodes", "edges")
 
 
@@ -174,6 +182,11 @@ def write_runs(documents: DataFrame, runs_dir: str) -> list[str]:
     return sorted(written)
 
 
+def timings(runs: DataFrame) -> DataFrame:
+    """(run, operation, n, rows, failed, broken, ms) of each run's meta."""
+    return runs.where("not broken").select("run", F.explode("meta.timings").alias("operation", "t")).select("run", "operation", "t.*")
+
+
 def summary_document(counts: DataFrame, gate: DataFrame, meta: DataFrame) -> DataFrame:
     """One column ``summary``: the JSON text of a run's counts, its comparison and its gate (one row each)."""
     both = counts.join(F.broadcast(gate)).join(F.broadcast(meta))  # one row each
