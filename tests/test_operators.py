@@ -160,6 +160,30 @@ def test_upper_median(spark):
         assert judging.upper_median(many, "v").first().median == sorted(values)[n // 2]
 
 
+def test_upper_median_refines_crowded_ranges(spark):
+    rng = random.Random(5)
+    many = [10**15 + rng.randrange(10**9) for _ in range(400)] + [-3, 0, 7, 10**15 + 10**12] + [10**15 + 5] * 60
+    for n, most in ((len(many), 1), (len(many) - 1, 8), (len(many), 100_000), (3, 1)):
+        rows = spark.createDataFrame([(x,) for x in many[:n]] + [(None,)], "v long")
+        assert judging.upper_median(rows, "v", most).first().median == sorted(many[:n])[n // 2], (n, most)
+    close = [0.1 + k * 1e-9 for k in range(301)]
+    assert judging.upper_median(spark.createDataFrame([(x,) for x in close], "v double"), "v", 2).first().median == close[150]
+    equal = [2**60 + k for k in range(40)]  # some are one as doubles
+    assert judging.upper_median(spark.createDataFrame([(x,) for x in equal], "v long"), "v", 3).first().median == equal[20]
+    none = rows.where("false")
+    assert judging.upper_median(none, "v").count() == 0 and tuple(judging.size_figures(none, "v").first()) == (0, 0, None, None)
+    assert tuple(judging.size_figures(spark.createDataFrame([(4,), (None,), (1,)], "v long"), "v").first()) == (2, 5, 4, 2.5)
+
+
+def test_chapter_links_keep_their_most_frequent_label(spark):
+    merged = spark.createDataFrame(
+        [("a1", "b1", "go", 2), ("a2", "b1", "go", 1), ("a1", "b2", "ask", 3), ("a1", "b2", "zap", 3), ("a1", "a2", "in", 9), ("b1", "a1", None, 1), ("a1", "b1", "menu", 9)], "src string, dst string, label string, n long"
+    )
+    chapters = spark.createDataFrame([(x, x[0].upper()) for x in ("a1", "a2", "b1", "b2")], "node string, chapter string")
+    nav = spark.createDataFrame([("menu", "b1")], "label string, dst string")
+    found = graph.chapter_links(graph.chapter_link_labels(merged, chapters, nav))
+    assert {tuple(r) for r in found.collect()} == {("A", "B", False, 9, 3, "ask", 3), ("A", "B", True, 9, 1, "menu", 9), ("B", "A", False, 1, 1, None, 1)}
+
 def test_complete_linkage(spark):
     v = {1: [1.0, 0.0], 2: [0.99, 0.1], 3: [0.0, 1.0], 4: [0.7, 0.7]}
     rows = spark.createDataFrame([("g", k, x) for k, x in v.items()], "g string, id int, v array<double>")

@@ -148,8 +148,8 @@ def common_navigation(merged: DataFrame, least: int = NAV_SOURCES, share: float
     return groups.join(F.broadcast(with_out)).where(F.col("sources") >= needed).drop("with_out")  # one row
 
 
-def chapter_links(merged: DataFrame, chapter_of: DataFrame, nav: DataFrame | None = None) -> DataFrame:
-    """(chapter_from, chapter_to, nav, n, labels): edges between chapters, with how often each label occurs."""
+def chapter_link_labels(merged: DataFrame, chapter_of: DataFrame, nav: DataFrame | None = None) -> DataFrame:
+    """(chapter_from, chapter_to, nav, label, n): edges between chapters by label, a row each."""
     a = chapter_of.select(F.col("node").alias("src"), F.col("chapter").alias("chapter_from"))
     b = chapter_of.select(F.col("node").alias("dst"), F.col("chapter").alias("chapter_to"))
     rows = merged.where("src <> dst").join(a, "src").join(b, "dst").where("chapter_from <> chapter_to")
@@ -157,16 +157,17 @@ def chapter_links(merged: DataFrame, chapter_of: DataFrame, nav: DataFrame | Non
         rows = rows.join(nav.select("label", "dst", F.lit(True).alias("nav")), ["label", "dst"], "left").withColumn("nav", F.coalesce("nav", F.lit(False)))
     else:
         rows = rows.withColumn("nav", F.lit(False))
-    per_label = rows.groupBy("chapter_from", "chapter_to", "nav", "label").agg(F.sum("n").alias("n"))
-    return per_label.groupBy("chapter_from", "chapter_to", "nav").agg(
-        F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.col("label"), F.col("n").alias("n")))).alias("labels")
-    )
+    return rows.groupBy("chapter_from", "chapter_to", "nav", "label").agg(F.sum("n").alias("n"))
+
 
+def chapter_links(labels: DataFrame) -> DataFrame:
+    """(chapter_from, chapter_to, nav, n, n_labels, label, label_n) of ``chapter_link_labels``: each link with its most frequent label, the first in order among equals.
 
-def top_labels(links: DataFrame) -> DataFrame:
-    """(chapter_from, chapter_to, nav, label, n): the most frequent label, the first in order among equals."""
-    best = F.array_sort("labels", lambda x, y: F.when(x["n"] != y["n"], F.when(x["n"] > y["n"], -1).otherwise(1)).when(x["label"] < y["label"], -1).otherwise(1))[0]
-    return links.select("chapter_from", "chapter_to", "nav", best["label"].alias("label"), best["n"].alias("n"))
+    A link keeps one label, however many it has.
+    """
+    best = F.min(F.struct((-F.col("n")).alias("less"), "label"))
+    found = labels.groupBy("chapter_from", "chapter_to", "nav").agg(F.sum("n").alias("n"), F.count("*").cast("int").alias("n_labels"), best.alias("best"))
+    return found.select("chapter_from", "chapter_to", "nav", "n", "n_labels", "best.label", (-F.col("best.less")).alias("label_n"))
 
 
 def adjacent_runs(rows: DataFrame, column: str, order: str, value: str) -> DataFrame:

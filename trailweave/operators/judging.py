@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trailweave.session import checkpoint
+
+#: Ranges that a range of values is cut in, and values that one task puts in order.
+RANGES, MOST_VALUES = 4096, 100_000
 ACTION_THRESHOLD, LINK_THRESHOLD, MERGE_THRESHOLD = 0.5, 0.7, 0.7
 
 
@@ -56,20 +60,38 @@ def tally(rows: DataFrame, score: str, positive: str, threshold: float) -> DataF
     )
 
 
-def upper_median(rows: DataFrame, value: str) -> DataFrame:
-    """One row ``median``: the element floor(n / 2) of the sorted values, the upper one of two.
+def upper_median(rows: DataFrame, value: str, most_values: int = MOST_VALUES) -> DataFrame:
+    """One row ``median``: the element floor(n / 2) of the sorted values, the upper one of two; none of no values.
 
-    It is the smallest value with more than half the rows at or below it.  Counts are summed by
-    ranges of values first, some thousands at most, and then within the one range that has it.
+    It is the smallest value with more than half the rows at or below it.  Counts are summed by ranges
+    of values, the first of equal width in the logarithm and further ones of equal width within the one that has it, until
+    that one has no more than ``most_values`` values; only these are put in order.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    ranged = counts.withColumn("range", F.floor(F.log2(1 + F.abs(F.col("v").cast("double"))) * 64) * F.signum(F.col("v").cast("double")))
-    sizes = ranged.groupBy("range").agg(F.sum("c").alias("rc"))
-    sums = sizes.withColumn("upto", F.sum("rc").over(Window.orderBy("range"))).withColumn("total", F.sum("rc").over(Window.partitionBy()))
-    place = sums.where(2 * F.col("upto") > F.col("total")).agg(F.min(F.struct("range", (F.col("upto") - F.col("rc")).alias("below"), "total")).alias("x")).select("x.*")
-    inside = ranged.join(F.broadcast(place), "range")  # one row
-    so_far = F.col("below") + F.sum("c").over(Window.orderBy("v"))  # the values of one range of a 64th of a doubling
-    return inside.withColumn("half", 2 * so_far > F.col("total")).where("half").agg(F.min("v").alias("median"))
+    v = F.col("v")
+    counts = checkpoint(rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c")))
+    inside, below, total = counts, 0, counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    number, step = v.cast("double"), F.floor(F.log2(1 + F.abs(v.cast("double"))) * 64) * F.signum(v.cast("double"))
+    n = None
+    while n is None or n > most_values:
+        sizes = inside.groupBy(step.alias("range")).agg(F.sum("c").alias("rc"), F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
+        # some thousands of ranges at most
+        placed = sizes.withColumn("upto", F.sum("rc").over(Window.orderBy("range")) + below).where(2 * F.col("upto") > total)
+        place = placed.agg(F.min(F.struct("range", (F.col("upto") - F.col("rc")).alias("below"), "low", "high", "n")).alias("x")).select("x.*").first()
+        if place["range"] is None:
+            return counts.select(v.alias("median")).where("false")
+        n, below, low, high = place["n"], place["below"], place["low"], place["high"]
+        inside = counts.where(v.between(F.lit(low), F.lit(high)))
+        width = (float(high) - float(low)) / RANGES
+        step = F.least(F.floor((number - float(low)) / width), F.lit(RANGES - 1)) if width else F.lit(0)
+        if not width:  # values that are one as doubles: a few thousand whole numbers at most
+            break
+    so_far = F.lit(below) + F.sum("c").over(Window.orderBy("v"))
+    return inside.withColumn("half", 2 * so_far > total).where("half").agg(F.min("v").alias("median"))
+
+
+def size_figures(rows: DataFrame, value: str) -> DataFrame:
+    """One row (n, total, largest, mean) of the values that aren't null."""
+    return rows.agg(F.count(value).alias("n"), F.coalesce(F.sum(value), F.lit(0)).alias("total"), F.max(value).alias("largest"), F.avg(value).alias("mean"))
 
 
 def same_section_candidates(screens: DataFrame, most: int = 8) -> DataFrame:

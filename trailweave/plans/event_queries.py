@@ -59,15 +59,15 @@ def event_chapters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chapter_links(spark: SparkSession, d: str) -> DataFrame:
-    return graph.chapter_links(graph.merged_edges(_edges(spark, d)), _chapters(spark, d))
+    return graph.chapter_links(graph.chapter_link_labels(graph.merged_edges(_edges(spark, d)), _chapters(spark, d)))
 
 
 def event_chapter_links(spark: SparkSession, d: str) -> DataFrame:
-    return _chapter_links(spark, d).select("chapter_from", "chapter_to", "n", F.size("labels").alias("n_labels"))
+    return _chapter_links(spark, d).select("chapter_from", "chapter_to", "n", "n_labels")
 
 
 def top_label_per_link(spark: SparkSession, d: str) -> DataFrame:
-    return graph.top_labels(_chapter_links(spark, d)).select("chapter_from", "chapter_to", "label", "n")
+    return _chapter_links(spark, d).select("chapter_from", "chapter_to", "label", F.col("label_n").alias("n"))
 
 
 def event_scenarios(spark: SparkSession, d: str) -> DataFrame:
