@@ -291,10 +291,16 @@ def repeated_spans(texts: DataFrame, least: int = 200) -> DataFrame:
     stretch = _staged(stretch)
     plain = stretch.where("hot is null").select(F.col("anchor").alias("group"), "bytes", "n", "rid", "start")
     slices = _slices(stretch.where("hot"), least)
-    slices = slices.groupBy("group", "bytes").agg(F.sum("n").alias("n"), F.min(F.struct("rid", "start")).alias("one"), F.count("*").alias("k"), F.collect_list(F.struct("rid", "start")).alias("all"))
+    sliced = slices
+    slices = slices.groupBy("group", "bytes").agg(F.sum("n").alias("n"), F.min(F.struct("rid", "start")).alias("one"), F.count("*").alias("k"))
     slices = _staged(slices)
-    # equal parts of different stretches repeat as a whole
-    doubled = slices.where("k > 1").select(F.explode("all").alias("x"), F.length("bytes").alias("length")).select("x.rid", "x.start", (F.col("x.start") + F.col("length")).alias("stop"))
+    # equal parts of different stretches repeat as a whole; where they are is joined back, so none is a list
+    part = ["group", "bytes"]
+    often = checkpoint(slices.where(F.col("k") > FREQUENT_COPIES).select(*part))
+    alike = [join_checked(sliced, often, part, "left_semi", MOST_BROADCAST // 100)]
+    others = join_checked(sliced, often, part, "left_anti", MOST_BROADCAST // 100)
+    alike.append(others.join(slices.where(F.col("k").between(2, FREQUENT_COPIES)).select(*part), part, "left_semi"))
+    doubled = alike[0].unionByName(alike[1]).select("rid", "start", (F.col("start") + F.length("bytes")).alias("stop"))
     cut = slices.select("group", "bytes", "n", "one.rid", "one.start")
     crowded = slices.groupBy("group").agg(F.count("*").alias("parts")).where(F.col("parts") > CROWDED_PARTS).select("group")
     crowded = checkpoint(crowded)
