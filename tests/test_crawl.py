@@ -185,8 +185,11 @@ def one_by_one(views, root, limits: Limits):
         level, frontier = level + 1, new
 
 
-@pytest.mark.parametrize("seed,limits", [(1, Limits(max_actions=5, repeats=2, max_depth=2)), (2, Limits(max_actions=30, repeats=1, max_depth=1)), (3, Limits(max_states=5))])
-def test_three_phases_same_as_one_by_one(spark, tmp_path, seed, limits):
+@pytest.mark.parametrize(
+    "seed,limits,phases",
+    [(1, Limits(max_actions=5, repeats=2, max_depth=2), "AC"), (2, Limits(max_actions=30, repeats=1, max_depth=1), "AC"), (3, Limits(max_states=5), "A"), (8, Limits(max_actions=30, repeats=1, max_depth=1), "ABC")],
+)
+def test_three_phases_same_as_one_by_one(spark, tmp_path, seed, limits, phases):
     views = made_up_site(seed)
     site = as_tables(spark, views)
     root = spark.createDataFrame([("/p0", "/p0", views["/p0"][1])], "signature string, route string, lines array<string>")
@@ -204,6 +207,6 @@ def test_three_phases_same_as_one_by_one(spark, tmp_path, seed, limits):
         assert {tuple(r) for r in got["inferred"].collect()} == inferred
         assert {(r.level, r.node): r.n for r in got["untried"].collect()} == untried
     assert crawl._meta(spark, folder)[-1]["stop"] == stop
-    assert {x[0] for x in log} == {"A", "B", "C"} or seed == 3
+    assert {x[0] for x in log} == set(phases)
     before = got["attempts"].count()
     assert crawl.crawl(root, site, folder, limits)["attempts"].count() == before  # done stays done
