@@ -107,6 +107,27 @@ def test_runs_round_trip(spark, tmp_path):
     assert [(r.src, r.dst, r.href) for r in runs.edges(found).collect()] == [("s1", "s2", "/b?key=***")]
 
 
+def test_long_runs_are_written_in_parts(spark, tmp_path):
+    node = "run string, pos int, id string, signature string, url string, route string, title string, depth int, text_hash string, console_errors array<string>, failed_requests array<string>, alias_signatures array<string>"
+    nodes = spark.createDataFrame([(r, k, f"s{k}", "A", "http://x/", "/", "T", 0, None, [], [], []) for r, n in (("long", 5), ("short", 2)) for k in reversed(range(n))], node)
+    edges = spark.createDataFrame(
+        [(r, k, f"s{k % 5}", f"s{k % 3}", "link", f"L{k}", "/", None, False) for r, n in (("long", 27), ("short", 4)) for k in reversed(range(n))],
+        "run string, edge_pos int, src string, dst string, role string, label string, href string, error string, inferred boolean",
+    )
+    meta = spark.createDataFrame([(r, "s0", "http://x/", None, {}) for r in ("long", "short")], "run string, root string, base_url string, stop_kind string, config map<string,string>")
+    folder = str(tmp_path / "runs")
+    made = runs.run_documents(nodes, edges, meta, part_size=4)
+    assert {(r.run, len(r.nodes), len(r.edges)) for r in made.collect()} == {("long", 4, 4), ("long", 1, 4), ("long", 0, 4), ("long", 0, 3), ("short", 2, 4)}
+    assert runs.write_runs(made, folder) == ["long", "short"]
+    found = runs.read_runs(spark, folder)
+    assert sorted((r.run, r.meta.totalStates, r.meta.totalEdges) for r in runs.heads(found).where("not broken").collect()) == [("long", 5, 27), ("short", 2, 4)]
+    assert sorted((r.run, r.edge_pos, r.label) for r in runs.edges(found).collect()) == sorted((r, k, f"L{k}") for r, n in (("long", 27), ("short", 4)) for k in range(n))
+    assert sorted((r.run, r.pos, r.id) for r in runs.nodes(found).collect()) == sorted((r, k, f"s{k}") for r, n in (("long", 5), ("short", 2)) for k in range(n))
+    assert [r.run for r in runs.baseline(found, "short").collect()] == ["long"]
+    next((tmp_path / "runs" / "long" / "graph.json").glob("part-*.json")).unlink()  # a run without one of its parts is broken
+    assert {(r.run, r.broken) for r in runs.read_runs(spark, folder).collect()} == {("long", True), ("short", False)}
+
+
 def test_runs_are_kept_beside_earlier_ones(spark, tmp_path):
     folder = str(tmp_path / "runs")
     node = "pos int, id string, signature string, url string, route string, title string, depth int, text_hash string, console_errors array<string>, failed_requests array<string>, alias_signatures array<string>"

@@ -332,7 +332,7 @@ def event_runs_written(spark: SparkSession, d: str) -> DataFrame:
     base = runs.baseline(found, "2024-01-29").select("run", F.lit(True).alias("base"))
     n = runs.nodes(found).groupBy("run").agg(F.count("*").alias("screens"), F.sum(F.size("console_errors")).alias("errors"), F.min("url").alias("first_url"), F.max(F.get("console_errors", 0)).alias("last_error"))
     e = runs.edges(found).groupBy("run").agg(F.count("*").alias("actions"), F.count("error").alias("failed"))
-    rows = found.select("run", F.col("meta.baseUrl").alias("base_url"), F.col("meta.totalStates").cast("long").alias("total_states")).join(n, "run").join(e, "run").join(base, "run", "left")
+    rows = runs.heads(found).select("run", F.col("meta.baseUrl").alias("base_url"), F.col("meta.totalStates").cast("long").alias("total_states")).join(n, "run").join(e, "run").join(base, "run", "left")
     return rows.withColumn("base", F.coalesce("base", F.lit(False)))
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trailweave.operators.figures import merged_figures
+from trailweave.operators.merging import numbered
+from trailweave.session import checkpoint, join_checked
 
 ACTION = "struct<label:string,kind:string,role:string,text:string,href:string,nth:int,toggle:boolean,testId:string>"
 NODE = (
@@ -25,7 +27,7 @@ META = (
     "struct<schemaVersion:int,signatureVersion:int,baseUrl:string,startedAt:string,finishedAt:string,stoppedBecause:string,stopKind:string,totalStates:int,totalEdges:int,"
     "config:map<string,string>,timings:map<string,struct<n:bigint,rows:bigint,failed:bigint,broken:bigint,ms:double>>>"
 )
-GRAPH = f"meta {META}, root string, nodes array<{NODE}>, edges array<{EDGE}>, _corrupt_record string"
+GRAPH = f"meta {META}, root string, nodes array<{NODE}>, edges array<{EDGE}>, part int, parts int, firstNode bigint, firstEdge bigint, _corrupt_record string"
 SIGNATURE_VERSION = 4
 
 
@@ -42,15 +44,27 @@ def read_config(text: str) -> dict:
 
 
 def read_runs(spark: SparkSession, runs_dir: str) -> DataFrame:
-    """(run, meta, root, nodes, edges, broken) of every ``<run>/graph.json`` below a folder.
+    """(run, meta, root, nodes, edges, part, first_node, first_edge, broken) of every ``<run>/graph.json`` below a folder.
 
-    ``graph.json`` is a file, or a folder with the file that ``write_runs`` makes.  A damaged document
-    is a row with ``broken`` set, so that one doesn't stop the others.
+    ``graph.json`` is a file, or a folder with the files that ``write_runs`` makes: a row for each part
+    of a run, and ``heads`` are the first ones.  A damaged document is a row with ``broken`` set, so that
+    one doesn't stop the others; a run of which a part is damaged or absent is broken in all its parts.
     """
     raw = spark.read.schema(GRAPH).option("multiLine", True).option("mode", "PERMISSIVE").json(f"{runs_dir}/*/graph.json")
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)/graph\.json(?:/[^/]+)?$", 1)
     name = F.url_decode(name)  # as file names are given
-    return raw.withColumn("run", F.coalesce(F.try_url_decode(name), name)).withColumn("broken", F.col("_corrupt_record").isNotNull() | F.col("nodes").isNull()).drop("_corrupt_record")
+    zero = lambda c, kind: F.coalesce(c, F.lit(0).cast(kind))
+    rows = raw.select(
+        F.coalesce(F.try_url_decode(name), name).alias("run"), "meta", "root", "nodes", "edges", zero("part", "int").alias("part"), zero("firstNode", "long").alias("first_node"),
+        zero("firstEdge", "long").alias("first_edge"), F.coalesce("parts", F.lit(1)).alias("_parts"), (F.col("_corrupt_record").isNotNull() | F.col("nodes").isNull()).alias("broken"),
+    )
+    whole = rows.groupBy("run").agg((F.bool_or("broken") | (F.count_distinct("part") != F.max("_parts"))).alias("_broken"))
+    return rows.join(whole, "run").withColumn("broken", F.col("_broken")).drop("_broken", "_parts")
+
+
+def heads(runs: DataFrame) -> DataFrame:
+    """The first part of each run: one row a run."""
+    return runs.where(F.col("part") == 0)
 
 
 def complete_enough(stop_kind: Column) -> Column:
@@ -60,6 +74,7 @@ def complete_enough(stop_kind: Column) -> Column:
 
 def baseline(runs: DataFrame, current: str, chosen: str | None = None) -> DataFrame:
     """The run to compare with: the chosen one, else the newest other complete and readable one (0 or 1 rows)."""
+    runs = heads(runs)
     if chosen:
         return runs.where((F.col("run") == chosen) & ~F.col("broken"))
     usable = runs.where((F.col("run") != current) & ~F.col("broken") & complete_enough(F.col("meta.stopKind")))
@@ -67,10 +82,10 @@ def baseline(runs: DataFrame, current: str, chosen: str | None = None) -> DataFr
 
 
 def nodes(runs: DataFrame) -> DataFrame:
-    """(run, pos, schema_version, node columns); ``pos``: place in the document."""
-    rows = runs.where("not broken").select("run", F.col("meta.schemaVersion").alias("schema_version"), F.posexplode("nodes").alias("pos", "n"))
+    """(run, pos, schema_version, node columns); ``pos``: place in the run."""
+    rows = runs.where("not broken").select("run", "first_node", F.col("meta.schemaVersion").alias("schema_version"), F.posexplode("nodes").alias("pos", "n"))
     return rows.select(
-        "run", "pos", "schema_version", F.col("n.id").alias("id"), F.col("n.signature").alias("signature"), F.col("n.url").alias("url"), F.col("n.route").alias("route"),
+        "run", (F.col("first_node") + F.col("pos")).alias("pos"), "schema_version", F.col("n.id").alias("id"), F.col("n.signature").alias("signature"), F.col("n.url").alias("url"), F.col("n.route").alias("route"),
         F.col("n.title").alias("title"), F.col("n.textHash").alias("text_hash"), F.coalesce("n.consoleErrors", F.array().cast("array<string>")).alias("console_errors"),
         F.coalesce("n.failedRequests", F.array().cast("array<string>")).alias("failed_requests"),
         F.coalesce("n.aliasSignatures", F.array().cast("array<string>")).alias("alias_signatures"), F.col("n.screenshot").alias("screenshot"),
@@ -79,10 +94,10 @@ def nodes(runs: DataFrame) -> DataFrame:
 
 
 def edges(runs: DataFrame) -> DataFrame:
-    """(run, edge_pos, src, dst, role, label, href, error, inferred, via): array order as a column."""
-    rows = runs.where("not broken").select("run", F.posexplode("edges").alias("edge_pos", "e"))
+    """(run, edge_pos, src, dst, role, label, href, error, inferred, via): place in the run as a column."""
+    rows = runs.where("not broken").select("run", "first_edge", F.posexplode("edges").alias("pos", "e"))
     return rows.select(
-        "run", "edge_pos", F.col("e.from").alias("src"), F.col("e.to").alias("dst"), F.col("e.action.role").alias("role"), F.col("e.action.label").alias("label"),
+        "run", (F.col("first_edge") + F.col("pos")).alias("edge_pos"), F.col("e.from").alias("src"), F.col("e.to").alias("dst"), F.col("e.action.role").alias("role"), F.col("e.action.label").alias("label"),
         F.col("e.action.href").alias("href"), F.col("e.error").alias("error"), F.coalesce("e.inferred", F.lit(False)).alias("inferred"), F.col("e.via").alias("via"),
     )
 
@@ -110,23 +125,36 @@ def event_edges(events: DataFrame, start: str | None = None) -> DataFrame:
     )
 
 
-#: Edges up to which a run is made one document.
-MOST_EDGES = 1_000_000
+#: Screens, and edges, of one part of a run's document.
+PART = 50_000
 
 
-def run_documents(nodes: DataFrame, edges: DataFrame, meta: DataFrame, globs: tuple[str, ...] | None = None, most_edges: int = MOST_EDGES, figures: DataFrame | None = None) -> DataFrame:
-    """(run, meta, root, nodes, edges): one document of each run, in the schema that ``read_runs`` reads.
+def _parts(rows: DataFrame, entry: Column, out: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """(run, part, ``out``: array of ``entry`` in order) of each part of a run, and (run, n) of each run.
+
+    ``entry``: a struct that begins with ``pos``.  Rows are numbered in ranges, so no task has all of a run.
+    """
+    placed = checkpoint(numbered(rows.select("run", entry.alias("x")), ["run", "x"], 0))
+    whole = checkpoint(placed.groupBy("run").agg(F.min("k").alias("start"), F.count("*").alias("n")))
+    own = join_checked(placed.where("run is not null"), whole, "run", "inner").withColumn("part", F.floor((F.col("k") - F.col("start")) / size).cast("int"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda y: y["x"].dropFields("pos"))  # one part's
+    return own.groupBy("run", "part").agg(in_order.alias(out)), whole.select("run", "n")
+
+
+def run_documents(nodes: DataFrame, edges: DataFrame, meta: DataFrame, globs: tuple[str, ...] | None = None, most_edges: int | None = None, figures: DataFrame | None = None, part_size: int = PART) -> DataFrame:
+    """(run, meta, root, nodes, edges, part, parts, firstNode, firstEdge): the document of each run, in the schema that ``read_runs`` reads.
 
     ``nodes``: (run, pos, id, signature, url, route, title, depth, text_hash, console_errors,
     failed_requests, alias_signatures); ``edges``: (run, edge_pos, src, dst, role, label, href,
     error, inferred); ``meta``: (run, root, base_url, stop_kind, config: map).  Addresses, and
-    addresses in messages, are masked.  A document is a run's screens, which are bounded by its
-    limit of states, and its edges; a run of more than ``most_edges`` edges is an error and stays as tables.
+    addresses in messages, are masked.  A document is a run's screens and its edges.  One of more than
+    ``part_size`` of either is several rows, each with so many in turn, and with its place in the run;
+    for any other these columns are null.  With ``most_edges``, a run of more edges is an error.
     ``figures``: (run, operation, n, rows, failed, broken, ms) becomes the ``timings`` of a run's meta.
     """
     from trailweave.functions.masking import SENSITIVE, mask_url, mask_urls_in_text
 
-    large = edges.groupBy("run").count().where(F.col("count") > most_edges).first()
+    large = None if most_edges is None else edges.groupBy("run").count().where(F.col("count") > most_edges).first()
     if large is not None:
         raise ValueError(f"run {large['run']} has {large['count']} edges, over {most_edges}: keep it as tables")
 
@@ -138,9 +166,8 @@ def run_documents(nodes: DataFrame, edges: DataFrame, meta: DataFrame, globs: tu
     )
     action = F.struct("label", "role", mask_url(F.col("href"), hide).alias("href"))
     e = F.struct(F.col("edge_pos").alias("pos"), F.col("src").alias("from"), F.col("dst").alias("to"), action.alias("action"), mask_urls_in_text(F.col("error"), hide).alias("error"), F.col("inferred"))
-    in_order = lambda x: F.transform(F.array_sort(F.collect_list(x)), lambda y: y.dropFields("pos"))
-    own = nodes.groupBy("run").agg(in_order(n).alias("nodes"), F.count("*").alias("n_nodes"))
-    led = edges.groupBy("run").agg(in_order(e).alias("edges"), F.count("*").alias("n_edges"))
+    own, n_nodes = _parts(nodes, n, "nodes", part_size)
+    led, n_edges = _parts(edges, e, "edges", part_size)
     about = F.struct(
         F.lit(3).alias("schemaVersion"), F.lit(SIGNATURE_VERSION).alias("signatureVersion"), mask_url(F.col("base_url"), hide).alias("baseUrl"), F.col("stop_kind").alias("stopKind"),
         F.coalesce("n_nodes", F.lit(0)).alias("totalStates"), F.coalesce("n_edges", F.lit(0)).alias("totalEdges"), F.col("config"),
@@ -150,11 +177,22 @@ def run_documents(nodes: DataFrame, edges: DataFrame, meta: DataFrame, globs: tu
         one = merged_figures(figures, "run")
         entries = F.array_sort(F.collect_list(F.struct("operation", F.struct("n", "rows", "failed", "broken", "ms"))))  # one for each operation
         meta = meta.join(one.groupBy("run").agg(F.map_from_entries(entries).alias("timings")), "run", "left")
-    return meta.join(own, "run", "left").join(led, "run", "left").select("run", about.alias("meta"), "root", "nodes", "edges")
+    known = meta.join(n_nodes.withColumnRenamed("n", "n_nodes"), "run", "left").join(n_edges.withColumnRenamed("n", "n_edges"), "run", "left")
+    parts = F.greatest(F.lit(1), *(F.ceil(F.coalesce(c, F.lit(0)) / part_size) for c in ("n_nodes", "n_edges"))).cast("int")
+    each = known.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = each.join(own, ["run", "part"], "left").join(led, ["run", "part"], "left")
+    several = lambda c: F.when(F.col("parts") > 1, c)
+    # a part that has only screens, or only edges, is no damaged one
+    filled = lambda c, total: F.when((F.col("parts") > 1) & F.col(total).isNotNull() & F.col(c).isNull(), F.array()).otherwise(F.col(c)).alias(c)
+    start = several(F.col("part").cast("long") * part_size)
+    return rows.select(
+        "run", about.alias("meta"), "root", filled("nodes", "n_nodes"), filled("edges", "n_edges"), several(F.col("part")).alias("part"), several(F.col("parts")).alias("parts"),
+        start.alias("firstNode"), start.alias("firstEdge"),
+    )
 
 
 def write_runs(documents: DataFrame, runs_dir: str) -> list[str]:
-    """Writes each run's document as ``<run>/graph.json`` below ``runs_dir`` and gives the runs written.
+    """Writes each run's document as ``<run>/graph.json`` below ``runs_dir``, a file for each part, and gives the runs written.
 
     All are written by one job to a folder that readers pass over, and then each is renamed to its
     place: a run is whole or absent.  One of the same name is replaced; all others stay as they are.
@@ -162,7 +200,8 @@ def write_runs(documents: DataFrame, runs_dir: str) -> list[str]:
     """
     spark = documents.sparkSession
     new = f"{runs_dir}/_new-{uuid.uuid4().hex}"
-    documents.withColumn("_at", F.url_encode(F.col("run").cast("string"))).repartition("_at").write.partitionBy("_at").json(new)
+    placed = documents.withColumn("_at", F.url_encode(F.col("run").cast("string")))
+    placed.repartition(*("_at", *(c for c in ("part",) if c in documents.columns))).write.partitionBy("_at").option("maxRecordsPerFile", 1).json(new)
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(runs_dir)
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -184,7 +223,7 @@ def write_runs(documents: DataFrame, runs_dir: str) -> list[str]:
 
 def timings(runs: DataFrame) -> DataFrame:
     """(run, operation, n, rows, failed, broken, ms) of each run's meta."""
-    return runs.where("not broken").select("run", F.explode("meta.timings").alias("operation", "t")).select("run", "operation", "t.*")
+    return heads(runs).where("not broken").select("run", F.explode("meta.timings").alias("operation", "t")).select("run", "operation", "t.*")
 
 
 def summary_document(counts: DataFrame, gate: DataFrame, meta: DataFrame) -> DataFrame:
