@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailweave.operators import compare, graph, judging, learning, naming, planning, rundiff
+from trailweave.session import checkpoint
 from trailweave.sources import runs
 
 EDGES = "edge_pos int, src string, dst string, label string, error boolean"
@@ -297,3 +298,11 @@ def test_empty_tables(spark):
     assert graph.merged_edges(none).count() == 0 and graph.discovery_tree(none, "a").count() == 1
     assert judging.auc(spark.createDataFrame([], "s double, y boolean"), "s", "y").first().auc is None
     assert learning.segment_proposals(spark.createDataFrame([], "target string, in_nav boolean")).count() == 0
+
+
+def test_estimates_of_checkpoints_stay_small_in_rounds_of_joins(spark):
+    rows = spark.range(8).select("id", F.lit(1).alias("n"))
+    for _ in range(9):
+        rows = checkpoint(rows.join(rows.select("id", F.col("n").alias("m")), "id").select("id", (F.col("n") + F.col("m")).alias("n")))
+        assert rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 63
+    assert {tuple(r) for r in rows.collect()} == {(k, 512) for k in range(8)}
