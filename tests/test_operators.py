@@ -6,6 +6,7 @@ import itertools
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +194,40 @@ def test_complete_linkage(spark):
         judging.complete_linkage(rows, "g", "id", "v", 0.9, most=3).collect()
 
 
+def plain_linkage(scores: np.ndarray, threshold: float) -> list[int]:
+    """Merges one pair after another, the best first; of equals that of the least rows."""
+    worst = scores.copy()
+    np.fill_diagonal(worst, -np.inf)
+    cluster = list(range(len(worst)))
+    while True:
+        a, b = sorted(divmod(int(np.argmax(worst)), len(worst)))
+        if worst[a, b] < threshold:
+            return cluster
+        joined = np.minimum(worst[a], worst[b])
+        worst[a], worst[:, a], worst[a, a] = joined, joined, -np.inf
+        worst[b] = worst[:, b] = -np.inf
+        cluster = [a if c == b else c for c in cluster]
+
+
+def test_complete_linkage_of_large_groups_equals_one_merge_after_another(spark, monkeypatch):
+    monkeypatch.setattr(judging, "_BLOCK", 50)
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.integers(0, 4, (90, 3)), "b": np.round(rng.normal(1, 0.6, (130, 3)), 2), None: rng.integers(1, 5, (7, 2))}
+    rows, expected = [], {}
+    for shift, (name, v) in enumerate(groups.items()):
+        ids = rng.permutation(len(v)) + 1000 * shift
+        v = v[np.argsort(np.argsort(ids))].astype(float)
+        unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        order = sorted(ids.tolist())
+        expected |= {order[k]: order[c] for k, c in enumerate(plain_linkage(np.round(unit @ unit.T, 9), 0.95))}
+        rows += [(name, order[k], x) for k, x in enumerate(v.tolist())]
+    rows += [("c", 5000 + k, [1.0, 2.0]) for k in range(1100)] + [("c", 9000, None), ("c", 9001, [0.0, 0.0]), ("c", 9002, [float("nan"), 1.0])]
+    expected |= {5000 + k: 5000 for k in range(1100)} | {k: k for k in (9000, 9001, 9002)}
+    rng.shuffle(rows)
+    found = judging.complete_linkage(spark.createDataFrame(rows, "g string, id int, v array<double>"), "g", "id", "v", 0.95).collect()
+    assert len(found) == len(rows) and {r.id: r.cluster for r in found} == expected
+
+
 def plain_template(titles: list[str]) -> str:
     """By trying every beginning and end."""
     texts = sorted({" ".join(t.split()) for t in titles})

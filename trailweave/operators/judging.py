@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trailweave.operators.graph import followed
+from trailweave.operators.merging import numbered
 from trailweave.session import checkpoint
 
 #: Ranges that a range of values is cut in, and values that one task puts in order.
@@ -110,43 +114,86 @@ def same_section_candidates(screens: DataFrame, most: int = 8) -> DataFrame:
     return each.select("pos", "other", (F.col("k") < F.col("n_route")).alias("same_route"))
 
 
-def _linked(scores: np.ndarray, threshold: float) -> list[int]:
-    """Cluster of each row by complete linkage: the two clusters whose worst pair scores best are merged while it reaches the threshold."""
-    n = len(scores)
-    worst = scores.copy()
-    np.fill_diagonal(worst, -np.inf)
-    cluster = list(range(n))
-    alive = np.ones(n, bool)
-    while alive.sum() > 1:
-        k = int(np.argmax(worst))
-        a, b = min(divmod(k, n)), max(divmod(k, n))
-        if worst[a, b] < threshold:
-            break
-        joined = np.minimum(worst[a], worst[b])
-        worst[a], worst[:, a] = joined, joined
-        worst[a, a] = -np.inf
-        worst[b] = worst[:, b] = -np.inf
-        alive[b] = False
-        cluster = [a if c == b else c for c in cluster]
-    return cluster
+#: Rows of a block of vectors; two blocks are compared by one product of matrices.
+_BLOCK = 1024
 
 
-def complete_linkage(vectors: DataFrame, group: str, id_col: str, vector: str, threshold: float = MERGE_THRESHOLD, most: int = 1024) -> DataFrame:
-    """(group, id, cluster): clusters of each group, named by their smallest id, by cosine similarity.
+def _alike(rows: DataFrame, group: str, vector: str, threshold: float) -> DataFrame:
+    """(a, b, worst): the pairs a < b of ``rows`` (k, group, vector) of a group whose cosine similarity reaches the threshold.
 
-    Linkage is sequential and needs all pairs of a group, so a group is one section's screens; one
-    of more than ``most`` rows is an error, not a silent cut.
+    ``k`` ascends by group.  Each block of a group meets each other one in a task of its own, so a
+    group of any size fills many; vectors of different lengths aren't compared.
     """
-    kinds = vectors.schema
-    schema = f"{group} {kinds[group].dataType.simpleString()}, {id_col} {kinds[id_col].dataType.simpleString()}, cluster {kinds[id_col].dataType.simpleString()}"
+    own = rows.select(F.col("k"), F.struct(group, F.size(vector)).alias("g"), F.col(vector).alias("v"), F.floor(F.col("k") / _BLOCK).alias("block"))
+    spans = own.groupBy("g").agg(F.min("block").alias("low"), F.max("block").alias("high"))
+    met = own.join(spans, "g").withColumn("other", F.explode(F.sequence("low", "high")))
+    met = met.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "k", "v")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"a group has {len(pdf)} rows; complete linkage takes {most}")
-        pdf = pdf.sort_values(id_col, ignore_index=True)
-        v = np.stack(pdf[vector].to_numpy()).astype(float)
+        pdf = pdf.sort_values("k", ignore_index=True)
+        v = np.stack(pdf["v"].to_numpy()).astype(float)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        found = _linked(np.round(v @ v.T, 9), threshold)
-        return pd.DataFrame({group: pdf[group], id_col: pdf[id_col], "cluster": pdf[id_col].to_numpy()[found]})
+        k = pdf["k"].to_numpy()
+        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        n = len(v) if same else int((pdf["block"] == pdf["i"]).sum())
+        scores = np.round(v[:n] @ (v if same else v[n:]).T, 9)
+        a, b = np.nonzero(np.triu(scores >= threshold, 1) if same else scores >= threshold)
+        return pd.DataFrame({"a": k[a], "b": k[b if same else b + n], "worst": scores[a, b]})
+
+    return met.groupBy("g", "i", "j").applyInPandas(run, "a long, b long, worst double")
+
+
+def linked_clusters(pairs: DataFrame, rounds: int = 100_000) -> DataFrame:
+    """(k, cluster): clusters of two and more by complete linkage over ``pairs`` (a < b, worst), named by their least k.
 
-    return vectors.select(group, id_col, vector).groupBy(group).applyInPandas(run, schema)
+    ``pairs`` are all that may be in one cluster.  One after another, the two clusters whose worst
+    pair is best would be merged, of equals those of the least names.  A merged cluster is no nearer to
+    any other than its nearer part was, so clusters that are each other's nearest are merged in the
+    end whatever comes before: all these are merged at once in each round, with the same result.
+    The best of all pairs always is such a one, so every round merges some.
+    """
+    pairs = checkpoint(pairs)
+    merged: list[DataFrame] = []
+    for _ in range(rounds):
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("k"), F.struct("worst", (-F.col("a")).alias("a"), (-F.col("b")).alias("b")).alias("x"))
+        best = ends.groupBy("k").agg(F.max("x").alias("x"))
+        # a pair is there twice, if it is the best of both
+        now = checkpoint(best.groupBy("x").count().where("count = 2").select((-F.col("x.b")).alias("k"), (-F.col("x.a")).alias("to")))
+        if now.isEmpty():
+            break
+        merged.append(now)
+        moved = now.unionByName(now.select(F.col("to").alias("k"), "to"))
+        ends = pairs
+        for end in ("a", "b"):
+            to = moved.select(F.col("k").alias(end), F.col("to").alias(f"{end}_to"))
+            ends = ends.join(to, end, "left")
+        parts = lambda end: F.when(F.col(f"{end}_to").isNull(), 1).otherwise(2)
+        ends = ends.select(F.coalesce("a_to", "a").alias("p"), F.coalesce("b_to", "b").alias("q"), "worst", (parts("a") * parts("b")).alias("needed")).where("p <> q")
+        ends = ends.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.min("worst").alias("worst"), F.count("*").alias("n"), F.first("needed").alias("needed"))
+        pairs = checkpoint(ends.where("n = needed").select("a", "b", "worst"))
+    else:
+        raise RuntimeError(f"over {rounds} rounds")
+    if not merged:
+        return pairs.select(F.col("a").alias("k"), F.col("b").alias("cluster"))  # none
+    links = checkpoint(reduce(DataFrame.unionByName, merged))
+    return followed(links.select(F.col("k").alias("node"), F.col("to").alias("next"))).select(F.col("node").alias("k"), F.col("end").alias("cluster"))
+
+
+def complete_linkage(vectors: DataFrame, group: str, id_col: str, vector: str, threshold: float = MERGE_THRESHOLD, most: int | None = None) -> DataFrame:
+    """(group, id, cluster): clusters of each group, named by their smallest id, by cosine similarity.
+
+    A cluster's pairs all reach the threshold, so linkage needs only the pairs that do; groups may
+    have any number of rows.  Equal vectors are one from the start.  A vector that is null, all zero
+    or not finite is a cluster of its own.  With ``most``, a group of more rows is an error.
+    """
+    if most is not None and not vectors.groupBy(group).count().where(F.col("count") > most).isEmpty():
+        raise ValueError(f"a group has more rows than the {most} that complete linkage takes here")
+    rows = checkpoint(numbered(vectors.select(group, id_col, vector), [group, id_col]))
+    finite = F.forall(vector, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists(vector, lambda x: x != 0)
+    units = checkpoint(rows.where(finite).groupBy(group, vector).agg(F.min("k").alias("unit"), F.count("*").alias("n")))
+    copies = units.where("n > 1").select(F.col(group).alias("_g"), F.col(vector).alias("_v"), "unit")
+    own = rows.join(copies, F.col(group).eqNullSafe(F.col("_g")) & (F.col(vector) == F.col("_v")), "left").select(group, id_col, "k", F.coalesce("unit", "k").alias("unit"))
+    found = linked_clusters(_alike(units.select(F.col("unit").alias("k"), group, vector), group, vector, threshold))
+    own = own.join(found.withColumnRenamed("k", "unit"), "unit", "left").select(group, id_col, F.coalesce("cluster", "unit").alias("cluster"))
+    names = rows.select(F.col("k").alias("cluster"), F.col(id_col).alias("_name"))
+    return own.join(names, "cluster").select(group, id_col, F.col("_name").alias("cluster"))
