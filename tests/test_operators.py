@@ -138,6 +138,17 @@ def test_segments_below_a_parent_are_data(spark):
     assert [(r.origin, r.prefix, r.n_values) for r in found] == [("http://a.test", "/shop", 3)]
 
 
+def test_only_affixes_below_a_length_that_few_share_are_made(spark):
+    rng = random.Random(2)
+    ends = ["".join(rng.choices("abcdefghij", k=50)) for _ in range(40)]
+    labels = [("p", f"Open {chr(0x4E00 + k)}{x}") for k, x in enumerate(ends)] + [("q", f"{x[:3]} of a long common ending") for x in ends[:5]]
+    made = learning.shared_affixes(spark.createDataFrame(labels, "g string, label string"), "g").groupBy("g").count()
+    found = {r.g: r["count"] for r in made.collect()}
+    assert found["p"] == 40 * 3 and found["q"] <= 5 * 2 * 30  # of 40 x 102: lengths 3 to 5
+    folded = {r.label: r.folded for r in learning.label_families(spark.createDataFrame(labels, "g string, label string"), "g").collect()}
+    assert set(folded.values()) == {"Open *", "* of a long common ending"} and len(folded) == 45
+
+
 def test_label_families(spark):
     labels = [("g", f"Delete {w}") for w in ("apples", "pears", "plums", "figs")] + [("g", "Help")]
     found = {r.label: r.folded for r in learning.label_families(spark.createDataFrame(labels, "page_id string, label string")).collect()}
