@@ -47,6 +47,27 @@ def test_a_pattern_is_tried_only_on_lines_with_its_rarest_gram(spark):
     assert {g for p, g in grams if p.startswith("^.+a")} == {"b\x03"}
 
 
+def test_lines_are_staged_by_no_gram_that_isnt_looked_for(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(40)]
+    found = [f"f:{a} {b} and so on" for a in words for b in words]
+    widgets = [f"f:{a} *" for a in words[:4]] + ["f:*mn*"]
+    staged = []
+    monkeypatch.setattr(compare, "checkpoint", lambda df: staged.append(df.count()) or df)
+    got = {r.line for r in compare.known_lines(strings(spark, found), compare.widget_patterns(strings(spark, widgets))).collect()}
+    assert got == {x for x in found if knows(widgets, x)} and len(got) >= 160
+    assert max(staged) < len(found)  # not one row for each gram that a line shares with some pattern
+
+
+def test_ends_of_patterns_of_any_length(spark):
+    widgets = ["f:abc*", "f:*" + "x" * 70, "f:" + "y" * 200 + "*z", "f:a*bcd*efgh"]
+    ends = {r.pattern[-4:]: (r.side, r["size"], r.gram) for r in compare.pattern_ends(compare.widget_patterns(strings(spark, widgets))).collect()}
+    assert sorted(x[:2] for x in ends.values()) == [("P", 3), ("P", 128), ("S", 4), ("S", 64)]
+    found = ["f:abcd", "f:abc", "f:1" + "x" * 70, "f:1" + "x" * 69, "f:" + "y" * 200 + "1z", "f:" + "y" * 199 + "1z", "f:a1bcd1efgh", "f:abcdefgh"]
+    got = {r.line for r in compare.known_lines(strings(spark, found), compare.widget_patterns(strings(spark, widgets))).collect()}
+    assert got == {x for x in found if knows(widgets, x)} and "f:abc" not in got and len(got) == 5
+
+
 def test_widgets_are_learned_from_changes(spark):
     pairs = spark.createDataFrame([(2, "a", "b"), (1, "a", "c")], "pair int, before string, after string")
     lines = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "new"), ("c", "new"), ("c", "")], "view string, line string")
