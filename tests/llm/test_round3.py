@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trailweave.llm import toxicity
 from trailweave.llm.pii import pii_report
 from trailweave.llm.toxicity import fair_share, fit, spread, toxicity_score
 from trailweave.session import table
@@ -35,6 +36,39 @@ def test_fair_share(lengths, most):
     assert share >= max(lengths, default=0) or sum(min(n, share + 1) for n in lengths) > most
 
 
+@pytest.mark.parametrize("kwargs", [{}, {"part_bytes": 60_000}])
+def test_rows_beyond_a_few_thousand_of_a_class_are_learned_from(spark, kwargs):
+    ids = spark.range(8000).withColumnRenamed("id", "doc_id")
+    labels = ids.withColumn("toxic", (F.col("doc_id") % 2).cast("int"))
+    least = labels.where("toxic = 1").orderBy(F.xxhash64("doc_id")).limit(2500).select("doc_id", F.lit("wretched").alias("word"))
+    word = F.when(F.col("doc_id") % 2 == 0, "pleasant").otherwise(F.coalesce("word", F.lit("odious")))
+    docs = ids.join(least, "doc_id", "left").select("doc_id", F.concat(F.lit("this is a "), word, F.lit(" one of "), F.col("doc_id") % 50).alias("text"))
+    model = fit(docs, labels, **kwargs)
+    said = spark.createDataFrame([(f"this is a {w} one of 7",) for w in ("wretched", "odious", "pleasant")], "text string")
+    scores = [r.s for r in said.select(toxicity_score(F.col("text"), model).alias("s")).collect()]
+    assert scores[0] > 0.5 and scores[1] > 0.5 and scores[2] < 0.1
+
+
+def test_all_labelled_texts_are_whole_in_their_parts(spark):
+    docs = spark.createDataFrame([(k, f"w{k} " * (k * 50)) for k in range(60)] + [(3, "again"), (None, "x"), (99, "no label"), (60, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(61)] + [(4, 1), (5, 7), (None, 1)], "doc_id int, toxic int")
+    rows = toxicity.labelled_parts(docs, labels, F.lit(True), 4, "doc_id", "text", "toxic").collect()
+    assert len(rows) == 61 and len({r.part for r in rows}) == 4 and sum(r.label for r in rows) == 31
+    assert sorted(len(r.codes) // 4 for r in rows)[-50:] == [k * 50 for k in range(10, 60)]
+
+
+def test_long_texts_are_learned_from_as_a_whole(monkeypatch):
+    r = np.random.default_rng(1)
+    m = toxicity.Model.new(4, 3, 5)
+    codes, starts, stops = toxicity._joined([r.integers(1, 1 << 29, n) & 0xFFFF1FFF for n in (3, 0, 200, 41, 1)])
+    y = np.array([0, 1, 1, 0, 1], np.float32)
+    whole = toxicity.gradients(m, codes, starts, stops, y)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(toxicity, "PIECE_WORDS", size)
+        parts = toxicity.gradients(m, codes, starts, stops, y)
+        assert (parts.rows == whole.rows).all() and np.allclose(parts.embedded, whole.embedded) and np.allclose(parts.out, whole.out)
+
+
 def _terms(df) -> set[str]:
     return {r.spans for r in pii_report(df).collect() if r.doc_id == 100}
 
