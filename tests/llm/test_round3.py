@@ -47,6 +47,8 @@ def test_rows_beyond_a_few_thousand_of_a_class_are_learned_from(spark, kwargs):
     said = spark.createDataFrame([(f"this is a {w} one of 7",) for w in ("wretched", "odious", "pleasant")], "text string")
     scores = [r.s for r in said.select(toxicity_score(F.col("text"), model).alias("s")).collect()]
     assert scores[0] > 0.5 and scores[1] > 0.5 and scores[2] < 0.1
+    row = toxicity.buckets(toxicity.Encoder().of(b"odious"))[0][0]
+    assert not np.array_equal(model.words[row], toxicity.Model.new(12, 8, 7).words[row])  # no row of the least hashes has it
 
 
 def test_all_labelled_texts_are_whole_in_their_parts(spark):
